@@ -456,10 +456,12 @@ def gapped_vocabulary(spark, sf):
 
 
 def _char_sql(n: int) -> str:
+    gram = " || ".join(["ch"] + [f"lead(ch, {i}) OVER w" for i in range(1, n)])
     return (
-        "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(text) - "
-        f"{n - 2}), lambda i: c[i:i + {n - 1}].array_to_string(''))) AS gram FROM "
-        "(SELECT text, string_split(text, '') AS c FROM documents)) GROUP BY gram"
+        f"SELECT gram, count(*) AS n FROM (SELECT {gram} AS gram FROM (SELECT doc_id, "
+        "generate_subscripts(c, 1) AS pos, unnest(c) AS ch FROM (SELECT doc_id, "
+        "string_split(text, '') AS c FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) "
+        "WHERE gram IS NOT NULL GROUP BY gram"
     )
 
 
