@@ -243,7 +243,7 @@ def decode_masks(masks: DataFrame, names: Sequence[str]) -> DataFrame:
     """mask, block, enabled: one row per position, named by the block order."""
     spark = masks.sparkSession
     order = spark.createDataFrame(list(enumerate(names)), "pos int, block string")
-    bits = F.posexplode(F.split(F.trim(F.lit("[] "), F.col("mask")), ",\\s*")).alias("pos", "bit")
+    bits = F.posexplode(F.split(F.trim(F.col("mask"), F.lit("[] ")), ",\\s*")).alias("pos", "bit")
     return (
         masks.select("mask", bits)
         .join(F.broadcast(order), "pos")  # one row per block

@@ -89,7 +89,7 @@ def read_messages(
         rows = rows.withColumn(name, F.get("f", i))
     rows = rows.where(F.col("text") != MISSING_TEXT)
     if layout != "A":
-        rows = rows.withColumn("sentiment", F.trim(F.lit('"'), F.col("sentiment")))
+        rows = rows.withColumn("sentiment", F.trim(F.col("sentiment"), F.lit('"')))
     if layout == "B":
         known = F.col("sentiment").isin("positive", "negative", "neutral")
         rows = rows.withColumn(
@@ -380,7 +380,7 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ).alias("at"),
-        F.posexplode(F.split(F.trim(F.lit("\n"), F.col("value")), "\n")).alias("pos", "line"),
+        F.posexplode(F.split(F.trim(F.col("value"), F.lit("\n")), "\n")).alias("pos", "line"),
     )
     rows = blocks.withColumn("f", F.split(F.trim("line"), "\t")).where(F.size("f") == 3)
     return rows.select(
