@@ -1,4 +1,4 @@
 """Registered queries over the given tables, each with its SQL counterpart where there is one."""
 
-from moodmill.plans import aligned, lexicons, profiles, scoring, selection, texts  # noqa: F401
+from moodmill.plans import aligned, files, lexicons, profiles, scoring, selection, texts  # noqa: F401
 from moodmill.plans.common import ORACLES, QUERIES  # noqa: F401
