@@ -100,12 +100,20 @@ def tokens_formal(text: Column) -> Column:
 def tokens_social(text: Column, protected: str) -> Column:
     """Keep protected spans whole and split the rest on spaces.
 
-    No protected span has an inner space, so spacing each span out and splitting
-    once gives the same tokens as cutting the text around the spans.
+    No protected span has an inner space, and a space and an edge of the text mean the
+    same to the pattern except before an abbreviation. So each word is looked at by
+    itself, with the space before it, and words of plain letters and digits, in which
+    nothing can be protected, are not looked at at all.
     """
     plain = squeeze_whitespace(unescape_html(F.replace(text, F.lit("&amp;"), F.lit("&"))))
-    spaced = F.regexp_replace(split_edge_punct(plain), protected, " $0 ")
-    return F.filter(F.transform(F.split(spaced, " "), F.trim), lambda t: t != "")
+
+    def cut(word: Column, i: Column) -> Column:
+        placed = F.when(i > 0, F.concat(F.lit(" "), word)).otherwise(word)
+        spaced = F.regexp_replace(placed, protected, " $0 ")
+        return F.when(word.rlike(P.PLAIN_WORD), F.array(word)).otherwise(F.split(spaced, " +"))
+
+    words = F.flatten(F.transform(F.split(split_edge_punct(plain), " "), cut))
+    return F.filter(words, lambda t: t != "")
 
 
 # ---------------------------------------------------------------- token rewriting
@@ -242,22 +250,40 @@ def ngram_array(toks: Column, n: int, joiner: str = " ") -> Column:
 def gapped_array(toks: Column, mark: str = "---") -> Column:
     """Every 4-gram and 3-gram with each position replaced in turn by a glued mark.
 
-    The words are always joined by one space, and the spaces around the mark go.
+    The words are always joined by one space, and the spaces around the mark go. The
+    glue also takes the spaces next to a word that itself begins or ends with the mark,
+    which needs a search in the joined text; messages without such a word skip it.
     """
+    gap = F.lit(mark)
+
+    def searched(ts: Column, start: Column, n: int, hole: int) -> Column:
+        words = [gap if j == hole else F.get(ts, start + j) for j in range(n)]
+        text = F.replace(F.concat_ws(" ", *words), F.lit(mark + " "), gap)
+        return F.replace(text, F.lit(" " + mark), gap)
+
+    def direct(ts: Column, start: Column, n: int, hole: int) -> Column:
+        parts: list[Column] = []
+        for j in range(n):
+            if j == hole:
+                parts.append(gap)
+            else:
+                parts += [F.lit(" ")] if j and hole != j - 1 else []
+                parts.append(F.get(ts, start + j))
+        return F.concat(*parts)
+
+    def gaps(ts: Column, n: int, form: Callable[[Column, Column, int, int], Column]) -> Column:
+        rows = F.transform(
+            F.sequence(F.lit(0), F.size(ts) - n),
+            lambda i: F.array(*[form(ts, i, n, hole) for hole in range(n)]),
+        )
+        return F.when(F.size(ts) >= n, F.flatten(rows)).otherwise(_empty())
 
-    def gaps(n: int) -> Column:
-        def build(window: Column) -> Column:
-            forms = []
-            for hole in range(n):
-                words = [F.lit(mark) if j == hole else F.get(window, j) for j in range(n)]
-                text = F.concat_ws(" ", *words)
-                text = F.replace(text, F.lit(mark + " "), F.lit(mark))
-                forms.append(F.replace(text, F.lit(" " + mark), F.lit(mark)))
-            return F.array(*forms)
-
-        return F.flatten(_windows(toks, n, build, "array<array<string>>"))
+    def build(ts: Column) -> Column:
+        odd = F.exists(ts, lambda t: t.startswith(mark) | t.endswith(mark))
+        forms = [F.concat(gaps(ts, 4, f), gaps(ts, 3, f)) for f in (searched, direct)]
+        return F.when(odd, forms[0]).otherwise(forms[1])
 
-    return F.concat(gaps(4), gaps(3))
+    return let(toks, build)
 
 
 def char_ngram_array(text: Column, n: int) -> Column:
@@ -306,7 +332,7 @@ def term_runs(toks: Column) -> Column:
 
     none = F.array().cast("array<struct<term:string,n:bigint>>")
     return let(
-        F.array_sort(toks), lambda ts: F.when(F.size(ts) > 0, runs(ts)).otherwise(none)
+        F.sort_array(toks), lambda ts: F.when(F.size(ts) > 0, runs(ts)).otherwise(none)
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodmill import runtime
 from moodmill.config import BlockSpec, CleanSpec
 from moodmill.functions import patterns as P
 from moodmill.functions import social
@@ -81,7 +82,9 @@ def remove_stops(docs: DataFrame, stops: Sequence[str] | None = None) -> DataFra
 
 def remove_listed(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """Tokens (column ``tok``) not on a word list of any length."""
-    return tokens.join(words.withColumnRenamed("word", "tok"), "tok", "left_anti")
+    return tokens.join(
+        runtime.small_side(words.withColumnRenamed("word", "tok")), "tok", "left_anti"
+    )
 
 
 def normalize_tokens(
@@ -142,13 +145,21 @@ def gapped_ngrams(
     grams = docs.select(
         "doc_id", F.explode(T.gapped_array(F.col("toks"), mark)).alias("gram")
     )
-    return grams if vocabulary is None else grams.join(vocabulary, "gram", "left_semi")
+    return grams if vocabulary is None else grams.join(
+        runtime.small_side(vocabulary), "gram", "left_semi"
+    )
 
 
 def char_ngrams(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("grams", T.char_ngram_array(F.col("text"), n))
 
 
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """Corpus counts of the ``grams`` lists, added up inside each message first."""
+    rows = docs.select(F.inline(T.term_runs(F.col("grams"))))
+    return rows.groupBy(F.col("term").alias("gram")).agg(F.sum("n").alias("n"))
+
+
 def gram_forms(docs: DataFrame, forms: Iterable[str], distinct: bool = False) -> DataFrame:
     """doc_id, form, gram over several gram forms in one scan of the messages.
 
@@ -382,7 +393,7 @@ def cluster_features(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Presence of each word cluster (clusters: word, cluster) in a message."""
     terms = docs.select("doc_id", F.explode(F.array_distinct("toks")).alias("word"))
     return (
-        terms.join(clusters, "word")
+        terms.join(runtime.small_side(clusters), "word")
         .select("doc_id", F.concat(F.lit("CLUST_"), F.col("cluster")).alias("name"))
         .distinct()
         .withColumn("value", F.lit(1.0))

@@ -112,7 +112,7 @@ def confusion(pairs: DataFrame, classes: Sequence = CLASSES) -> DataFrame:
     )
     spark = pairs.sparkSession
     kind = pairs.schema["gold"].dataType.simpleString()
-    rows = spark.createDataFrame([(c,) for c in classes], f"gold {kind}")
+    rows = runtime.local_table(spark, [(c,) for c in classes], f"gold {kind}")
     wide = cells.groupBy("gold").pivot("pred", list(classes)).agg(F.sum("n"))
     return F.broadcast(rows).join(wide, "gold", "left").select(
         "gold", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(str(c)) for c in classes]
@@ -242,7 +242,7 @@ def insertion_masks(spark: SparkSession, order: Sequence[int], size: int) -> Dat
 def decode_masks(masks: DataFrame, names: Sequence[str]) -> DataFrame:
     """mask, block, enabled: one row per position, named by the block order."""
     spark = masks.sparkSession
-    order = spark.createDataFrame(list(enumerate(names)), "pos int, block string")
+    order = runtime.local_table(spark, list(enumerate(names)), "pos int, block string")
     bits = F.posexplode(F.split(F.trim(F.col("mask"), F.lit("[] ")), ",\\s*")).alias("pos", "bit")
     return (
         masks.select("mask", bits)

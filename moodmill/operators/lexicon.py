@@ -2,8 +2,8 @@
 
 All lexicons are looked up by one join against the long table
 ``lexicon, term, dim, value`` (``dim`` is ``polarity`` for opinion lexicons). Only
-matches are shuffled: the join is a broadcast while Spark sees the lexicon below its
-broadcast threshold, and a shuffled join with run-time filter and skew handling above.
+matches are shuffled: the lexicon is broadcast once it is counted to be below the size
+bound (``runtime.small_side``), and joined by a shuffle with skew handling above it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodmill import runtime
 from moodmill.config import LexiconSpec
 from moodmill.functions import patterns as P
 from moodmill.functions import text as T
@@ -59,9 +60,8 @@ def match_terms(
     if mode == "bag":
         grams = C.gram_forms(docs, KINDS)
         kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-        hits = grams.join(
-            effective(lexicon).withColumnRenamed("term", "gram"), "gram"
-        )
+        table = runtime.small_side(effective(lexicon).withColumnRenamed("term", "gram"))
+        hits = grams.join(table, "gram")
         return hits.select(
             "doc_id", "lexicon", kinds[F.col("form")].alias("kind"), "gram", "dim", "value"
         )
@@ -70,9 +70,12 @@ def match_terms(
     specs = specs or ()
     if not specs:
         raise ValueError("set mode needs the specs of the lexicons to look up")
-    table = _by_form(effective(lexicon), specs)
+    table = runtime.small_side(_by_form(effective(lexicon), specs))
     forms = {f for s in specs for f in s.forms()}
-    grams = C.gram_forms(docs, forms, distinct=True).withColumn("term", bare(F.col("gram")))
+    # with one form, repeats go inside the row; with several, forms can repeat each other
+    several = any(len(s.forms()) > 1 for s in specs)
+    grams = C.gram_forms(docs, forms, distinct=not several)
+    grams = grams.withColumn("term", bare(F.col("gram")))
     turned = F.col("gram").contains(P.NEGATION_PREFIX) & (F.col("dim") == POLARITY)
     hits = grams.join(table, ["form", "term"]).select(
         "doc_id",
@@ -82,7 +85,7 @@ def match_terms(
         "dim",
         F.when(turned, -F.col("value")).otherwise(F.col("value")).alias("value"),
     )
-    if any(len(s.forms()) > 1 for s in specs):
+    if several:
         hits = hits.dropDuplicates(["doc_id", "lexicon", "gram", "dim"])
     return hits
 
@@ -91,7 +94,7 @@ def _by_form(lexicon: DataFrame, specs: Sequence[LexiconSpec]) -> DataFrame:
     """The lexicon rows under each gram form their spec asks for, wanted dims only."""
     spark = lexicon.sparkSession
     rows = [(s.name, f) for s in specs for f in s.forms()]
-    forms = spark.createDataFrame(rows, "lexicon string, form string")
+    forms = runtime.local_table(spark, rows, "lexicon string, form string")
     table = lexicon.join(F.broadcast(forms), "lexicon")  # one row per lexicon and form
     for s in specs:
         if s.dims:
@@ -114,13 +117,14 @@ def match_tagged(tagged: DataFrame, lexicon: DataFrame, scheme: str) -> DataFram
     keyed = tagged.select("doc_id", "pos", "tok", key.alias("gram"))
     keyed = keyed.withColumn("term", bare(F.col("gram")))
     if scheme == "dot":
-        hits = keyed.join(effective(lexicon), "term").groupBy("doc_id", "lexicon", "gram", "dim")
+        table = runtime.small_side(effective(lexicon))
+        hits = keyed.join(table, "term").groupBy("doc_id", "lexicon", "gram", "dim")
         return hits.agg(F.first("value").alias("value"))
     entries = effective(lexicon).groupBy("lexicon", "term").agg(
         F.collect_list(F.struct("dim", "value")).alias("entry")
     )
     last = (
-        keyed.join(entries, "term")
+        keyed.join(runtime.small_side(entries), "term")
         .groupBy("doc_id", "lexicon", F.col("tok").alias("gram"))
         .agg(F.max_by("entry", "pos").alias("entry"))
     )
@@ -140,7 +144,7 @@ def match_synsets(tagged: DataFrame, senses: DataFrame, sense: str = "first") ->
         )
     else:
         raise ValueError(f"sense must be 'first' or 'mean', not {sense!r}")
-    table = table.withColumnRenamed("tag", "letter")
+    table = runtime.small_side(table.withColumnRenamed("tag", "letter"))
     keyed = tagged.select(
         "doc_id",
         "pos",
@@ -374,7 +378,7 @@ def polarity_summary(docs: DataFrame, lexicon: DataFrame, names: Sequence[str])
         (F.col("pos") == F.col("n_all") - 1).alias("at_end"),
     )
     polar = lexicon.where((F.col("dim") == POLARITY) & F.col("lexicon").isin(list(names)))
-    hits = toks.join(polar, "term").select("doc_id", "lexicon", "negated", "value", "at_end")
+    hits = toks.join(runtime.small_side(polar), "term").select("doc_id", "lexicon", "negated", "value", "at_end")
     last_in = F.coalesce(
         F.try_element_at("toks", F.lit(-1)) != F.try_element_at("marked", F.lit(-1)), F.lit(False)
     )
@@ -426,7 +430,8 @@ def sequence_stats(docs: DataFrame, grams: Column, lexicon: DataFrame, prefix: s
     """
     lists = docs.select("doc_id", grams.alias("g")).withColumn("n", F.size("g"))
     rows = lists.select("doc_id", "n", F.posexplode("g").alias("pos", "term"))
-    hits = rows.join(lexicon.select("term", "value"), "term").select(
+    table = runtime.small_side(lexicon.select("term", "value"))
+    hits = rows.join(table, "term").select(
         "doc_id", "value", (F.col("pos") == F.col("n") - 1).alias("at_end")
     )
     base = lists.select(
@@ -557,6 +562,5 @@ def _named(stats: DataFrame, cells: Column) -> DataFrame:
 
 def inline_lexicon(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     """A lexicon from literal rows (lexicon, term, dim, value)."""
-    return spark.createDataFrame(
-        list(rows), "lexicon string, term string, dim string, value double"
-    )
+    schema = "lexicon string, term string, dim string, value double"
+    return runtime.local_table(spark, rows, schema)

@@ -318,9 +318,7 @@ def _figures(pairs: DataFrame) -> dict[str, float]:
 
 
 def _score_table(spark, rows: Sequence[tuple]) -> DataFrame:
-    return spark.createDataFrame(
-        list(rows), "model string, fold int, metric string, value double"
-    )
+    return runtime.local_table(spark, rows, "model string, fold int, metric string, value double")
 
 
 def _external(figures: Mapping[str, float]) -> dict[str, float]:
@@ -474,7 +472,7 @@ def grid_search(
 
 def eliminate(
     features: DataFrame, train: DataFrame, external: DataFrame, drop_share: float = 0.5,
-    steps: int = 3, folds: int = 2,
+    steps: int = 3, folds: int = 2, spec: ModelSpec = ModelSpec("linear_svc", {"max_iter": 20}),
 ) -> DataFrame:
     """Recursive elimination: fit, drop the share with the least weights, score each step."""
     spark = features.sparkSession
@@ -485,7 +483,6 @@ def eliminate(
         size = vocabulary.count()
         table = vector_table(own, train, vocabulary)
         outer = vector_table(features, external, vocabulary)
-        spec = ModelSpec("linear_svc", {"max_iter": 50})
         scores = evaluate.summarize_scores(cross_validate(spec, table, outer, folds))
         parts.append(scores.withColumns({"step": F.lit(step), "features": F.lit(size)}))
         if step == steps - 1 or size < 2:

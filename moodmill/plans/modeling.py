@@ -226,7 +226,7 @@ def token_alignment(spark, sf):
 def eliminate(spark, sf):
     train, external = splits(spark, sf)
     features = word_features(train, external, 1.0).drop("block")
-    return M.eliminate(features, train, external, 0.5, steps=2, folds=K_FOLDS)
+    return M.eliminate(features, train, external, 0.5, 2, K_FOLDS, ModelSpec("linear_svc", {"max_iter": 5}))
 
 
 # ---------------------------------------------------------------- extension points

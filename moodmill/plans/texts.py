@@ -468,7 +468,7 @@ def _char_sql(n: int) -> str:
 for _n in (3, 4, 5):
 
     def _chars(spark, sf, n=_n):
-        return _gram_counts(C.char_ngrams(K.documents(spark, sf), n))
+        return C.gram_counts(C.char_ngrams(K.documents(spark, sf), n))
 
     query(f"txt_23_char_{_n}grams", _char_sql(_n))(_chars)
 

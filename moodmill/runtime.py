@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 200_000
-SMALL_BYTES = 64 << 20
+SMALL_ROWS = 1_000_000
+SMALL_BYTES = 128 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -44,6 +45,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of literal rows whose size the planner knows (Arrow, not a Python RDD)."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    frame = pd.DataFrame(list(rows), columns=names)
+    return spark.createDataFrame(frame, schema)
+
+
 def small_side(df: DataFrame, rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
     """Mark a derived dimension for broadcast once its rows and bytes are counted.
 

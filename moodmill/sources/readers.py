@@ -259,7 +259,7 @@ def load_valence_list(spark: SparkSession, path: str) -> DataFrame:
 
 def valence_scores(tokens: DataFrame, valences: DataFrame) -> DataFrame:
     """Tokens (column ``tok``) with their integer valence, 0 where the list has none."""
-    side = valences.withColumnRenamed("word", "tok")
+    side = runtime.small_side(valences.withColumnRenamed("word", "tok"))
     return tokens.join(side, "tok", "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
