@@ -51,7 +51,8 @@ def feature_index(features: DataFrame) -> DataFrame:
 def vectorize(features: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """doc_id, indices, values: one sparse row per message; unknown names are dropped."""
     vocabulary = feature_index(features) if vocabulary is None else vocabulary
-    cells = features.join(runtime.small_side(vocabulary), "name").groupBy("doc_id", "idx")
+    known = features.join(runtime.small_side(vocabulary), "name").repartition("doc_id")
+    cells = known.groupBy("doc_id", "idx")  # both groupings share the one shuffle
     entries = F.array_sort(F.collect_list(F.struct("idx", "value")))
     rows = cells.agg(F.sum("value").alias("value")).groupBy("doc_id").agg(entries.alias("e"))
     return rows.select(

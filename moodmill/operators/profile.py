@@ -33,18 +33,22 @@ def bag_of_words(
     ngram_range: tuple[int, int] = (1, 1),
     min_df: int = 1,
     joiner: str = " ",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, name, value: counted inside the row, so the corpus is not shuffled.
 
+    Columns to ``keep``, such as the label, ride along and save a join afterwards.
+
     Only ``min_df`` above 1 moves anything: the document frequencies.
     """
     toks = F.col("toks")
     low, high = ngram_range
     lists = [toks if n == 1 else T.ngram_array(toks, n, joiner) for n in range(low, high + 1)]
     grams = lists[0] if len(lists) == 1 else F.concat(*lists)
-    rows = docs.select("doc_id", F.inline(T.term_runs(grams)))
+    rows = docs.select("doc_id", *keep, F.inline(T.term_runs(grams)))
     bag = rows.select(
         "doc_id",
+        *keep,
         F.col("term").alias("name"),
         F.lit(1.0).alias("value") if binary else F.col("n").cast("double").alias("value"),
     )

@@ -25,7 +25,11 @@ def class_sizes(labels: DataFrame) -> dict[int, int]:
 
 
 def _labeled(features: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = features.where(F.col("value") != 0).select("doc_id", "name", "value")
+    """Non-zero values with the class of their message, which they may carry already."""
+    rows = features.where(F.col("value") != 0)
+    if "label" in features.columns:
+        return rows.select("name", "value", "label")
+    rows = rows.select("doc_id", "name", "value")
     return rows.join(labels.select("doc_id", "label"), "doc_id")
 
 

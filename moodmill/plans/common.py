@@ -49,8 +49,7 @@ def labeled(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
         "doc_id",
         F.when(F.col("toxic") == 1, -1).when(F.col("quality") == 1, 1).otherwise(0).alias("label"),
     )
-    docs = table(spark, sf, "documents").select("doc_id", *(cols or ("text",)))
-    return runtime.spread(docs.join(labels, "doc_id"), "doc_id")
+    return documents(spark, sf, *cols).join(labels, "doc_id")
 
 
 def labels_only(spark: SparkSession, sf: str) -> DataFrame:

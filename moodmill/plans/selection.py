@@ -24,7 +24,7 @@ def _tables(spark, sf):
     docs = K.labeled(spark, sf).select(
         "doc_id", "label", F.split(F.lower("text"), " ").alias("toks")
     )
-    return R.bag_of_words(docs), docs.select("doc_id", "label")
+    return R.bag_of_words(docs, keep=("label",)), docs.select("doc_id", "label")
 
 
 _CHI2 = (
@@ -132,7 +132,7 @@ def keep_selected(spark, sf):
     ),
 )
 def scale_max_abs(spark, sf):
-    rows = S.scale_max_abs(_tables(spark, sf)[0])
+    rows = S.scale_max_abs(_tables(spark, sf)[0].drop("label"))
     return rows.withColumn("value", F.round("value", 6))
 
 
@@ -149,7 +149,7 @@ def scale_max_abs(spark, sf):
 )
 def scale_min_max(spark, sf):
     features, labels = _tables(spark, sf)
-    rows = S.scale_min_max(features, labels.count())
+    rows = S.scale_min_max(features.drop("label"), labels.count())
     return rows.withColumn("value", F.round("value", 6))
 
 

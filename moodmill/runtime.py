@@ -38,7 +38,10 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a scan with too few splits over the cores; a scan with enough is left alone."""
+    """Hash a scan with too few splits over the cores; a scan with enough is left alone.
+
+    For scans only: counting the splits of a plan with a shuffle would run the shuffle.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
