@@ -208,8 +208,14 @@ def lexicon_correlation(lexicon: DataFrame, names: Sequence[str]) -> DataFrame:
     wide = widen_lexicons(lexicon, names)
     pairs = list(combinations(names, 2))
     shared = [(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()) for a, b in pairs]
+
+    def pearson(a: str, b: str, both: Column) -> Column:
+        """Null where one side has no spread."""
+        x, y = F.when(both, F.col(f"`{a}`")), F.when(both, F.col(f"`{b}`"))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
     stats = wide.agg(
-        *[F.corr(f"`{a}`", f"`{b}`").alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
+        *[pearson(a, b, s).alias(f"r{i}") for i, ((a, b), s) in enumerate(zip(pairs, shared))],
         *[F.count(F.when(s, 1)).alias(f"n{i}") for i, s in enumerate(shared)],
     )
     rows = [
@@ -217,7 +223,7 @@ def lexicon_correlation(lexicon: DataFrame, names: Sequence[str]) -> DataFrame:
             F.lit(a).alias("left"),
             F.lit(b).alias("right"),
             F.col(f"n{i}").alias("common"),
-            F.nullif(F.col(f"r{i}"), F.lit(float("nan"))).alias("r"),
+            F.col(f"r{i}").alias("r"),
         )
         for i, (a, b) in enumerate(pairs)
     ]
