@@ -218,7 +218,10 @@ def t_test(a: DataFrame, b: DataFrame, n: int = 10, level: float = 0.05) -> Data
     return (
         a.join(right, ["model", "metric"])
         .select("model", "metric", t.alias("t"), F.lit(df).alias("df"))
-        .withColumn("p", F.greatest(1 - F.sin(angle) * terms, F.lit(0.0)))
+        .withColumn(
+            "p",
+            F.when(F.col("t").isNotNull(), F.greatest(1 - F.sin(angle) * terms, F.lit(0.0))),
+        )
         .withColumn("significant", F.col("p") < level)
     )
 

@@ -24,6 +24,7 @@ from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +139,14 @@ class RidgeModel(Model):
         )
 
 
+class ClipNegative(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Scaled values below the training range count as 0: naive Bayes takes no negatives."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        values = F.transform(vector_to_array("scaled"), lambda x: F.greatest(x, F.lit(0.0)))
+        return dataset.withColumn("scaled", array_to_vector(values))
+
+
 def _one_vs_rest(base) -> OneVsRest:
     return OneVsRest(classifier=base, labelCol="target", weightCol="weight")
 
@@ -168,7 +177,7 @@ def _stages(name: str, p: Mapping, n: int) -> list:
             labelCol="target"))]
     if name == "multinomial_nb":
         scale = MinMaxScaler(inputCol="features", outputCol="scaled")
-        return [scale, NaiveBayes(modelType="multinomial", smoothing=p.get("alpha", 0.01),
+        return [scale, ClipNegative(), NaiveBayes(modelType="multinomial", smoothing=p.get("alpha", 0.01),
                                   featuresCol="scaled", **cols)]
     if name == "gaussian_nb":
         return [NaiveBayes(modelType="gaussian", **cols)]
