@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from moodmill.llm import packing, token_counts
+from moodmill.llm import packing, secret_scan, token_counts, warc
 from moodmill.llm.common import table
 from moodmill.runtime import scratch_path
 
@@ -36,3 +36,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base patterns and assignment-aware literals of every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, normalised to a member per record and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
