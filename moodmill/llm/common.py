@@ -29,7 +29,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's size of the input, from file sizes; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def pieces(batches: Iterator[pd.DataFrame], column: str, most: int = CHUNK_BYTES):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from moodmill.llm import packing, secret_scan, token_counts, warc
+from moodmill.llm import fingerprints, language_id, packing, secret_scan, token_counts, warc
 from moodmill.llm.common import table
 from moodmill.runtime import scratch_path
 
@@ -44,6 +44,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of every document, of its edited text and of the next document."""
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, normalised to a member per record and read back."""
