@@ -26,7 +26,7 @@ SAMPLE_DOCS = 2000
 #: One sampled document in so many is kept from the counts, to calibrate the rejection.
 CALIBRATION = 5
 #: Rejection: so many standard errors and such a share above a language's usual entropy.
-ERRORS, SHARE = 6.0, 0.25
+ERRORS, SHARE = 6.0, 1.25
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)

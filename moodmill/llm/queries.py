@@ -7,7 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from moodmill.llm import fingerprints, language_id, packing, secret_scan, token_counts, warc
+from moodmill.llm import (
+    decontaminate,
+    fingerprints,
+    language_id,
+    packing,
+    secret_scan,
+    token_counts,
+    warc,
+)
 from moodmill.llm.common import table
 from moodmill.runtime import scratch_path
 
@@ -60,3 +68,58 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, normalised to a member per record and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words found in every document."""
+    return decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+ORACLES["op6_decontamination"] = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n,
+    array_to_string(w[i : i + 12], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
+        FROM item WHERE len(w) > 0)),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc),
+found AS (
+  SELECT p.doc_id, p.i, q.n, q.item_id
+  FROM (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+        FROM places, (SELECT DISTINCT n FROM wanted) WHERE i + n - 1 <= len(w)) p
+  JOIN wanted q ON q.phrase = p.phrase AND q.n = p.n),
+hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM found))
+  GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h
+  FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS kept FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM q
+"""
