@@ -25,7 +25,7 @@ from moodmill.runtime import materialize
 REVISIT_BYTES = 1000
 #: An archive is closed after so many bytes before compression.
 ARCHIVE_BYTES = 32 << 20
-#: Rows of an archive's bytes are about this large.
+#: Bytes inflated at a time.
 PART_BYTES = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIXED_DATE = "1970-01-01T00:00:00Z"
@@ -104,19 +104,16 @@ def record(page_id, url, n_bytes, digest, refers_to, payload) -> bytes:
 
 
 def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives of one gzip stream each, as stored rows (archive, seq, data)."""
+    """Archives of one gzip stream each, as stored rows (archive, seq, data), one per archive."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number, seq, held, packer = TaskContext.get().partitionId(), 0, 0, 0, None
+        part, number, held, packer = TaskContext.get().partitionId(), 0, 0, None
         ready: list[bytes] = []
 
-        def rows(last: bool) -> Iterator[pd.DataFrame]:
-            nonlocal seq
-            if last or sum(map(len, ready)) >= PART_BYTES:
-                name = f"{part:06d}-{number:06d}.warc.gz"
-                yield pd.DataFrame({"archive": [name], "seq": [seq], "data": [b"".join(ready)]})
-                ready.clear()
-                seq += 1
+        def closed() -> pd.DataFrame:
+            name = f"{part:06d}-{number:06d}.warc.gz"
+            data = b"".join([*ready, packer.flush()])
+            return pd.DataFrame({"archive": [name], "seq": [0], "data": [data]})
 
         for batch in batches:
             ids = batch["page_id"].astype("Int64").astype(object).where(batch["page_id"].notna(), None)
@@ -131,15 +128,11 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
                 held += len(data)
                 ready.append(packer.compress(data))
                 if held >= archive_bytes:
-                    ready.append(packer.flush())
-                    yield from rows(last=True)
-                    packer, held, seq = None, 0, 0
+                    yield closed()
+                    ready, packer, held = [], None, 0
                     number += 1
-                else:
-                    yield from rows(last=False)
         if packer:
-            ready.append(packer.flush())
-            yield from rows(last=True)
+            yield closed()
 
     return materialize(records.mapInPandas(write, ARCHIVE), "archives")
 
@@ -190,11 +183,12 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
 
 
-def normalise(archives: DataFrame) -> DataFrame:
+def normalise(archives: DataFrame, in_parts: bool = False) -> DataFrame:
     """Every record as a gzip member of its own, at its offset in the rewritten archive.
 
     Each archive is streamed once, piece by piece, by the one task that has it; memory
-    holds one record. An archive that breaks off inside a record is an error. Rows:
+    holds one record. ``in_parts``: an archive has several rows, to be brought together in
+    the order of seq; else each row is an archive and nothing is shuffled. One that breaks off inside a record is an error. Rows:
     archive, offset, length, record_id, record_type, member; without ``member`` they are
     the sidecar index.
     """
@@ -241,8 +235,9 @@ def normalise(archives: DataFrame) -> DataFrame:
                     out, held = [], 0
         yield _frame(out, MEMBERS)
 
-    ordered = archives.repartition("archive").sortWithinPartitions("archive", "seq")
-    return materialize(ordered.mapInPandas(rewrite, MEMBERS), "members")
+    if in_parts:
+        archives = archives.repartition("archive").sortWithinPartitions("archive", "seq")
+    return materialize(archives.mapInPandas(rewrite, MEMBERS), "members")
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
