@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from moodmill.llm import (
     decontaminate,
     fingerprints,
+    jaccard_join,
     language_id,
     packing,
     secret_scan,
@@ -46,6 +47,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose word shingles overlap by 75 per cent."""
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base patterns and assignment-aware literals of every document."""
