@@ -14,6 +14,8 @@ from moodmill.llm import (
     language_id,
     packing,
     secret_scan,
+    substring_dedup,
+    suffix_dedup,
     token_counts,
     warc,
 )
@@ -71,12 +73,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings that come earlier."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, normalised to a member per record and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without word runs of earlier documents."""
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words found in every document."""
@@ -130,3 +144,47 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to
 FROM q
 """
+
+ORACLES["op5_substring_dedup"] = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc)),
+gone AS (
+  SELECT doc_id, i FROM win JOIN (SELECT phrase, min(doc_id) AS first FROM win GROUP BY phrase)
+    USING (phrase) WHERE first < doc_id),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM gone),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM doc),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+  FROM words ANTI JOIN hit USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op3_jaccard_join"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc
+        WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+  SELECT c.a, c.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+    FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) c
+  JOIN size p ON p.doc_id = c.a JOIN size q ON q.doc_id = c.b
+  WHERE 100 * k >= 75 * (p.n + q.n - k)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM doc
+  UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM doc LEFT JOIN size USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""

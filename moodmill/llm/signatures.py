@@ -124,10 +124,13 @@ def ranges_for(docs: DataFrame) -> int:
 
 
 class Sender:
-    """Collects a task's signatures and deals them out in blocks."""
+    """Collects a task's signatures and deals them out in blocks.
 
-    def __init__(self, ranges: int):
-        self.ranges = ranges
+    A document counts up to ``per_doc`` times for a signature.
+    """
+
+    def __init__(self, ranges: int, per_doc: int = 1):
+        self.ranges, self.per_doc = ranges, per_doc
         self.shift = np.uint64(64 - (ranges.bit_length() - 1))
         self.task = TaskContext.get().partitionId()
         self.sigs: list[np.ndarray] = []
@@ -149,8 +152,10 @@ class Sender:
             self.sigs, self.docs, self.held = [], [], 0
             order = np.lexsort((docs, sigs))
             sigs, docs = sigs[order], docs[order]
-            fresh = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (docs[1:] != docs[:-1])])
-            sigs, docs = sigs[fresh], docs[fresh]
+            again = np.zeros(len(sigs), bool)
+            k = self.per_doc
+            again[k:] = (sigs[k:] == sigs[:-k]) & (docs[k:] == docs[:-k])
+            sigs, docs = sigs[~again], docs[~again]
             begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
             counts = np.diff(np.append(begin, len(sigs)))
             often = np.repeat(counts >= FREQUENT, counts)
