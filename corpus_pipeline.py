@@ -2,22 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from moodmill.llm import packing
+from moodmill.llm import decontaminate, jaccard_join, language_id, packing, secret_scan
 from moodmill.runtime import scratch_path
 
-import public_tokenizers
+PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language models reject go; so do those without a letter."""
+    return language_id.accepted(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 75 per cent of their five-word shingles the first stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark text go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, its secrets are replaced."""
+    return secret_scan.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the documents into sequences of power-of-two lengths."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Documents become sequences of power-of-two lengths."""
+    return packing.pack(docs, PACKING_TOKENIZER)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("language ID", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("secret scan", redact_secrets),
+    ("packing", pack_sequences),
+]
 
-#: Language models, tokenizers and SHA-keyed steps are beyond SQL.
+#: Language models and tokenizers are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 

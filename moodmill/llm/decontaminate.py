@@ -221,3 +221,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", found), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * HIT_SHARE >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated ones, by doc_id."""
+    found = contamination(docs, benchmark).where("contaminated")
+    keys = found.select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")

@@ -302,3 +302,18 @@ def _predicted(models: Models | None, batch: pd.DataFrame) -> pd.DataFrame:
         cross_entropy=pd.Series(entropy, index=out.index).astype("Float64"),
         rejected=rejected,
     )
+
+
+def accepted(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
+    """``docs`` without the rejected ones; the decision is made where the row is."""
+    models = train(docs, per_language)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf("boolean")
+    def fits(text: pd.Series) -> pd.Series:
+        # Arrow batches are cut here again, as the words of a batch are held at once
+        frame = pd.DataFrame({"text": text.fillna(""), "doc_id": 0, "held_out": False})
+        parts = [~_predicted(shared.value, p)["rejected"] for p in pieces([frame], "text")]
+        return pd.concat(parts) if parts else pd.Series([], dtype=bool)
+
+    return docs.where(fits(F.col("text").cast("string")))
