@@ -18,15 +18,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import pieces
+from moodmill.llm.common import pieces, placed
+from moodmill.runtime import materialize
 
 ORDER = 5
 #: Documents per language that the models may learn from; the one bound on what is learned.
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 1000
 #: One sampled document in so many is kept from the counts, to calibrate the rejection.
 CALIBRATION = 5
 #: Rejection: so many standard errors and such a share above a language's usual entropy.
 ERRORS, SHARE = 6.0, 1.25
+#: Characters whose words are held at once.
+WORDS_CHARS = 1 << 20
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,20 +47,26 @@ def held_out():
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most ``per_language`` labelled documents of each language, by a uniform hash."""
+    """Stored rows (lang, text, draw): at most ``per_language`` labelled documents of each
+    language, by a uniform hash of the doc_id; rows of one doc_id are drawn together.
+
+    Only hashes are ranked, in the scan's tasks before those of a language meet; the texts
+    of the drawn documents are read where they are.
+    """
     labelled = docs.where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(True))
-    )
-    ranked = labelled.select(
+    ).select(
         F.col("lang").cast("string").alias("lang"),
-        F.xxhash64(F.col("doc_id").cast("long")).alias("_draw"),
         F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("doc_id").cast("long")).alias("draw"),
     )
-    # the limit on the rank is applied in the scan's tasks, before rows of a language meet
-    order = Window.partitionBy("lang").orderBy("_draw")
-    return ranked.withColumn("_rank", F.row_number().over(order)).where(
-        F.col("_rank") <= per_language
-    )
+    order = Window.partitionBy("lang").orderBy("draw")
+    ranked = labelled.select("lang", "draw").withColumn("rank", F.row_number().over(order))
+    last = ranked.where(F.col("rank") <= per_language).groupBy("lang")
+    # a row per language
+    bounds = materialize(last.agg(F.max("draw").alias("bound")), "bounds")
+    drawn = labelled.join(placed(bounds, bounds.count()), "lang").where("draw <= bound")
+    return materialize(drawn.select("lang", "text", "draw"), "sample")
 
 
 def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +216,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Models | None:
     """Models of the languages in ``docs``; None if no document is labelled."""
     drawn = sample(docs, per_language)
     counts = (
-        drawn.where(F.col("_rank") % CALIBRATION != 0)
+        drawn.where(F.pmod("draw", F.lit(CALIBRATION)) != 0)
         .select("lang", "text")
         .mapInPandas(gram_counts, COUNTS)
         .groupBy("lang", "gram")
@@ -230,7 +239,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Models | None:
             yield frame[frame["chars"] > 0]
 
     fitted = (
-        drawn.where(F.col("_rank") % CALIBRATION == 0)
+        drawn.where(F.pmod("draw", F.lit(CALIBRATION)) == 0)
         .select("lang", "text")
         .mapInPandas(surprise, "lang string, nats double, chars long")
     )
@@ -271,7 +280,7 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready = shared.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", WORDS_CHARS):
             yield _predicted(ready, batch)
 
     return rows.mapInPandas(predict, RESULT)
@@ -313,7 +322,7 @@ def accepted(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     def fits(text: pd.Series) -> pd.Series:
         # Arrow batches are cut here again, as the words of a batch are held at once
         frame = pd.DataFrame({"text": text.fillna(""), "doc_id": 0, "held_out": False})
-        parts = [~_predicted(shared.value, p)["rejected"] for p in pieces([frame], "text")]
+        parts = [~_predicted(shared.value, p)["rejected"] for p in pieces([frame], "text", WORDS_CHARS)]
         return pd.concat(parts) if parts else pd.Series([], dtype=bool)
 
     return docs.where(fits(F.col("text").cast("string")))
