@@ -28,8 +28,11 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The planner's size of the input, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables below ``df``, by file sizes; no job runs. What has no known size
+    (rows of the driver) counts as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 60)
 
 
 def pieces(batches: Iterator[pd.DataFrame], column: str, most: int = CHUNK_BYTES):

@@ -105,6 +105,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the stretches of equal values."""
+    edges = np.flatnonzero(values[1:] != values[:-1]) + 1
+    bounds = [0, *edges.tolist(), len(values)] if len(values) else []
+    return list(zip(bounds, bounds[1:], strict=False))
+
+
 def numbers(sigs: np.ndarray) -> bytes:
     """The low 48 bits; the range of a row is in the upper ones."""
     return (sigs & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (
@@ -168,8 +175,7 @@ class Sender:
         parts = (sigs >> self.shift).astype(np.int64)
         order = np.lexsort((docs, parts))
         sigs, docs, parts = sigs[order], docs[order], parts[order]
-        cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(sigs) else []
-        for a, b in zip(cuts, [*cuts[1:], len(sigs)], strict=True):
+        for a, b in runs(parts):
             own = docs[a:b]
             begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             per_doc = np.diff(np.append(begin, b - a)).astype("<u4")
@@ -182,8 +188,7 @@ class Sender:
         """Counts to the range of the signature, its documents to a side group."""
         each, counts = each[counts >= FREQUENT], counts[counts >= FREQUENT]
         parts = (each >> self.shift).astype(np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(each) else []
-        for a, b in zip(cuts, [*cuts[1:], len(each)], strict=True):
+        for a, b in runs(parts):
             yield (
                 int(parts[a]), -1, numbers(each[a:b]), counts[a:b].astype("<u4").tobytes(),
                 None, None,
