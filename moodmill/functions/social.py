@@ -1,20 +1,15 @@
-"""The protected-span pattern of the social tokenizer, assembled from its classes."""
+"""The protected-span pattern of the social tokenizer, assembled from its classes.
+
+All fragments are fixed values in ``patterns``; only their order is decided here.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
-
 from moodmill.functions import patterns as P
 
 
-def country_tlds(spark: SparkSession) -> list[str]:
-    """Two-letter country domains: the JVM's ISO 3166 codes with the listed differences."""
-    iso = {c.lower() for c in spark.sparkContext._jvm.java.util.Locale.getISOCountries()}
-    return sorted((iso | set(P.COUNTRY_TLDS_ADDED)) - set(P.COUNTRY_TLDS_ABSENT))
-
-
 def _any(parts: Iterable[str]) -> str:
     return "(?:" + "|".join(parts) + ")"
 
@@ -24,39 +19,18 @@ def _face(name: str) -> str:
     return f"(?:(?<{name}>{P.FACE_LEFT}){P.FACE_CENTER}\\k<{name}>)|{P.FACE_FLAT}"
 
 
-def protected_pattern(tlds: Iterable[str]) -> str:
+def protected_pattern(tlds: Iterable[str] = P.COUNTRY_TLDS) -> str:
     """One Java pattern; the order of the alternatives decides between overlaps."""
     country = _any(tlds)
-    link = (
-        _any(
-            (
-                r"(?:https?://|\bwww\.)",
-                r"\b(?:[A-Za-z\d-])+(?:\.[A-Za-z0-9]+){0,3}\."
-                + _any((_any(P.GENERIC_TLDS), country))
-                + rf"(?:\.{country})?(?=\W|$)",
-            )
-        )
-        + r"(?:[^.\s<>][^\s<>]*?)?"
-        + rf"(?=(?:(?:{P.MARKS}|{P.ENTITY})+?)?(?:\.\.+|[<>]|\s|$))"
-    )
-    western = (
-        "(?:>|&gt;)?(?:[:=]|;)(?:"
-        + P.FACE_NOSE
-        + "|[Oo])"
-        + _any(
-            (P.FACE_TONGUE + P.FACE_END, P.FACE_OTHER + P.FACE_END, P.FACE_SAD, P.FACE_HAPPY)
-        )
-    )
-    reversed_western = (
-        "(?:(?<= )|(?<=^))"
-        + _any((P.FACE_SAD, P.FACE_HAPPY, P.FACE_OTHER))
-        + P.FACE_NOSE
-        + "(?:[:=]|;)(?:<|&lt;)?"
-    )
+    domain = _any((_any(P.GENERIC_TLDS), country))
+    host = f"{P.LINK_HOST}{domain}(?:\\.{country})?{P.LINK_HOST_END}"
+    link = _any((P.LINK_SCHEME, host)) + P.LINK_PATH + P.LINK_END
+    mouths = (P.FACE_TONGUE + P.FACE_END, P.FACE_OTHER + P.FACE_END, P.FACE_SAD, P.FACE_HAPPY)
+    western = P.FACE_HAT + P.FACE_EYES + P.FACE_NOSE_OR_O + _any(mouths)
+    turned = _any((P.FACE_SAD, P.FACE_HAPPY, P.FACE_OTHER))
+    reversed_western = P.FACE_START + turned + P.FACE_NOSE + P.FACE_EYES + P.FACE_BEARD
     eastern = f"{P.FACE_EAST_LEFT}(?:{_face('east')}|{P.FACE_EAST_SYMBOL})+{P.FACE_EAST_RIGHT}"
-    faces = _any(
-        (western, reversed_western, eastern, _face("plain"), f"(?:[oO]{P.FACE_CENTER}[oO])")
-    )
+    faces = _any((western, reversed_western, eastern, _face("plain"), P.FACE_TWO_O))
     return "(?U)" + _any(
         (
             P.HEARTS,

@@ -27,7 +27,7 @@ def tokenizer(df: DataFrame, mode: str | Tokenizer) -> Tokenizer:
     if callable(mode):
         return mode
     if mode == "social":
-        protected = social.protected_pattern(social.country_tlds(df.sparkSession))
+        protected = social.protected_pattern()
         return lambda text: T.tokens_social(text, protected)
     named = {
         "informal": T.tokens_informal,

@@ -22,7 +22,7 @@ def toks(spark, text, change):
 
 @pytest.fixture(scope="module")
 def protected(spark):
-    return social.protected_pattern(social.country_tlds(spark))
+    return social.protected_pattern()
 
 
 SENTENCE = "This is a TEST tweet #hashtext @mention http://www.testurl.com $89.99 :) >:("
