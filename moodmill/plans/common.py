@@ -65,6 +65,16 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.split(F.lower("text"), " ").alias("toks"))
 
 
+def flat_tokens(text) -> F.Column:
+    """Lowercased words between runs of white space."""
+    return F.filter(F.split(F.lower(text), FLAT), lambda t: t != "")
+
+
+def flat_words(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return docs.select("doc_id", flat_tokens(F.col("text")).alias("toks"))
+
+
 def informal(spark: SparkSession, sf: str) -> DataFrame:
     """Lowercased informal tokens: punctuation stands alone, so negation scopes close."""
     docs = C.tokenize(documents(spark, sf), "informal").drop("text")
@@ -90,6 +100,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return runtime.spread(rows, "doc_id")
 
 
+FLAT = r"[ \t\n\x0B\f\r]+"
 TAGS = ("NN", "VB", "JJ", "RB", "DT", "NNS")
 
 # ---------------------------------------------------------------- SQL
@@ -109,6 +120,8 @@ LABELED_SQL = (
     "FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 )
 WORD_LISTS = "lists AS (SELECT doc_id, string_split(lower(text), ' ') AS toks FROM documents)"
+FLAT_SQL = f"list_filter(regexp_split_to_array(lower(text), '{FLAT}'), lambda x: x <> '')"
+FLAT_LISTS = f"lists AS (SELECT doc_id, {FLAT_SQL} AS toks FROM documents)"
 INFORMAL_LISTS = (
     f"lists AS (SELECT doc_id, regexp_extract_all(lower(text), {lit(P.INFORMAL_TOKEN)}) AS toks "
     "FROM documents)"
@@ -239,7 +252,7 @@ def learned(spark: SparkSession, sf: str) -> DataFrame:
     rows = labeled(spark, sf, "text", "lang").select(
         "lang",
         "label",
-        F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("term"),
+        F.explode(F.array_distinct(flat_tokens(F.col("text")))).alias("term"),
     )
     return rows.groupBy(F.col("lang").alias("lexicon"), "term").agg(
         F.round(F.avg("label"), 6).alias("value")
@@ -247,7 +260,7 @@ def learned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LEARNED_SQL = (
-    f"{LABELED_SQL}, seen AS (SELECT lang, label, unnest(list_distinct(string_split(lower(text), ' '))) "
+    f"{LABELED_SQL}, seen AS (SELECT lang, label, unnest(list_distinct({FLAT_SQL})) "
     "AS term FROM labeled), learned AS (SELECT lang AS lexicon, term, 'polarity' AS dim, "
     "round(avg(label), 6) AS value FROM seen GROUP BY lang, term)"
 )
@@ -258,7 +271,7 @@ def emotions(spark: SparkSession, sf: str) -> DataFrame:
     rows = labeled(spark, sf).select(
         F.when(F.col("label") == 1, "good").when(F.col("label") == -1, "bad").otherwise("plain")
         .alias("dim"),
-        F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("term"),
+        F.explode(F.array_distinct(flat_tokens(F.col("text")))).alias("term"),
     )
     counts = rows.groupBy("term", "dim").agg(F.count("*").alias("n"))
     totals = counts.groupBy("term").agg(F.sum("n").alias("m"))
@@ -271,7 +284,7 @@ def emotions(spark: SparkSession, sf: str) -> DataFrame:
 
 EMOTIONS_SQL = (
     f"{LABELED_SQL}, seen AS (SELECT CASE label WHEN 1 THEN 'good' WHEN -1 THEN 'bad' ELSE 'plain' END "
-    "AS dim, unnest(list_distinct(string_split(lower(text), ' '))) AS term FROM labeled), "
+    f"AS dim, unnest(list_distinct({FLAT_SQL})) AS term FROM labeled), "
     "counts AS (SELECT term, dim, count(*) AS n FROM seen GROUP BY term, dim), "
     "totals AS (SELECT term, sum(n) AS m FROM counts GROUP BY term), "
     "emotions AS (SELECT 'CLASS' AS lexicon, c.term, c.dim, CASE WHEN CAST(c.n AS DOUBLE) / t.m >= 0.5 "

@@ -6,6 +6,9 @@ written range-partitioned and sorted, so the file names carry the order.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodmill import runtime
@@ -220,19 +223,23 @@ def category_sheet(spark, sf):
     "src_07_load_lexicon_json_flat",
     with_sql(
         K.LEARNED_SQL,
-        select="SELECT 'FR' AS lexicon, term, dim, value FROM learned WHERE lexicon = 'fr'",
+        select="SELECT upper(lexicon) AS lexicon, term, dim, value FROM learned",
     ),
 )
 def lexicon_json(spark, sf):
-    """One JSON object per file, as many files as the writer has partitions."""
-    terms = K.learned(spark, sf).where(F.col("lexicon") == "fr")
+    """A lexicon per language, each as many files of one JSON object."""
     path = runtime.scratch_path(spark, "json")
     bucket = F.pmod(F.xxhash64("term"), F.lit(64))
-    objects = terms.groupBy(bucket.alias("b")).agg(
+    objects = K.learned(spark, sf).groupBy("lexicon", bucket.alias("b")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("term", "value")))).alias("value")
     )
-    _one_object_per_file(objects, path)
-    return readers.load_lexicon_json(spark, f"{path}/*/*.txt", "FR")
+    objects.write.partitionBy("lexicon", "b").text(path)
+    names = K.table(spark, sf, "documents").select("lang").distinct().collect()
+    parts = [
+        readers.load_lexicon_json(spark, f"{path}/lexicon={r['lang']}/*/*.txt", r["lang"].upper())
+        for r in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -259,16 +266,14 @@ def _one_object_per_file(objects, path):
 @query(
     "src_08_load_clusters",
     with_sql(
-        K.WORD_LISTS,
+        K.FLAT_LISTS,
         K.TOKENS,
-        "words AS (SELECT tok AS word, count(*) AS n FROM tokens WHERE trim(tok) <> '' AND NOT "
-        "regexp_matches(tok, '\\s') GROUP BY tok)",
+        "words AS (SELECT tok AS word, count(*) AS n FROM tokens GROUP BY tok)",
         select="SELECT word, lpad(length(word)::VARCHAR, 5, '0') AS cluster FROM words",
     ),
 )
 def clusters(spark, sf):
-    counts = R.term_counts(K.words(spark, sf))
-    counts = counts.where((F.trim("tok") != "") & ~F.col("tok").rlike(r"\s"))
+    counts = R.term_counts(K.flat_words(spark, sf))
     path = runtime.scratch_path(spark, "clusters")
     cluster = F.lpad(F.length("tok").cast("string"), 5, "0")
     lines = counts.select(F.concat_ws("\t", cluster, "tok", "n").alias("value"))
@@ -329,27 +334,25 @@ def senses(spark, sf):
 @query(
     "src_10_load_wordlist",
     with_sql(
-        K.WORD_LISTS,
+        K.FLAT_LISTS,
         K.TOKENS,
-        select="SELECT DISTINCT trim(tok) AS word FROM tokens WHERE trim(tok) <> '' AND NOT "
-        "regexp_matches(tok, '\\s')",
+        select="SELECT DISTINCT tok AS word FROM tokens",
     ),
 )
 def wordlist(spark, sf):
-    toks = K.words(spark, sf).select(F.explode("toks").alias("tok"))
-    toks = toks.where(~F.col("tok").rlike(r"\s"))
+    toks = K.flat_words(spark, sf).select(F.explode("toks").alias("tok"))
     path = runtime.scratch_path(spark, "words")
     toks.select(F.concat(F.lit(" "), "tok").alias("value")).write.text(path)
     return readers.load_wordlist(spark, path)
 
 
-_VALENCE = "words AS (SELECT tok, count(*) AS n FROM tokens WHERE NOT regexp_matches(tok, '\\s') GROUP BY tok)"
+_VALENCE = "words AS (SELECT tok, count(*) AS n FROM tokens GROUP BY tok)"
 
 
 @query(
     "src_11_load_valence_list",
     with_sql(
-        K.WORD_LISTS,
+        K.FLAT_LISTS,
         K.TOKENS,
         _VALENCE,
         select="SELECT t.doc_id, sum(coalesce(CASE WHEN w.n % 3 > 0 THEN w.n % 11 - 5 END, 0))::BIGINT AS "
@@ -357,8 +360,8 @@ _VALENCE = "words AS (SELECT tok, count(*) AS n FROM tokens WHERE NOT regexp_mat
     ),
 )
 def valence(spark, sf):
-    docs = K.words(spark, sf)
-    counts = R.term_counts(docs).where(~F.col("tok").rlike(r"\s") & (F.col("n") % 3 > 0))
+    docs = K.flat_words(spark, sf)
+    counts = R.term_counts(docs).where(F.col("n") % 3 > 0)
     path = runtime.scratch_path(spark, "valence")
     counts.select(F.concat_ws("\t", "tok", F.col("n") % 11 - 5).alias("value")).write.text(path)
     scored = readers.valence_scores(
@@ -370,7 +373,7 @@ def valence(spark, sf):
 @query(
     "src_12_load_cooccurrence",
     with_sql(
-        K.WORD_LISTS,
+        K.FLAT_LISTS,
         K.LABELED_SQL,
         "tokens AS (SELECT l.doc_id, b.label, generate_subscripts(toks, 1) AS pos, unnest(toks) AS tok FROM "
         "lists l JOIN labeled b ON l.doc_id = b.doc_id)",
@@ -379,7 +382,7 @@ def valence(spark, sf):
         "grams AS (SELECT 'unigram' AS kind, label, a AS term FROM ahead UNION ALL SELECT 'bigram', label, "
         "a || ' ' || b FROM ahead WHERE b IS NOT NULL)",
         "counts AS (SELECT kind, term, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = -1) AS n "
-        "FROM grams WHERE NOT regexp_matches(term, '[\\n\\t\\r]') GROUP BY kind, term)",
+        "FROM grams GROUP BY kind, term)",
         select="SELECT 'CO' AS lexicon, kind, term, (p - n)::DOUBLE AS score, p::DOUBLE AS n_pos, n::DOUBLE "
         "AS n_neg FROM counts",
     ),
@@ -387,7 +390,7 @@ def valence(spark, sf):
 def cooccurrence(spark, sf):
     """Unigram and bigram files of marker counts, from the labeled documents."""
     rows = K.labeled(spark, sf).select(
-        "doc_id", "label", F.split(F.lower("text"), " ").alias("toks")
+        "doc_id", "label", K.flat_tokens(F.col("text")).alias("toks")
     )
     paths = {}
     for kind, grams in (("unigram", F.col("toks")), ("bigram", T.ngram_array(F.col("toks"), 2))):
@@ -395,7 +398,6 @@ def cooccurrence(spark, sf):
             F.count(F.when(F.col("label") == 1, 1)).alias("p"),
             F.count(F.when(F.col("label") == -1, 1)).alias("n"),
         )
-        counts = counts.where(~F.col("term").rlike(r"[\n\t\r]"))
         paths[kind] = runtime.scratch_path(spark, kind)
         line = F.concat_ws("\t", "term", F.col("p") - F.col("n"), "p", "n")
         counts.select(line.alias("value")).write.text(paths[kind])
@@ -406,12 +408,11 @@ def cooccurrence(spark, sf):
     "src_13_load_word_emotion",
     with_sql(
         K.EMOTIONS_SQL,
-        select="SELECT term, 'NRCE_' || upper(dim) AS dim, value FROM emotions WHERE NOT "
-        "regexp_matches(term, '\\s')",
+        select="SELECT term, 'NRCE_' || upper(dim) AS dim, value FROM emotions",
     ),
 )
 def word_emotion(spark, sf):
-    rows = K.emotions(spark, sf).where(~F.col("term").rlike(r"\s"))
+    rows = K.emotions(spark, sf)
     rows = rows.withColumn("_n", F.xxhash64("term"))
     rows = rows.withColumn("_n", F.abs(F.col("_n") % 1000000))
     path = _write(rows, "_n", "term", "dim", "value", header=("header",) * 46)
@@ -420,9 +421,9 @@ def word_emotion(spark, sf):
 
 _POLAR = (
     K.LABELED_SQL,
-    "seen AS (SELECT label, unnest(list_distinct(string_split(lower(text), ' '))) AS word FROM labeled)",
+    f"seen AS (SELECT label, unnest(list_distinct({K.FLAT_SQL})) AS word FROM labeled)",
     "flags AS (SELECT word, CAST(max(label = 1) AS INTEGER) AS pos, CAST(max(label = -1) AS INTEGER) AS neg "
-    "FROM seen WHERE NOT regexp_matches(word, '\\s') GROUP BY word)",
+    "FROM seen GROUP BY word)",
 )
 
 
@@ -432,9 +433,8 @@ _POLAR = (
 )
 def polarity_lists(spark, sf):
     rows = K.labeled(spark, sf).select(
-        "label", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")
+        "label", F.explode(F.array_distinct(K.flat_tokens(F.col("text")))).alias("word")
     )
-    rows = rows.where(~F.col("word").rlike(r"\s"))
     paths = []
     for label in (1, -1):
         words = rows.where(F.col("label") == label).select("word").distinct()
@@ -449,16 +449,16 @@ def polarity_lists(spark, sf):
         *_POLAR,
         select="SELECT word, CASE WHEN pos = 1 THEN 'strongsubj' ELSE 'weaksubj' END AS type, CAST(1 AS "
         "INTEGER) AS len, 'adj' AS pos1, 'n' AS stemmed1, CASE WHEN pos > neg THEN 'positive' WHEN pos < neg "
-        "THEN 'negative' ELSE 'neutral' END AS priorpolarity, pos - neg AS polarity FROM flags "
-        "WHERE word <> '' AND NOT contains(word, '=')",
+        "THEN 'negative' ELSE 'neutral' END AS priorpolarity, pos - neg AS polarity FROM flags",
     ),
 )
 def clues(spark, sf):
     """Clue lines, each word twice (the second line counts), with a broken pair in them."""
     rows = K.labeled(spark, sf).select(
-        "label", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")
+        "label", F.explode(F.array_distinct(K.flat_tokens(F.col("text")))).alias("word")
     )
-    rows = rows.where(~F.col("word").rlike(r"\s") & (F.col("word") != "") & ~F.col("word").contains("="))
+    # a clue is split at its equals sign, so those of the word are written as entities
+    rows = rows.withColumn("word", F.replace(F.replace("word", F.lit("&"), F.lit("&amp;")), F.lit("="), F.lit("&#61;")))
     flags = rows.groupBy("word").agg(
         F.max(F.when(F.col("label") == 1, 1).otherwise(0)).alias("p"),
         F.max(F.when(F.col("label") == -1, 1).otherwise(0)).alias("n"),
@@ -479,7 +479,8 @@ def clues(spark, sf):
     lines = F.array(line(F.lit("old"), F.lit("both")), line(kind, polarity))
     path = runtime.scratch_path(spark, "clues")
     flags.select(F.explode(lines).alias("value")).write.text(path)
-    return readers.load_clues(spark, path)
+    plain = F.replace(F.replace("word", F.lit("&#61;"), F.lit("=")), F.lit("&amp;"), F.lit("&"))
+    return readers.load_clues(spark, path).withColumn("word", plain)
 
 
 @query(
@@ -487,25 +488,24 @@ def clues(spark, sf):
     with_sql(
         *_POLAR,
         "wide AS (SELECT word AS term, CASE WHEN pos = 1 THEN 'Positiv' END AS p, CASE WHEN neg = 1 THEN "
-        "'Negativ' END AS n FROM flags WHERE word <> '' AND regexp_matches(word, '^[a-z]+$'))",
+        "'Negativ' END AS n FROM flags)",
         select="SELECT term, 'Pos' AS dim, p AS value FROM wide WHERE p IS NOT NULL UNION ALL SELECT term, "
         "'Neg', n FROM wide WHERE n IS NOT NULL",
     ),
 )
 def category_lexicon(spark, sf):
     rows = K.labeled(spark, sf).select(
-        "label", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")
+        "label", F.explode(F.array_distinct(K.flat_tokens(F.col("text")))).alias("word")
     )
     wide = (
-        rows.where(F.col("word").rlike("^[a-z]+$"))
-        .groupBy(F.col("word").alias("Entry"))
+        rows.groupBy(F.col("word").alias("Entry"))
         .agg(
             F.max(F.when(F.col("label") == 1, "Positiv")).alias("Pos"),
             F.max(F.when(F.col("label") == -1, "Negativ")).alias("Neg"),
         )
     )
     path = runtime.scratch_path(spark, "categories")
-    wide.write.csv(path, sep=";", header=True)
+    wide.write.csv(path, sep=";", header=True, escape='"')
     return readers.load_category_lexicon(spark, path)
 
 

@@ -28,17 +28,29 @@ EMOTION_SCORES = ("happy", "sadness", "anger", "fear", "disgust", "surprise", "v
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value`` and ``at``, a struct that orders lines as they stand in the files."""
+    """``value`` and ``at``, a struct that orders lines as they stand in the files.
+
+    Files follow each other by folder, then by the number in a part file's name (padded, as
+    writers pad to five digits only), then by name.
+    """
     return spark.read.text(path).select(
         F.regexp_replace("value", r"\r$", "").alias("value"),
         F.struct(
-            F.col("_metadata.file_path").alias("path"),
+            file_order(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ).alias("at"),
     )
 
 
+def file_order(path: Column) -> Column:
+    """A string that sorts part files by their number: part-99999 before part-100000."""
+    name = F.substring_index(path, "/", -1)
+    folder = F.substring(path, F.lit(1), F.length(path) - F.length(name))
+    number = F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 20, "0")
+    return F.concat(folder, number, F.lit("/"), name)
+
+
 def number_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
     """1-based line numbers over all files, from the line counts of the file blocks."""
     parts = lines.select(
@@ -123,15 +135,25 @@ def message_rejects(spark: SparkSession, path: str, layout: str) -> DataFrame:
 def repair_messages(original: DataFrame, fallback: DataFrame) -> DataFrame:
     """Give rows without text the label and text of a second download, by ``sid`` and ``uid``.
 
-    Both sides have sid, uid, sentiment, text. Line breaks go, accents are folded.
+    Both sides have sid, uid, sentiment, text. Line breaks go, accents are folded. Of
+    several lines of the second download the last counts: ``fallback`` has their order in
+    ``at`` (as ``read_lines`` gives it); without it the greatest text does.
     """
 
     def clean(c: Column) -> Column:
         return T.fold_ascii(F.regexp_replace(c, r"[\r\n]", ""))
 
-    second = fallback.select(
-        "sid", "uid", F.col("sentiment").alias("_sentiment"), F.col("text").alias("_text")
-    ).dropDuplicates(["sid", "uid"])
+    order = F.col("at") if "at" in fallback.columns else F.struct("text", "sentiment")
+    second = (
+        fallback.groupBy("sid", "uid")
+        .agg(F.max_by(F.struct("sentiment", "text"), order).alias("_last"))
+        .select(
+            "sid",
+            "uid",
+            F.col("_last.sentiment").alias("_sentiment"),
+            F.col("_last.text").alias("_text"),
+        )
+    )
     lacks = F.col("text").isNull()
     return original.join(second, ["sid", "uid"], "left").select(
         "sid",
@@ -346,7 +368,7 @@ def load_clues(spark: SparkSession, path: str) -> DataFrame:
 
 def load_category_lexicon(spark: SparkSession, path: str, key: str = "Entry") -> DataFrame:
     """Semicolon table with one column per category, long: term, dim, value (filled cells)."""
-    sheet = spark.read.csv(path, sep=";", header=True)
+    sheet = spark.read.csv(path, sep=";", header=True, escape='"')
     names = [c for c in sheet.columns if c != key]
     return (
         sheet.withColumnRenamed(key, "term")
@@ -376,7 +398,7 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """Tagger output, a blank line between messages; rows not of three fields are skipped."""
     blocks = spark.read.text(path, lineSep="\n\n").select(
         F.struct(
-            F.col("_metadata.file_path").alias("path"),
+            file_order(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ).alias("at"),
