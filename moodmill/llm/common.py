@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handed to one numpy or regex pass; bounds what a task holds beside its Arrow batch.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Largest key set that is broadcast, counted before it is.
 BROADCAST_ROWS = 500_000

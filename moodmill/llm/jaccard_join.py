@@ -175,18 +175,19 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sender = Sender(ranges)
-        seen: set[tuple] = set()
+        seen: set[int] = set()
         for batch in pieces(batches, "text"):
             ids = batch["doc_id"].to_numpy(np.int64)
             sets = Sets(batch["text"].tolist())
             keep = np.zeros(len(ids), bool)
-            for i, known in enumerate(zip(*sets.prints(), sets.sizes, strict=True)):
+            fp1, fp2 = sets.prints()
+            for i, (a, b) in enumerate(zip(fp1.tolist(), fp2.tolist(), strict=True)):
                 # a copy in the same task sends nothing: the least doc_id stands for both
-                keep[i] = known not in seen
-                seen.add(known)
+                keep[i] = (a << 64 | b) not in seen
+                seen.add(a << 64 | b)
             for sigs, own in signatures(sets, keep):
                 yield from sender.add(sigs, ids[own])
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
         yield sender.send()
 

@@ -29,7 +29,7 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Signatures a map task holds before it sends them.
-BLOCK_SIGNATURES = 2_000_000
+BLOCK_SIGNATURES = 500_000
 #: Input bytes per range; a range's numbers are sorted in one task.
 RANGE_BYTES = 4 << 20
 #: Documents of a block from which a signature counts as frequent.
