@@ -20,13 +20,15 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler
+from pyspark.ml.feature import ElementwiseProduct, MaxAbsScaler, MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from moodmill import runtime
 from moodmill.config import ModelSpec
@@ -63,26 +65,36 @@ def vectorize(features: DataFrame, vocabulary: DataFrame | None = None) -> DataF
     )
 
 
-def to_vectors(rows: DataFrame, messages: DataFrame, size: int) -> DataFrame:
-    """A ``features`` vector for every message, empty for one without any feature."""
-    build = F.udf(
-        lambda i, v: SparseVector(size, i or [], v or []), VectorUDT(), useArrow=False
-    )
-    both = messages.join(rows, "doc_id", "left")
-    return both.withColumn("features", build("indices", "values")).drop("indices", "values")
-
-
 def vector_table(
     features: DataFrame, messages: DataFrame, vocabulary: DataFrame | None = None
 ) -> DataFrame:
-    """doc_id, label and the vector, stored once: every fold reads the same table."""
+    """doc_id, label and a sparse vector per message, empty for one without any feature.
+
+    Stored once, so every fold reads the same table. The vector is written as the struct
+    it is stored as and read back as a vector: no row passes through Python.
+    """
     vocabulary = runtime.materialize(
         feature_index(features) if vocabulary is None else vocabulary, "vocabulary"
     )
     size = max(vocabulary.count(), 1)
     base = messages.select("doc_id", *[c for c in ("label", "fold") if c in messages.columns])
-    rows = to_vectors(vectorize(features, vocabulary), base, size)
-    return runtime.materialize(with_target(rows), "vectors")
+    rows = base.join(vectorize(features, vocabulary), "doc_id", "left")
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),  # sparse
+        F.lit(size).alias("size"),
+        F.coalesce("indices", F.array().cast("array<int>")).alias("indices"),
+        F.coalesce("values", F.array().cast("array<double>")).alias("values"),
+    )
+    rows = with_target(rows.withColumn("features", vector).drop("indices", "values"))
+    path = runtime.scratch_path(rows.sparkSession, "vectors")
+    rows.write.parquet(path)
+    schema = StructType(
+        [
+            StructField(f.name, VectorUDT() if f.name == "features" else f.dataType)
+            for f in rows.schema
+        ]
+    )
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def with_target(rows: DataFrame) -> DataFrame:
@@ -143,8 +155,36 @@ class ClipNegative(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Scaled values below the training range count as 0: naive Bayes takes no negatives."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        values = F.transform(vector_to_array("scaled"), lambda x: F.greatest(x, F.lit(0.0)))
-        return dataset.withColumn("scaled", array_to_vector(values))
+        values = F.transform(vector_to_array("ranged"), lambda x: F.greatest(x, F.lit(0.0)))
+        return dataset.withColumn("clipped", array_to_vector(values)).drop("ranged")
+
+
+class RangeScaler(Estimator):
+    """Features scaled to 0 to 1 by their range in the training rows; a constant one is 0.
+
+    Where every feature starts at 0, as counts do, the scaling keeps zeros and so sparse
+    vectors; only a feature that starts elsewhere makes the rows dense.
+    """
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        ends = dataset.select(
+            Summarizer.metrics("min", "max").summary(F.col("features")).alias("s")
+        ).select("s.min", "s.max").first()
+        low, high = ends["min"].toArray(), ends["max"].toArray()
+        moves = high > low
+        if not low.any():
+            factors = np.divide(1.0, high, out=np.zeros_like(high), where=moves)
+            stages = [_product("features", factors)]
+        else:
+            ranged = MinMaxScaler(inputCol="features", outputCol="ranged").fit(dataset)
+            stages = [ranged, ClipNegative(), _product("clipped", moves.astype(float))]
+        return PipelineModel(stages)
+
+
+def _product(column: str, factors: np.ndarray) -> ElementwiseProduct:
+    return ElementwiseProduct(
+        scalingVec=Vectors.dense(factors), inputCol=column, outputCol="scaled"
+    )
 
 
 def _one_vs_rest(base) -> OneVsRest:
@@ -156,10 +196,12 @@ def _stages(name: str, p: Mapping, n: int) -> list:
     cols = {"labelCol": "target"}
     weighted = {**cols, "weightCol": "weight"}
     if name == "logistic":
-        reg = 1.0 / (p.get("C", 100.0) * n)
-        return [_one_vs_rest(LogisticRegression(
-            maxIter=p.get("max_iter", 300), regParam=reg, standardization=False,
-            fitIntercept=p.get("fit_intercept", True), labelCol="target"))]
+        model = LogisticRegression(
+            maxIter=p.get("max_iter", 300), regParam=1.0 / (p.get("C", 100.0) * n),
+            standardization=False, fitIntercept=p.get("fit_intercept", True), labelCol="target")
+        if p.get("multi_class", "multinomial") == "ovr":
+            return [_one_vs_rest(model)]
+        return [model.setFamily("multinomial").setWeightCol("weight")]
     if name == "hinge_sgd":
         scale = MaxAbsScaler(inputCol="features", outputCol="scaled")
         svc = LinearSVC(maxIter=p.get("max_iter", 100), regParam=p.get("alpha", 1e-4),
@@ -176,9 +218,8 @@ def _stages(name: str, p: Mapping, n: int) -> list:
             maxIter=p.get("max_iter", 1000), regParam=reg, standardization=False,
             labelCol="target"))]
     if name == "multinomial_nb":
-        scale = MinMaxScaler(inputCol="features", outputCol="scaled")
-        return [scale, ClipNegative(), NaiveBayes(modelType="multinomial", smoothing=p.get("alpha", 0.01),
-                                  featuresCol="scaled", **cols)]
+        return [RangeScaler(), NaiveBayes(modelType="multinomial", featuresCol="scaled",
+                                          smoothing=p.get("alpha", 0.01), **cols)]
     if name == "gaussian_nb":
         return [NaiveBayes(modelType="gaussian", **cols)]
     if name == "tree":
@@ -414,21 +455,43 @@ def percentile_sweep(
 
 def ablate(
     features: DataFrame, train: DataFrame, external: DataFrame, by: str, values: Sequence[str],
-    spec: ModelSpec, folds: int = FOLDS,
+    spec: ModelSpec, folds: int = FOLDS, base: DataFrame | None = None,
 ) -> DataFrame:
-    """One statistic (name ending) or one dimension (name part) at a time."""
+    """One statistic or one dimension at a time, next to the ``base`` block if there is one.
+
+    ``features`` has the columns ``stat`` and ``dim`` (see ``stat_and_dim``); emotion and
+    opinion statistics of one kind go by one name.
+    """
     if by not in ("stat", "dim"):
         raise ValueError("ablate by 'stat' or 'dim'")
     parts = []
     for value in values:
-        name = F.col("name")
-        keep = name.endswith(f"_{value}") if by == "stat" else name.contains(f"_{value}_")
-        tables = _tables(features.where(keep), train, external)
-        scores = cross_validate(spec, *tables, folds)
+        chosen = features.where(F.col(by) == value).select("doc_id", "name", "value")
+        if base is not None:
+            chosen = chosen.unionByName(base.select("doc_id", "name", "value"))
+        scores = cross_validate(spec, *_tables(chosen, train, external), folds)
         parts.append(scores.withColumn("kept", F.lit(value)))
     return reduce(DataFrame.unionByName, parts)
 
 
+def stat_and_dim(features: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
+    """``stat`` and ``dim`` of lexicon features, read off the end of their names.
+
+    A name ends in its statistic, that of an emotion lexicon in dimension and statistic.
+    """
+    last = F.substring_index("name", "_", -1)
+    before = F.substring_index(F.substring_index("name", "_", -2), "_", 1)
+    one_name = F.create_map(*[F.lit(x) for pair in STAT_NAMES.items() for x in pair])
+    known = before.isin(list(dims)) if dims else F.lit(False)
+    return features.withColumns(
+        {"stat": F.coalesce(F.try_element_at(one_name, last), last), "dim": F.when(known, before)}
+    )
+
+
+#: Statistics of emotion lexicons under the names that opinion lexicons give them.
+STAT_NAMES = {"summ": "sum", "minn": "min", "maxn": "max"}
+
+
 def evaluate_masks(
     features: DataFrame, masks: DataFrame, train: DataFrame, external: DataFrame,
     block_order: Sequence[str], memo: DataFrame | None = None, base: DataFrame | None = None,
@@ -482,12 +545,13 @@ def grid_search(
 
 def eliminate(
     features: DataFrame, train: DataFrame, external: DataFrame, drop_share: float = 0.5,
-    steps: int = 3, folds: int = 2, spec: ModelSpec = ModelSpec("linear_svc", {"max_iter": 20}),
+    folds: int = FOLDS, spec: ModelSpec = ModelSpec("logistic"),
 ) -> DataFrame:
-    """Recursive elimination: fit, drop the share with the least weights, score each step."""
+    """Recursive elimination down to one feature: fit, drop the share with the least
+    weights, score each step."""
     spark = features.sparkSession
-    parts = []
-    for step in range(steps):
+    parts, step = [], 0
+    while True:
         own = features.join(train.select("doc_id"), "doc_id", "left_semi")
         vocabulary = runtime.materialize(feature_index(own), "vocabulary")
         size = vocabulary.count()
@@ -495,17 +559,22 @@ def eliminate(
         outer = vector_table(features, external, vocabulary)
         scores = evaluate.summarize_scores(cross_validate(spec, table, outer, folds))
         parts.append(scores.withColumns({"step": F.lit(step), "features": F.lit(size)}))
-        if step == steps - 1 or size < 2:
+        if size < 2:
             break
         model = fit_model(table, spec).stages[-1]
         # one weight per feature: the model itself already lives on the driver
-        weight = np.max([np.abs(m.coefficients.toArray()) for m in model.models], axis=0)
+        if hasattr(model, "models"):
+            weight = np.max([np.abs(m.coefficients.toArray()) for m in model.models], axis=0)
+        else:
+            weight = np.abs(model.coefficientMatrix.toArray()).max(axis=0)
         weights = spark.createDataFrame(
             pd.DataFrame({"idx": np.arange(size, dtype="int32"), "score": weight})
         )
         ranked = vocabulary.join(weights, "idx").select("name", "score")
-        kept = select.select_percentile(ranked, 100.0 * (1 - drop_share))
+        share = min(1 - drop_share, (size - 1) / size)  # one goes at least
+        kept = select.select_percentile(ranked, max(100.0 * share, 100.0 / size))
         features = runtime.materialize(select.keep_selected(features, kept), "kept")
+        step += 1
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -534,11 +603,3 @@ def token_alignment(messages: DataFrame, modes: Sequence[str]) -> DataFrame:
     )
     rows = messages.select("doc_id", F.posexplode(zipped).alias("pos", "t"))
     return rows.select("doc_id", "pos", *[F.col(f"t.{m}").alias(m) for m in modes])
-
-
-def dense_vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
-    return rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
-
-
-def vector_values(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("values", vector_to_array("features"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -24,37 +23,27 @@ from moodmill.plans import common as K
 from moodmill.plans.common import SPECS, query
 from moodmill.sources import sinks
 
-K_FOLDS = 2
+K_FOLDS = M.FOLDS
 FAST = ModelSpec("multinomial_nb")
 
 
-_STORED: dict[tuple, object] = {}
-
-
-def stored(spark, sf, name, build):
-    """Tables several queries start from are written once per session and source folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STORED:
-        _STORED[key] = build()
-    return _STORED[key]
-
-
 def splits(spark, sf):
     """Training rows with their fold, and the external rows."""
-
-    def build():
-        folds = E.stratified_folds(K.labeled(spark, sf), k=K_FOLDS + 1)
-        return runtime.materialize(folds, "splits")
-
-    rows = stored(spark, sf, "splits", build)
+    rows = runtime.materialize(
+        E.stratified_folds(K.labeled(spark, sf), k=K_FOLDS + 1), "splits"
+    )
     return rows.where(F.col("fold") < K_FOLDS), rows.where(F.col("fold") == K_FOLDS)
 
 
-def word_features(train, external, percent=2.0):
-    """Word counts, the top share by chi-square on the training rows."""
+def words(train, external):
     both = train.unionByName(external)
     docs = C.clean(both, CleanSpec(tokenizer="informal"))
-    bag = runtime.materialize(R.bag_of_words(docs), "bag")
+    return runtime.materialize(R.bag_of_words(docs), "bag")
+
+
+def word_features(train, external, percent=5.0):
+    """Word counts, the top share by chi-square on the training rows."""
+    bag = words(train, external)
     chosen = S.select_percentile(S.score_chi2(bag, train.select("doc_id", "label")), percent)
     return runtime.materialize(S.keep_selected(bag, chosen), "base").withColumn("block", F.lit("BASE"))
 
@@ -68,27 +57,24 @@ def lexicon_blocks(train, external):
 
 
 def tables(spark, sf):
-    def build():
-        train, external = splits(spark, sf)
-        return M._tables(word_features(train, external).drop("block"), train, external)
-
-    return stored(spark, sf, "tables", build)
+    train, external = splits(spark, sf)
+    return M._tables(word_features(train, external).drop("block"), train, external)
 
 
 # ---------------------------------------------------------------- single models
 
 _MODELS = {
-    "ml_01_logistic": ModelSpec("logistic", {"max_iter": 20}),
-    "ml_02_hinge_sgd": ModelSpec("hinge_sgd", {"max_iter": 20}),
-    "ml_03_elastic": ModelSpec("elastic", {"max_iter": 20}),
-    "ml_04_linear_svc": ModelSpec("linear_svc", {"max_iter": 20}),
+    "ml_01_logistic": ModelSpec("logistic"),
+    "ml_02_hinge_sgd": ModelSpec("hinge_sgd"),
+    "ml_03_elastic": ModelSpec("elastic"),
+    "ml_04_linear_svc": ModelSpec("linear_svc"),
     "ml_05_multinomial_nb": FAST,
     "ml_06_gaussian_nb": ModelSpec("gaussian_nb"),
-    "ml_08_tree": ModelSpec("tree", {"depth": 5}),
+    "ml_08_tree": ModelSpec("tree"),
     "ml_09_forest": ModelSpec("forest"),
-    "ml_10_ada_boost": ModelSpec("ada_boost", {"rounds": 5}),
+    "ml_10_ada_boost": ModelSpec("ada_boost"),
     "ml_11_ridge": ModelSpec("ridge"),
-    "ml_12_boosted": ModelSpec("boosted", {"rounds": 5}),
+    "ml_12_boosted": ModelSpec("boosted"),
 }
 
 for _name, _spec in _MODELS.items():
@@ -137,39 +123,43 @@ def save_model(spark, sf):
 
 @query("eval_09_cross_validate")
 def cross_validate(spark, sf):
-    return M.cross_validate(ModelSpec("logistic", {"max_iter": 20}), *tables(spark, sf), K_FOLDS)
+    return M.cross_validate(ModelSpec("logistic"), *tables(spark, sf), K_FOLDS)
 
 
 @query("eval_10_repeat_fit")
 def repeat_fit(spark, sf):
-    return M.repeat_fit(ModelSpec("forest", {"trees": 5}), *tables(spark, sf), range(2))
+    return M.repeat_fit(ModelSpec("forest"), *tables(spark, sf))
 
 
 @query("eval_14_compare_models")
 def compare_models(spark, sf):
-    models = (FAST, ModelSpec("tree", {"depth": 4}))
+    models = (FAST, ModelSpec("tree"))
     return E.summarize_scores(M.compare_models(*tables(spark, sf), models, K_FOLDS))
 
 
 @query("eval_15_percentile_sweep")
 def percentile_sweep(spark, sf):
     train, external = splits(spark, sf)
-    features = word_features(train, external, 10.0).drop("block")
+    features = words(train, external)
     return M.percentile_sweep(features, train, external, (5, 30), (FAST,), folds=K_FOLDS)
 
 
+def _ablation(spark, sf, by, values):
+    """Lexicon features by statistic and dimension, next to the word counts."""
+    train, external = splits(spark, sf)
+    rows = M.stat_and_dim(lexicon_blocks(train, external), ("joy", "sad", "anger"))
+    base = word_features(train, external)
+    return M.ablate(rows, train, external, by, values, ModelSpec("tree"), K_FOLDS, base)
+
+
 @query("eval_16_ablate_stats")
 def ablate_stats(spark, sf):
-    train, external = splits(spark, sf)
-    rows = lexicon_blocks(train, external)
-    return M.ablate(rows, train, external, "stat", ("sum", "max"), ModelSpec("tree"), K_FOLDS)
+    return _ablation(spark, sf, "stat", ("sum", "max"))
 
 
 @query("eval_16_ablate_dims")
 def ablate_dims(spark, sf):
-    train, external = splits(spark, sf)
-    rows = lexicon_blocks(train, external)
-    return M.ablate(rows, train, external, "dim", ("joy", "sad"), ModelSpec("tree"), K_FOLDS)
+    return _ablation(spark, sf, "dim", ("joy", "sad", "anger"))
 
 
 @query("eval_17_evaluate_masks")
@@ -184,13 +174,14 @@ def evaluate_masks(spark, sf):
     )
     return M.evaluate_masks(
         lexicon_blocks(train, external), masks, train, external, blocks, memo,
-        models=(ModelSpec("tree", {"depth": 4}),), folds=K_FOLDS,
+        models=(ModelSpec("tree"),), folds=K_FOLDS,
     )
 
 
 @query("eval_20_grid_search")
 def grid_search(spark, sf):
-    return M.grid_search("multinomial_nb", {"alpha": (0.01, 1.0)}, *tables(spark, sf), K_FOLDS)
+    grid = {"C": (0.3, 0.5, 1.0, 100, 1000), "balanced": (False, True)}
+    return M.grid_search("logistic", grid, *tables(spark, sf), K_FOLDS)
 
 
 @query("eval_21_compare_tokenizers")
@@ -225,8 +216,8 @@ def token_alignment(spark, sf):
 @query("sel_07_eliminate")
 def eliminate(spark, sf):
     train, external = splits(spark, sf)
-    features = word_features(train, external, 1.0).drop("block")
-    return M.eliminate(features, train, external, 0.5, 2, K_FOLDS, ModelSpec("linear_svc", {"max_iter": 5}))
+    features = word_features(train, external).drop("block")
+    return M.eliminate(features, train, external, 0.5, K_FOLDS)
 
 
 # ---------------------------------------------------------------- extension points
@@ -247,13 +238,18 @@ def own_evaluator(spark, sf):
 
 @query("udf_05_own_transformer")
 def own_transformer(spark, sf):
-    """A caller's step inside a pipeline: cleaning, then Spark's counts, then a model."""
+    """A caller's step inside a pipeline: cleaning, then counts over all words, then a model."""
     train, external = splits(spark, sf)
     step = M.FunctionTransformer(lambda df: C.clean(df, CleanSpec(tokenizer="informal")))
-    counts = CountVectorizer(inputCol="toks", outputCol="features", minDF=2.0)
+    known = runtime.materialize(M.feature_index(R.bag_of_words(step.transform(train))), "vocabulary")
+
+    def vectors(df):
+        return M.vector_table(R.bag_of_words(df.select("doc_id", "toks")), df, known)
+
     model = NaiveBayes(labelCol="target", modelType="multinomial")
-    fitted = Pipeline(stages=[step, counts, model]).fit(M.with_target(train))
-    return M.predict(fitted, M.with_target(external))
+    stages = [step, M.FunctionTransformer(vectors), model]
+    fitted = Pipeline(stages=stages).fit(train)
+    return M.predict(fitted, external)
 
 
 @query("udf_06_own_models")
