@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import input_bytes, pieces
+from moodmill.llm.common import discard, pieces, stored
 from moodmill.llm.signatures import (
     MAIL,
     NO_ID,
@@ -32,16 +32,17 @@ from moodmill.llm.signatures import (
     shared,
     sliding_min,
 )
-from moodmill.runtime import materialize
 
 #: Places of an anchor from which its windows are spans of their own.
 FREQUENT = 5000
-#: Stored tables up to this size are broadcast to the documents.
-BROADCAST_BYTES = 16 << 20
+#: Contents a task remembers as sent.
+SENT_CONTENTS = 200_000
 PLACE_BITS = np.uint64(28)
 
 SPANS = "doc_id long, start long, sig long, part long, content binary, digest binary"
-SHARD = "sig long, part long, content binary, doc_id long, start long"
+SHARD = (
+    "sig long, part long, content binary, doc_id long, start long, last_doc long, last_start long"
+)
 FIRSTS = "digest binary, first_doc array<long>, first_start array<long>"
 
 
@@ -99,11 +100,6 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def placed_table(df: DataFrame) -> DataFrame:
-    """Broadcast a stored table by its size, else leave the join to Spark."""
-    return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES else df
-
-
 class Repeats:
     """The search over one table of documents.
 
@@ -141,17 +137,18 @@ class Repeats:
 
     def _spans(self) -> DataFrame:
         ranges, symbols, window, gram = self.ranges, self.symbols, self.window, self.gram
-        per_doc = materialize(
-            self._anchors()
-            .groupBy("doc_id")
-            .agg(
+        found = self._anchors()
+        per_doc = stored(
+            found.groupBy("doc_id").agg(
                 F.collect_set("sig").alias("sigs"),
                 F.collect_set(F.when(F.col("df") >= FREQUENT, F.col("sig"))).alias("frequent"),
             ),
             "anchors",
         )
+        discard(found)
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sent: set[bytes] = set()
             for batch in pieces(batches, "text"):
                 read = symbols(batch["text"].tolist())
                 anchors = Anchors(read, window, gram)
@@ -172,26 +169,42 @@ class Repeats:
                             content = read.content(a, a + size + window - 1)
                             digest = hashlib.md5(content).digest()
                             part = int.from_bytes(digest[:8], "little", signed=True)
+                            if digest in sent:
+                                content = None  # a copy of a span the task has sent
+                            elif len(sent) < SENT_CONTENTS:
+                                sent.add(digest)
                             rows.append(
                                 (doc_id, a - base, sig, part if sig in single else 0, content, digest)
                             )
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
 
-        found = self.docs.join(placed_table(per_doc), "doc_id")
-        return materialize(found.mapInPandas(cut, SPANS), "spans")
+        spans = stored(self.docs.join(per_doc, "doc_id").mapInPandas(cut, SPANS), "spans")
+        discard(per_doc)
+        return spans
 
     def removals(self) -> DataFrame:
         """Stored (doc_id, spans): start and per window whether it comes earlier elsewhere."""
         spans = self._spans()
-        first = F.min(F.struct("doc_id", "start")).alias("first")
         shards = (
-            spans.groupBy("sig", "part", "content")
-            .agg(first)
-            .select("sig", "part", "content", "first.doc_id", "first.start")
+            spans.groupBy("sig", "part", "digest")
+            .agg(
+                F.min(F.struct("doc_id", "start")).alias("first"),
+                F.max(F.struct("doc_id", "start")).alias("last"),
+                F.first("content", ignorenulls=True).alias("content"),
+            )
+            .select(
+                "sig",
+                "part",
+                "content",
+                "first.doc_id",
+                "first.start",
+                F.col("last.doc_id").alias("last_doc"),
+                F.col("last.start").alias("last_start"),
+            )
             .repartition("sig", "part")
             .sortWithinPartitions("sig", "part", "doc_id", "start")
         )
-        firsts = materialize(shards.mapInPandas(self.lookup, FIRSTS), "firsts")
+        firsts = stored(shards.mapInPandas(self.lookup, FIRSTS), "firsts")
         earlier = (
             "transform(first_doc, (d, i) -> d < doc_id"
             + (" OR (d = doc_id AND first_start[i] < start + i)" if self.within else "")
@@ -203,14 +216,16 @@ class Repeats:
             .select("doc_id", "start", F.expr(earlier).alias("gone"))
             .where("exists(gone, g -> g)")
         )
-        return materialize(
+        found = stored(
             marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "gone")).alias("spans")),
             "removals",
         )
+        discard(spans, firsts)
+        return found
 
     def kept(self, finish: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str):
         """``finish`` gets every document's doc_id and text, and its removals or null."""
-        joined = self.docs.join(placed_table(self.removals()), "doc_id", "left")
+        joined = self.docs.join(self.removals(), "doc_id", "left")
         return joined.mapInPandas(finish, schema)
 
 

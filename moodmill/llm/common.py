@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodmill.runtime import materialize
+
 #: Text handed to one numpy or regex pass; bounds what a task holds beside its Arrow batch.
 CHUNK_BYTES = 1 << 20
 
@@ -35,6 +37,26 @@ def input_bytes(df: DataFrame) -> int:
     return sum(size for size in sizes if size < 1 << 60)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``materialize``, after letting go of the shuffle files of finished steps.
+
+    Spark drops them when the driver collects its garbage, which a driver with little to do
+    may not do for hours.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return materialize(df, label)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads; part of a table is the whole table."""
+    for df in tables:
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def pieces(batches: Iterator[pd.DataFrame], column: str, most: int = CHUNK_BYTES):
     """Cut Arrow batches into runs of rows of about ``most`` characters, at least one row each."""
     for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from moodmill.llm.common import pieces, placed
+from moodmill.llm.common import discard, pieces, placed, stored
 from moodmill.llm.components import components
 from moodmill.llm.signatures import (
     MAIL,
@@ -31,7 +31,6 @@ from moodmill.llm.signatures import (
     ranges_for,
     shared,
 )
-from moodmill.runtime import materialize
 
 SHINGLE = 5
 #: The link: PER_CENT of the union are common. Bounds below hold for 75.
@@ -167,9 +166,9 @@ def link_components(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     ranges = ranges_for(docs)
-    notes = materialize(rows.mapInPandas(_notes, NOTE), "notes")
+    notes = stored(rows.mapInPandas(_notes, NOTE), "notes")
     # a hot set leaves each task once
-    classes = materialize(
+    classes = stored(
         notes.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")), "classes"
     )
 
@@ -203,22 +202,20 @@ def link_components(docs: DataFrame) -> DataFrame:
         .withColumn("rank", F.row_number().over(own.orderBy("df", "sig")))
     )
     kept = ranked.where(F.col("rank") <= F.col("shared") - least_shared(F.col("n")) + 1)
-    kept = materialize(kept.select("sig", F.col("rep").alias("doc_id"), "n"), "cells")
+    kept = stored(kept.select("sig", F.col("rep").alias("doc_id"), "n"), "cells")
+    discard(cells_shared)
 
-    centres = materialize(
+    centres = stored(
         kept.groupBy("sig").agg(F.min("doc_id").alias("centre"), F.count("*").alias("held"))
         .where("held > 1").drop("held"),
         "centres",
     )
     met = kept.join(centres, "sig")
-    wanted = materialize(met.select("doc_id").distinct(), "wanted")
-    sets = materialize(
-        rows.join(placed(wanted, wanted.count()), "doc_id", "left_semi").mapInPandas(_sets, SETS),
-        "sets",
-    ).dropDuplicates(["doc_id"])
-    sets = materialize(sets, "sets")
-
-    first_pairs = materialize(
+    wanted = stored(met.select("doc_id").distinct(), "wanted")
+    found = rows.join(placed(wanted, wanted.count()), "doc_id", "left_semi")
+    sets = stored(found.mapInPandas(_sets, SETS).dropDuplicates(["doc_id"]), "sets")
+
+    first_pairs = stored(
         met.where("doc_id <> centre")
         .select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
         .distinct(),
@@ -231,14 +228,14 @@ def link_components(docs: DataFrame) -> DataFrame:
         .join(placed_in.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
     )
-    cells_left = materialize(cells_left, "cells-left")
+    cells_left = stored(cells_left, "cells-left")
     open_cells = (
         cells_left.groupBy("sig")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
         .select("sig")
     )
-    left = materialize(cells_left.join(open_cells, "sig"), "open-cells")
+    left = stored(cells_left.join(open_cells, "sig"), "open-cells")
     a, b = left.alias("a"), left.alias("b")
     more_pairs = (
         a.join(b, F.col("a.sig") == F.col("b.sig"))
@@ -250,14 +247,15 @@ def link_components(docs: DataFrame) -> DataFrame:
         .distinct()
         .join(first_pairs, ["a", "b"], "left_anti")
     )
-    more = verified(materialize(more_pairs, "pairs"), sets)
+    more = verified(stored(more_pairs, "pairs"), sets)
     # components of components: the second links alone join them
     final = components(links.unionByName(more))
 
     by_rep = classes.join(
         final.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
-    by_set = materialize(by_rep, "components")
+    by_set = stored(by_rep, "components")
+    discard(kept, centres, wanted, sets, first_pairs, cells_left, left)
     return notes.join(by_set, ["fp1", "fp2", "n"], "left").select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -312,10 +310,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         )
         .select("a", "b")
     )
-    likely = materialize(likely, "likely")
+    likely = stored(likely, "likely")
     full = sets.select("doc_id", "shingles")
     both = likely.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
-    return materialize(both.mapInPandas(_linked, "a long, b long"), "links")
+    return stored(both.mapInPandas(_linked, "a long, b long"), "links")
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,8 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import input_bytes
-from moodmill.runtime import materialize
+from moodmill.llm.common import input_bytes, stored
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
@@ -275,8 +274,8 @@ def shared(mail: DataFrame, ranges: int) -> DataFrame:
     ``df`` is the same in all rows of a signature. ``mail`` comes from ``Sender``; ``sig`` is
     what ``key_of`` makes of a signature; a document counts once per block for a signature.
     """
-    raw = materialize(mail.groupBy("range", "side").applyInPandas(_reduce(ranges), FOUND), "shared")
+    raw = stored(mail.groupBy("range", "side").applyInPandas(_reduce(ranges), FOUND), "shared")
     light = raw.where(F.col("doc_id").isNotNull() & F.col("df").isNotNull())
     frequent = raw.where(F.col("df").isNull()).select("sig", "doc_id").distinct()
     counts = raw.where(F.col("doc_id").isNull()).select("sig", "df")
-    return light.unionByName(materialize(frequent.join(counts, "sig"), "frequent"))
+    return light.unionByName(stored(frequent.join(counts, "sig"), "frequent"))

@@ -105,7 +105,7 @@ class Automaton:
 
 
 def shards(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """Rows (content, doc_id, start) of one anchor after the other, across batches."""
+    """Rows (content, first doc_id and start, last ones) of one anchor after the other."""
     key, rows = None, []
     for batch in batches:
         for row in batch.itertuples(index=False):
@@ -113,7 +113,8 @@ def shards(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
                 if rows:
                     yield rows
                 key, rows = (row.sig, row.part), []
-            rows.append((bytes(row.content), row.doc_id, row.start))
+            last = (row.last_doc, row.last_start)
+            rows.append((bytes(row.content), row.doc_id, row.start, last))
     if rows:
         yield rows
 
@@ -121,18 +122,19 @@ def shards(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
 def first_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     out = []
     for rows in shards(batches):
-        spans = [(content.split(b" "), doc) for content, doc, _ in rows]
+        spans = [(content.split(b" "), doc) for content, doc, _, _ in rows]
         automaton = None
         if len(spans) > 1:
             automaton = Automaton()
             for words, doc in spans:
                 automaton.add(words, doc)
             automaton.close()
-        for (content, doc, _), (words, _) in zip(rows, spans, strict=True):
+        for (content, doc, _, last), (words, _) in zip(rows, spans, strict=True):
             n = len(words) - WINDOW + 1
             # alone in its shard, a span comes first where its first copy stands
             least = automaton.least_docs(words, WINDOW) if automaton else [doc] * n
-            out.append((hashlib.md5(content).digest(), least, None))
+            if doc < last[0] or min(least) < doc:  # else no document has it later than another
+                out.append((hashlib.md5(content).digest(), least, None))
         if len(out) >= 5000:
             yield pd.DataFrame(out, columns=["digest", "first_doc", "first_start"])
             out = []

@@ -40,16 +40,15 @@ class ByteSymbols(Symbols):
         return self.data[a:b]
 
 
-def ranked(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by several keys, and the name (from 1) of each row among equal ones."""
-    order = np.lexsort(keys[::-1])
-    fresh = np.zeros(len(order), np.int64)
-    for key in keys:
-        own = key[order]
-        fresh[1:] |= own[1:] != own[:-1]
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(fresh) + 1
-    return order, names
+#: Symbols and ranks of one array fit into so many bits, three of them into a number.
+BITS = 21
+
+
+def packed(*keys: np.ndarray) -> np.ndarray:
+    out = keys[0]
+    for key in keys[1:]:
+        out = (out << BITS) | key
+    return out
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -57,27 +56,35 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
+    if n + 3 >= 1 << BITS:
+        raise ValueError("a text is too long for one suffix array")
     padded = np.concatenate([text, np.zeros(3, np.int64)])
     ones, twos, rest = (np.arange(r, n + (n % 3 == 1 and r == 1), 3) for r in (1, 2, 0))
     cover = np.concatenate([ones, twos])
-    _, names = ranked(padded[cover], padded[cover + 1], padded[cover + 2])
-    if names.max() < len(cover):
+    triples = packed(padded[cover], padded[cover + 1], padded[cover + 2])
+    order = np.argsort(triples)
+    triples = triples[order]
+    new = np.ones(len(order), np.int64)
+    new[1:] = triples[1:] != triples[:-1]
+    if not new.all():
+        names = np.empty(len(order), np.int64)
+        names[order] = np.cumsum(new)
         order = suffix_array(names)
-    else:
-        order = np.argsort(names)
     rank = np.zeros(n + 3, np.int64)
     rank[cover[order]] = np.arange(1, len(order) + 1)
     cover = cover[order]
     cover = cover[cover < n]
-    rest = rest[np.lexsort((rank[rest + 1], padded[rest]))]
+    rest = rest[np.argsort(packed(padded[rest], rank[rest + 1]))]
 
     # a suffix outside the cover is compared by one symbol with residue 1, by two with residue 2
     ones, twos = cover[cover % 3 == 1], cover[cover % 3 == 2]
     place = np.arange(len(rest))
-    place += smaller((padded[ones], rank[ones + 1]), (padded[rest], rank[rest + 1]))
-    place += smaller(
-        (padded[twos], padded[twos + 1], rank[twos + 2]),
-        (padded[rest], padded[rest + 1], rank[rest + 2]),
+    place += np.searchsorted(
+        packed(padded[ones], rank[ones + 1]), packed(padded[rest], rank[rest + 1])
+    )
+    place += np.searchsorted(
+        packed(padded[twos], padded[twos + 1], rank[twos + 2]),
+        packed(padded[rest], padded[rest + 1], rank[rest + 2]),
     )
     out = np.empty(n, np.int64)
     free = np.ones(n, bool)
@@ -86,24 +93,27 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def smaller(sorted_keys: tuple, wanted_keys: tuple) -> np.ndarray:
-    """How many of the sorted rows come before each of the wanted rows, also sorted."""
-    a, b = len(sorted_keys[0]), len(wanted_keys[0])
-    both = [np.concatenate(pair) for pair in zip(sorted_keys, wanted_keys, strict=True)]
-    order = np.lexsort(both[::-1])
-    before = np.cumsum(order < a)
-    out = np.empty(a + b, np.int64)
-    out[order] = before
-    return out[a:]
-
-
 def first_places(rows: list[tuple]) -> Iterator[tuple]:
-    """Per span the first document and start of each of its windows among all spans."""
+    """Per span the first document and start of each of its windows among all spans.
+
+    One anchor's spans that do not fit into an array, as a text can hold that stands on one
+    anchor throughout, are looked up window by window.
+    """
     if len(rows) == 1:
-        content, doc, start = rows[0]
+        content, doc, start, _ = rows[0]
         n = len(content) - WINDOW + 1
         yield content, [doc] * n, list(range(start, start + n))
         return
+    if sum(len(r[0]) + 1 for r in rows) + 3 >= 1 << BITS:
+        seen: dict[bytes, tuple] = {}
+        for content, doc, start, _ in rows:
+            for j in range(len(content) - WINDOW + 1):
+                own = content[j : j + WINDOW]
+                seen[own] = min(seen.get(own, (doc, start + j)), (doc, start + j))
+        for content, *_ in rows:
+            found = [seen[content[j : j + WINDOW]] for j in range(len(content) - WINDOW + 1)]
+            yield content, [f[0] for f in found], [f[1] for f in found]
+        return
     sizes = np.fromiter((len(r[0]) + 1 for r in rows), np.int64, len(rows))
     data = np.frombuffer(b"\0".join(r[0] for r in rows) + b"\0", np.uint8)
     text = data.astype(np.int64) + 2
@@ -126,28 +136,40 @@ def first_places(rows: list[tuple]) -> Iterator[tuple]:
     heads = order[earliest[np.flatnonzero(new)]]
     head = np.empty(len(text), np.int64)
     head[order] = heads[group]
-    for (content, _, _), at in zip(rows, base.tolist(), strict=True):
+    for (content, *_), at in zip(rows, base.tolist(), strict=True):
         own = head[at : at + len(content) - WINDOW + 1]
         yield content, doc[own].tolist(), start[own].tolist()
 
 
 def first_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def flush(held: list[tuple]) -> pd.DataFrame:
-        out = [(hashlib.md5(c).digest(), docs, starts) for c, docs, starts in first_places(held)]
-        return pd.DataFrame(out, columns=["digest", "first_doc", "first_start"])
+    """Arrays over the spans of several anchors; one anchor's spans stay together."""
+    names = ["digest", "first_doc", "first_start"]
+    out, held, size = [], [], 0
+
+    def resolve(rows: list[tuple]) -> None:
+        for (_, doc, start, last), (content, docs, starts) in zip(rows, first_places(rows), strict=True):
+            # what stands once, and first, is removed nowhere
+            if last != (doc, start) or any(
+                d != doc or s != start + j for j, (d, s) in enumerate(zip(docs, starts, strict=True))
+            ):
+                out.append((hashlib.md5(content).digest(), docs, starts))
 
-    held, size = [], 0
     for rows in shards(batches):
+        own = sum(len(r[0]) + 1 for r in rows)
         if len(rows) == 1:
-            yield flush(rows)
-            continue
-        held += rows
-        size += sum(len(r[0]) for r in rows)
-        if size >= ARRAY_BYTES:
-            yield flush(held)
-            held, size = [], 0
+            resolve(rows)
+        else:
+            if size + own > ARRAY_BYTES and held:
+                resolve(held)
+                held, size = [], 0
+            held += rows
+            size += own
+        if len(out) >= 2000:
+            yield pd.DataFrame(out, columns=names)
+            out = []
     if held:
-        yield flush(held)
+        resolve(held)
+    yield pd.DataFrame(out, columns=names)
 
 
 def kept_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
