@@ -72,9 +72,9 @@ def match_terms(
         raise ValueError("set mode needs the specs of the lexicons to look up")
     table = runtime.small_side(_by_form(effective(lexicon), specs))
     forms = {f for s in specs for f in s.forms()}
-    # with one form, repeats go inside the row; with several, forms can repeat each other
+    # repeats of a form go inside the row; those of another form are found among the matches
     several = any(len(s.forms()) > 1 for s in specs)
-    grams = C.gram_forms(docs, forms, distinct=not several)
+    grams = C.gram_forms(docs, forms, distinct=True)
     grams = grams.withColumn("term", bare(F.col("gram")))
     turned = F.col("gram").contains(P.NEGATION_PREFIX) & (F.col("dim") == POLARITY)
     hits = grams.join(table, ["form", "term"]).select(
@@ -166,26 +166,43 @@ def match_synsets(tagged: DataFrame, senses: DataFrame, sense: str = "first") ->
 # ---------------------------------------------------------------- message statistics
 
 
-def _every(docs: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One empty row per message and lexicon, so that messages without a match appear."""
-    lexicons = F.explode(F.array(*[F.lit(n) for n in names])).alias("lexicon")
-    return docs.select("doc_id", lexicons, F.lit(None).cast("double").alias("value"))
-
-
 def opinion_features(matches: DataFrame, docs: DataFrame, names: Sequence[str]) -> DataFrame:
-    """avg, sum, min, max, negamt, posamt, fpol per message and lexicon; zeros for no match."""
-    hits = matches.where(F.col("dim") == POLARITY).select("doc_id", "lexicon", "value")
+    """avg, sum, min, max, negamt, posamt, fpol per message and lexicon; zeros for no match.
+
+    Matches are brought together by message once; the messages join as one row each, and
+    the lexicons without a match are filled in inside that row.
+    """
     v = F.col("value")
-    stats = _every(docs, names).unionByName(hits).groupBy("doc_id", "lexicon")
-    out = stats.agg(
-        *[
-            F.coalesce(f("value"), F.lit(0.0)).alias(n)
-            for n, f in (("avg", F.avg), ("sum", F.sum), ("min", F.min), ("max", F.max))
-        ],
-        F.count(F.when(v < 0, 1)).alias("negamt"),
-        F.count(F.when(v > 0, 1)).alias("posamt"),
+    stats = {
+        "avg": F.avg(v),
+        "sum": F.sum(v),
+        "min": F.min(v),
+        "max": F.max(v),
+        "negamt": F.count(F.when(v < 0, 1)),
+        "posamt": F.count(F.when(v > 0, 1)),
+    }
+    hits = matches.where(F.col("dim") == POLARITY).select("doc_id", "lexicon", "value")
+    found = (
+        hits.repartition("doc_id")
+        .groupBy("doc_id", "lexicon")
+        .agg(*[c.alias(n) for n, c in stats.items()])
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("lexicon", F.struct(*stats).alias("s"))).alias("found"))
+    )
+    zero = F.struct(
+        *[F.lit(0.0).alias(n) for n in ("avg", "sum", "min", "max")],
+        *[F.lit(0).cast("long").alias(n) for n in ("negamt", "posamt")],
+    )
+    out = _per_lexicon(docs.select("doc_id").join(found, "doc_id", "left"), names, zero)
+    return out.select("doc_id", "lexicon", "s.*").withColumn("fpol", F.signum("sum").cast("int"))
+
+
+def _per_lexicon(rows: DataFrame, names: Sequence[str], zero: Column) -> DataFrame:
+    """A row per lexicon of every row: ``s`` from its array ``found``, or ``zero``."""
+    each = rows.withColumn("found", F.map_from_entries("found")).withColumn(
+        "lexicon", F.explode(F.array(*[F.lit(n) for n in names]))
     )
-    return out.withColumn("fpol", F.signum("sum").cast("int"))
+    return each.withColumn("s", F.coalesce(F.try_element_at("found", F.col("lexicon")), zero))
 
 
 def emotion_features(matches: DataFrame, positive_only: bool = False) -> DataFrame:
@@ -382,44 +399,57 @@ def polarity_summary(docs: DataFrame, lexicon: DataFrame, names: Sequence[str])
     last_in = F.coalesce(
         F.try_element_at("toks", F.lit(-1)) != F.try_element_at("marked", F.lit(-1)), F.lit(False)
     )
-    states = F.explode(
-        F.filter(
-            F.array(
-                F.struct(F.lit(False).alias("neg"), (F.col("n_all") - F.col("n_in")).alias("n")),
-                F.struct(F.lit(True).alias("neg"), F.col("n_in").alias("n")),
-            ),
-            lambda s: s["n"] > 0,
+    v = F.col("value")
+    stats = {
+        "count": F.count(F.when(v > 0, 1)),
+        "max": F.max(v),
+        "hits": F.count(v),
+        "sum": F.coalesce(F.sum(v), F.lit(0.0)),
+        "last": F.max(F.when(F.col("at_end"), v)),
+    }
+    found = (
+        hits.repartition("doc_id")
+        .groupBy("doc_id", "lexicon", "negated")
+        .agg(*[c.alias(n) for n, c in stats.items()])
+        .groupBy("doc_id")
+        .agg(
+            F.collect_list(
+                F.struct(F.struct("lexicon", "negated").alias("key"), F.struct(*stats).alias("s"))
+            ).alias("found")
         )
     )
-    base = lists.select("doc_id", "n_all", last_in.alias("last_in"), states.alias("s")).select(
-        "doc_id",
-        F.explode(F.array(*[F.lit(n) for n in names])).alias("lexicon"),
-        F.col("s.neg").alias("negated"),
-        F.col("n_all"),
-        (F.col("s.neg") == F.col("last_in")).alias("holds_last"),
-    )
-    both = base.withColumns(
-        {"value": F.lit(None).cast("double"), "at_end": F.lit(False)}
-    ).unionByName(hits, allowMissingColumns=True)
-    v = F.col("value")
-    out = both.groupBy("doc_id", "lexicon", "negated").agg(
-        F.count(F.when(v > 0, 1)).alias("count"),
-        F.max(v).alias("_max"),
-        F.count(v).alias("_hits"),
-        F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"),
-        F.max(F.when(F.col("at_end"), v)).alias("_last"),
-        F.max("n_all").alias("_all"),
-        F.max("holds_last").alias("_holds"),
+    zero = F.struct(
+        F.lit(0).cast("long").alias("count"),
+        F.lit(None).cast("double").alias("max"),
+        F.lit(0).cast("long").alias("hits"),
+        F.lit(0.0).alias("sum"),
+        F.lit(None).cast("double").alias("last"),
+    )
+    # one row per message meets its matches; states and lexicons are filled in inside it
+    states = F.filter(
+        F.array(
+            F.struct(F.lit(False).alias("neg"), (F.col("n_all") - F.col("n_in")).alias("n")),
+            F.struct(F.lit(True).alias("neg"), F.col("n_in").alias("n")),
+        ),
+        lambda x: x["n"] > 0,
+    )
+    base = lists.select("doc_id", "n_all", last_in.alias("last_in"), states.alias("states"))
+    every = base.join(found, "doc_id", "left").withColumn("found", F.map_from_entries("found"))
+    every = every.withColumn("state", F.explode("states")).withColumn(
+        "lexicon", F.explode(F.array(*[F.lit(n) for n in names]))
     )
-    zeros = F.col("_hits") < F.col("_all")
-    return out.select(
+    key = F.struct(F.col("lexicon"), F.col("state.neg").alias("negated"))
+    rows = every.withColumn("s", F.coalesce(F.try_element_at("found", key), zero))
+    zeros = F.col("s.hits") < F.col("n_all")
+    holds = F.col("state.neg") == F.col("last_in")
+    return rows.select(
         "doc_id",
         "lexicon",
-        "negated",
-        "count",
-        F.when(zeros, F.greatest("_max", F.lit(0.0))).otherwise(F.col("_max")).alias("max"),
-        "sum",
-        F.when(F.col("_holds"), F.coalesce("_last", F.lit(0.0))).alias("last"),
+        F.col("state.neg").alias("negated"),
+        "s.count",
+        F.when(zeros, F.greatest("s.max", F.lit(0.0))).otherwise(F.col("s.max")).alias("max"),
+        "s.sum",
+        F.when(holds, F.coalesce("s.last", F.lit(0.0))).alias("last"),
     )
 
 

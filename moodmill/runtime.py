@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 SMALL_ROWS = 1_000_000
 SMALL_BYTES = 128 << 20
+#: Bytes in memory for a stored byte, arrays and repeated words included.
+STORED_FACTOR = 8
+SPREAD_BYTES = 256 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,13 +40,22 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def leaf_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables below ``df`` as the planner knows them; None if one is unknown."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(size >= 1 << 60 for size in sizes) else sum(sizes)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a scan with too few splits over the cores; a scan with enough is left alone.
+    """Hash a small scan with too few splits over the cores.
 
-    For scans only: counting the splits of a plan with a shuffle would run the shuffle.
+    Only a table below SPREAD_BYTES is shuffled for it; a larger one is left to its splits,
+    which ``spark.sql.files.maxPartitionBytes`` can make smaller.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    size = leaf_bytes(df)
+    if size is None or size > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
 
@@ -56,22 +68,19 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 
 def small_side(df: DataFrame, rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
-    """Mark a derived dimension for broadcast once its rows and bytes are counted.
+    """Mark a dimension for broadcast once its rows and bytes are known to be few.
 
-    At most ``rows + 1`` rows are read for the check. A larger table comes back
-    unmarked, and Spark joins it by a shuffle with adaptive skew handling.
+    A table of literal rows is judged by the planner's size. A derived one is run once, into
+    a stored table that is both counted (from its footers) and used. A larger table comes
+    back unmarked, and Spark joins it by a shuffle with adaptive skew handling.
     """
-    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
-    per_row = 16 * len(df.columns)
-    seen = (
-        df.limit(rows + 1)
-        .agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b"))
-        .first()
-    )
-    if seen["n"] > rows or seen["b"] + per_row * seen["n"] > max_bytes:
-        return df
-    return F.broadcast(df)
+    leaves = df._jdf.queryExecution().optimizedPlan()
+    if leaves.getClass().getSimpleName() == "LocalRelation":
+        return F.broadcast(df) if leaf_bytes(df) <= max_bytes else df
+    stored = materialize(df, "side")
+    if stored.count() > rows or STORED_FACTOR * leaf_bytes(stored) > max_bytes:
+        return stored
+    return F.broadcast(stored)
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], name: str, label: str = "numbered"):
