@@ -35,14 +35,20 @@ from moodmill.llm.signatures import (
 
 #: Places of an anchor from which its windows are spans of their own.
 FREQUENT = 5000
-#: Contents a task remembers as sent.
-SENT_CONTENTS = 200_000
+#: Contents a task holds before it sends them.
+HELD_CONTENTS = 100_000
 PLACE_BITS = np.uint64(28)
 
-SPANS = "doc_id long, start long, sig long, part long, content binary, digest binary"
+#: Places of spans (doc_id, start, digest), and among them the contents a task has seen,
+#: with their first and last place in that task.
+SPANS = (
+    "doc_id long, start long, digest binary, sig long, part long, content binary, "
+    "last_doc long, last_start long"
+)
 SHARD = (
     "sig long, part long, content binary, doc_id long, start long, last_doc long, last_start long"
 )
+NULLABLE = {c: "Int64" for c in ("sig", "part", "last_doc", "last_start")} | {"content": object}
 FIRSTS = "digest binary, first_doc array<long>, first_start array<long>"
 
 
@@ -148,15 +154,25 @@ class Repeats:
         discard(found)
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sent: set[bytes] = set()
+            names = [c.split()[0] for c in SPANS.split(", ")]
+            held: dict[bytes, list] = {}
+
+            def contents() -> pd.DataFrame:
+                rows = [
+                    (*first, digest, sig, part, content, *last)
+                    for digest, (sig, part, content, first, last) in held.items()
+                ]
+                held.clear()
+                return pd.DataFrame(rows, columns=names)
+
             for batch in pieces(batches, "text"):
                 read = symbols(batch["text"].tolist())
                 anchors = Anchors(read, window, gram)
                 keys = key_of(anchors.hash, ranges).view(np.int64)
-                rows = []
                 cuts = np.searchsorted(anchors.row, np.arange(len(batch) + 1))
+                docs, starts, digests = [], [], []
                 for i, (doc_id, sigs, frequent) in enumerate(
-                    zip(batch["doc_id"], batch["sigs"], batch["frequent"], strict=True)
+                    zip(batch["doc_id"].tolist(), batch["sigs"], batch["frequent"], strict=True)
                 ):
                     own = slice(cuts[i], cuts[i + 1])
                     chosen = np.flatnonzero(np.isin(keys[own], sigs)) + cuts[i]
@@ -168,15 +184,22 @@ class Repeats:
                         for a, size in runs:
                             content = read.content(a, a + size + window - 1)
                             digest = hashlib.md5(content).digest()
-                            part = int.from_bytes(digest[:8], "little", signed=True)
-                            if digest in sent:
-                                content = None  # a copy of a span the task has sent
-                            elif len(sent) < SENT_CONTENTS:
-                                sent.add(digest)
-                            rows.append(
-                                (doc_id, a - base, sig, part if sig in single else 0, content, digest)
-                            )
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
+                            place = (doc_id, a - base)
+                            seen = held.get(digest)
+                            if seen is None:
+                                part = int.from_bytes(digest[:8], "little", signed=True)
+                                part = part if sig in single else 0
+                                held[digest] = [sig, part, content, place, place]
+                            else:
+                                seen[3], seen[4] = min(seen[3], place), max(seen[4], place)
+                            docs.append(doc_id)
+                            starts.append(a - base)
+                            digests.append(digest)
+                frame = pd.DataFrame({"doc_id": docs, "start": starts, "digest": digests})
+                yield frame.reindex(columns=names).astype(NULLABLE)
+                if len(held) >= HELD_CONTENTS:
+                    yield contents()
+            yield contents()
 
         spans = stored(self.docs.join(per_doc, "doc_id").mapInPandas(cut, SPANS), "spans")
         discard(per_doc)
@@ -186,23 +209,10 @@ class Repeats:
         """Stored (doc_id, spans): start and per window whether it comes earlier elsewhere."""
         spans = self._spans()
         shards = (
-            spans.groupBy("sig", "part", "digest")
-            .agg(
-                F.min(F.struct("doc_id", "start")).alias("first"),
-                F.max(F.struct("doc_id", "start")).alias("last"),
-                F.first("content", ignorenulls=True).alias("content"),
-            )
-            .select(
-                "sig",
-                "part",
-                "content",
-                "first.doc_id",
-                "first.start",
-                F.col("last.doc_id").alias("last_doc"),
-                F.col("last.start").alias("last_start"),
-            )
+            spans.where(F.col("content").isNotNull())
+            .select(*[c.split()[0] for c in SHARD.split(", ")])
             .repartition("sig", "part")
-            .sortWithinPartitions("sig", "part", "doc_id", "start")
+            .sortWithinPartitions("sig", "part")
         )
         firsts = stored(shards.mapInPandas(self.lookup, FIRSTS), "firsts")
         earlier = (
@@ -211,7 +221,8 @@ class Repeats:
             + ")"
         )
         marked = (
-            spans.select("doc_id", "start", "digest")
+            spans.where(F.col("content").isNull())
+            .select("doc_id", "start", "digest")
             .join(firsts, "digest")
             .select("doc_id", "start", F.expr(earlier).alias("gone"))
             .where("exists(gone, g -> g)")

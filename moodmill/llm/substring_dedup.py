@@ -105,18 +105,23 @@ class Automaton:
 
 
 def shards(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """Rows (content, first doc_id and start, last ones) of one anchor after the other."""
-    key, rows = None, []
+    """Spans (content, first doc_id and start, last place) of one anchor after the other.
+
+    A content comes once from every task that has it; its places are brought together here.
+    """
+    key, spans = None, {}
     for batch in batches:
         for row in batch.itertuples(index=False):
             if (row.sig, row.part) != key:
-                if rows:
-                    yield rows
-                key, rows = (row.sig, row.part), []
-            last = (row.last_doc, row.last_start)
-            rows.append((bytes(row.content), row.doc_id, row.start, last))
-    if rows:
-        yield rows
+                if spans:
+                    yield [(c, *first, last) for c, (first, last) in spans.items()]
+                key, spans = (row.sig, row.part), {}
+            first, last = (row.doc_id, row.start), (row.last_doc, row.last_start)
+            content = bytes(row.content)
+            seen = spans.get(content, (first, last))
+            spans[content] = (min(seen[0], first), max(seen[1], last))
+    if spans:
+        yield [(c, *first, last) for c, (first, last) in spans.items()]
 
 
 def first_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
