@@ -295,63 +295,57 @@ class FunctionTransformer(Transformer):
 # ---------------------------------------------------------------- nearest neighbours
 
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int = 3, block: int = 2000) -> DataFrame:
-    """Exact k nearest neighbours of ``vec_id, embedding`` against ``vec_id, embedding, label``.
+#: Labelled rows a neighbour model may hold; more are cut to a uniform sample of so many.
+LABELLED_ROWS = 50_000
 
-    Both sides are cut into blocks of a bounded number of rows. Each task compares one
-    pair of blocks and keeps k candidates per row, so only k rows per test row and
-    block are merged afterwards.
+
+def knn_predict(
+    train: DataFrame, test: DataFrame, k: int = 3, most: int = LABELLED_ROWS, block: int = 500
+) -> DataFrame:
+    """Vote of the k nearest neighbours of ``vec_id, embedding`` among ``vec_id, embedding,
+    label``; a row is not its own neighbour.
+
+    The model is its labelled rows, so their number is bounded by ``most`` and they are
+    sent to the tasks once; the rows to be labelled stay where they are and cost the same
+    each. Distances are exact; equal ones go to the smaller id, equal votes to the smaller
+    label.
     """
-    n_train, n_test = train.count(), test.count()
-    b_train, b_test = -(-n_train // block) or 1, -(-n_test // block) or 1
-
-    def blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own)
-        every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
-        return df.select("*", mine, every)
-
-    left = blocks(test.select("vec_id", "embedding"), "tb", b_test, "rb", b_train)
-    right = blocks(train.select("vec_id", "embedding", "label"), "rb", b_train, "tb", b_test)
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"vec_id": [], "near": [], "label": [], "distance": []})
-        x = np.stack(a["embedding"].to_numpy()).astype("float64")
-        y = np.stack(b["embedding"].to_numpy()).astype("float64")
-        dist = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-        ids = b["vec_id"].to_numpy()
-        # equal distances go to the smaller id
-        order = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        cols = order.ravel()
-        return pd.DataFrame(
-            {
-                "vec_id": a["vec_id"].to_numpy()[rows],
-                "near": ids[cols],
-                "label": b["label"].to_numpy()[cols],
-                "distance": np.maximum(dist[rows, cols], 0.0),
-            }
+    spark = train.sparkSession
+    labelled = train.select("vec_id", "embedding", "label")
+    if labelled.count() > most:
+        labelled = labelled.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
+    rows = labelled.toPandas().sort_values("vec_id", kind="stable")
+    if rows.empty:
+        raise ValueError("no labelled rows to look for neighbours in")
+    model = spark.sparkContext.broadcast(
+        (
+            np.stack(rows["embedding"].to_numpy()).astype("float64"),
+            rows["vec_id"].to_numpy(),
+            rows["label"].to_numpy(),
         )
-
-    found = (
-        left.groupBy("tb", "rb")
-        .cogroup(right.groupBy("tb", "rb"))
-        .applyInPandas(nearest, "vec_id long, near long, label int, distance double")
-    )
-    best = F.slice(
-        F.array_sort(F.collect_list(F.struct("distance", "near", "label"))), 1, k
-    )  # k rows per block of the training side
-    votes = found.groupBy("vec_id").agg(best.alias("best"))
-    labels = F.transform("best", lambda b: b["label"])
-
-    def votes_for(label) -> F.Column:
-        return F.size(F.filter(labels, lambda x: x == label))
-
-    tally = F.transform(
-        F.array_distinct(labels),
-        lambda c: F.struct(votes_for(c).alias("n"), (-c).alias("order"), c.alias("label")),
     )
-    return votes.select("vec_id", F.array_max(tally)["label"].alias("pred"))
+
+    def label(batches):
+        y, ids, labels = model.value
+        squares = (y * y).sum(1)[None, :]
+        classes, codes = np.unique(labels, return_inverse=True)
+        for batch in batches:
+            for at in range(0, len(batch), block):
+                part = batch.iloc[at : at + block]
+                x = np.stack(part["embedding"].to_numpy()).astype("float64")
+                far = (x * x).sum(1)[:, None] + squares - 2 * x @ y.T
+                far[part["vec_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+                # rows are in order of their ids, so a stable sort breaks ties by id
+                near = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(ids))]
+                own = np.isfinite(np.take_along_axis(far, near, axis=1))
+                votes = np.zeros((len(part), len(classes)), np.int64)
+                np.add.at(votes, (np.arange(len(part))[:, None], codes[near]), own)
+                yield pd.DataFrame(
+                    {"vec_id": part["vec_id"].to_numpy(), "pred": classes[votes.argmax(axis=1)]}
+                )
+
+    kind = train.schema["label"].dataType.simpleString()
+    return test.select("vec_id", "embedding").mapInPandas(label, f"vec_id long, pred {kind}")
 
 
 # ---------------------------------------------------------------- cross-validation

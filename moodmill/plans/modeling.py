@@ -89,8 +89,8 @@ for _name, _spec in _MODELS.items():
 @query(
     "ml_07_nearest_neighbours",
     "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), "
-    "pairs AS (SELECT a.vec_id, b.vec_id AS near, b.label, list_distance(a.v, b.v) AS d FROM e a CROSS JOIN "
-    "e b), best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, near) <= 3), "
+    "pairs AS (SELECT a.vec_id, b.vec_id AS near, b.label, list_distance(a.v, b.v) AS d FROM e a JOIN "
+    "e b ON a.vec_id <> b.vec_id), best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, near) <= 3), "
     "votes AS (SELECT vec_id, label, count(*) AS n FROM best GROUP BY vec_id, label) "
     "SELECT vec_id, label AS pred FROM votes QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, "
     "label) = 1",

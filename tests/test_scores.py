@@ -184,14 +184,14 @@ def test_line_numbers_over_several_files(spark, tmp_path):
     assert {(r["line_no"], r["value"]) for r in lines.collect()} == {(1, "x"), (2, "y"), (3, "z")}
 
 
-def test_nearest_neighbours_over_many_blocks(spark):
+def test_nearest_neighbours_among_others(spark):
     rng = np.random.default_rng(1)
     points = rng.normal(size=(60, 4))
     rows = [(i, [float(x) for x in p], i % 3) for i, p in enumerate(points)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: r["pred"] for r in M.knn_predict(df, df.drop("label"), 3, block=16).collect()}
     for i, p in enumerate(points):
-        near = np.argsort(((points - p) ** 2).sum(1), kind="stable")[:3]
+        near = np.argsort(((points - p) ** 2).sum(1), kind="stable")[1:4]  # not the row itself
         votes = np.bincount([j % 3 for j in near], minlength=3)
         assert got[i] == int(votes.argmax())
 
@@ -220,3 +220,70 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         runtime.scratch_root(Session())
+
+
+def test_part_files_follow_their_numbers(spark):
+    from moodmill.sources.readers import file_order
+
+    names = [f"file:/x/part-{i:05d}-abc.txt" for i in (99999, 100000, 5, 100001)]
+    rows = spark.createDataFrame([(n,) for n in names], "p string")
+    found = [r["p"] for r in rows.orderBy(file_order(F.col("p"))).collect()]
+    assert found == [names[2], names[0], names[1], names[3]]
+
+
+def test_last_line_of_the_second_download_wins(spark):
+    from moodmill.sources.readers import repair_messages
+
+    first = spark.createDataFrame(
+        [("1", "u", "neutral", None)], "sid string, uid string, sentiment string, text string"
+    )
+    second = spark.createDataFrame(
+        [("1", "u", "positive", "z early", 1), ("1", "u", "negative", "late", 2)],
+        "sid string, uid string, sentiment string, text string, at long",
+    )
+    row = repair_messages(first, second).first()
+    assert (row["sentiment"], row["text"]) == ("negative", "late")
+
+
+def test_strict_join_fails_even_when_only_counted(spark):
+    from moodmill.operators import align
+
+    left = spark.createDataFrame([("1",), ("2",)], "sid string")
+    side = spark.createDataFrame([("1", 0.5)], "sid string, x double")
+    with pytest.raises(Exception, match="no category row"):
+        align.attach_strict(left, side).count()
+
+
+def test_constant_features_scale_to_zero(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame(
+        [(Vectors.sparse(3, [0, 1], [2.0, 5.0]),), (Vectors.sparse(3, [1], [5.0]),)], ["features"]
+    )
+    # the second feature never changes, the third never occurs
+    scaled = M.RangeScaler().fit(rows).transform(rows).collect()
+    assert [r["scaled"].toArray().tolist() for r in scaled] == [[1, 0, 0], [0, 0, 0]]
+    counts = spark.createDataFrame([(Vectors.sparse(9, [4], [3.0]),), (Vectors.sparse(9, [], []),)], ["features"])
+    first = M.RangeScaler().fit(counts).transform(counts).first()["scaled"]
+    assert first.indices.tolist() == [4] and first.values.tolist() == [1.0]
+
+
+def test_ablation_reads_statistic_and_dimension(spark):
+    names = ["LEX_sum", "EMO_joy_summ", "EMO_sad_maxn", "A_joy_B_sum"]
+    rows = spark.createDataFrame([(1, n, 1.0) for n in names], "doc_id long, name string, value double")
+    found = {r["name"]: (r["stat"], r["dim"]) for r in M.stat_and_dim(rows, ("joy", "sad")).collect()}
+    assert found == {
+        "LEX_sum": ("sum", None),
+        "EMO_joy_summ": ("sum", "joy"),
+        "EMO_sad_maxn": ("max", "sad"),
+        "A_joy_B_sum": ("sum", None),
+    }
+
+
+def test_neighbours_leave_a_row_out_of_its_own_vote(spark):
+    rows = spark.createDataFrame(
+        [(1, [0.0, 0.0], 5), (2, [0.0, 0.1], 7), (3, [0.0, 0.2], 7), (4, [9.0, 9.0], 5)],
+        "vec_id long, embedding array<double>, label int",
+    )
+    found = {r["vec_id"]: r["pred"] for r in M.knn_predict(rows, rows.drop("label"), k=1).collect()}
+    assert found == {1: 7, 2: 5, 3: 7, 4: 7}
