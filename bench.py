@@ -26,6 +26,7 @@ HEADLINE = (
     "eval_08_stratified_folds",
     "sel_01_score_chi2",
     "sel_04_select_percentile",
+    "ml_05_multinomial_nb",
     "ml_07_nearest_neighbours",
 )
 
