@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import discard, pieces, stored
+from moodmill.llm.common import discard, let_go, pieces, stored
 from moodmill.llm.signatures import (
     MAIL,
     NO_ID,
@@ -236,7 +236,9 @@ class Repeats:
 
     def kept(self, finish: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str):
         """``finish`` gets every document's doc_id and text, and its removals or null."""
-        joined = self.docs.join(self.removals(), "doc_id", "left")
+        removals = self.removals()
+        let_go(self.docs.sparkSession)
+        joined = self.docs.join(removals, "doc_id", "left")
         return joined.mapInPandas(finish, schema)
 
 

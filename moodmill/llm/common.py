@@ -38,15 +38,17 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``materialize``, after letting go of the shuffle files of finished steps.
-
-    Spark drops them when the driver collects its garbage, which a driver with little to do
-    may not do for hours.
-    """
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """``materialize``, after letting go of the shuffle files of finished steps."""
+    let_go(df.sparkSession)
     return materialize(df, label)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Spark drops finished shuffles when the driver collects its garbage, which a driver
+    with little to do may not do for hours."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no later step reads; part of a table is the whole table."""
     for df in tables:
