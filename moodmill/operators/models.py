@@ -559,6 +559,8 @@ def eliminate(
         # one weight per feature: the model itself already lives on the driver
         if hasattr(model, "models"):
             weight = np.max([np.abs(m.coefficients.toArray()) for m in model.models], axis=0)
+        elif hasattr(model, "theta"):  # how far the classes' log probabilities are apart
+            weight = np.ptp(model.theta.toArray(), axis=0)
         else:
             weight = np.abs(model.coefficientMatrix.toArray()).max(axis=0)
         weights = spark.createDataFrame(

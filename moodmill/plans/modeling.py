@@ -217,7 +217,7 @@ def token_alignment(spark, sf):
 def eliminate(spark, sf):
     train, external = splits(spark, sf)
     features = word_features(train, external).drop("block")
-    return M.eliminate(features, train, external, 0.5, K_FOLDS)
+    return M.eliminate(features, train, external, 0.5, K_FOLDS, FAST)
 
 
 # ---------------------------------------------------------------- extension points
