@@ -49,6 +49,8 @@ SHARD = (
     "sig long, part long, content binary, doc_id long, start long, last_doc long, last_start long"
 )
 NULLABLE = {c: "Int64" for c in ("sig", "part", "last_doc", "last_start")} | {"content": object}
+#: Per window of a span its first document and place there, less the window's number in the
+#: span, so that a run found in one place is one number.
 FIRSTS = "digest binary, first_doc array<long>, first_start array<long>"
 
 
@@ -215,9 +217,10 @@ class Repeats:
             .sortWithinPartitions("sig", "part")
         )
         firsts = stored(shards.mapInPandas(self.lookup, FIRSTS), "firsts")
+        del shards  # or its shuffle stays
         earlier = (
             "transform(first_doc, (d, i) -> d < doc_id"
-            + (" OR (d = doc_id AND first_start[i] < start + i)" if self.within else "")
+            + (" OR (d = doc_id AND first_start[i] < start)" if self.within else "")
             + ")"
         )
         marked = (

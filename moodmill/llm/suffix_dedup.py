@@ -94,7 +94,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def first_places(rows: list[tuple]) -> Iterator[tuple]:
-    """Per span the first document and start of each of its windows among all spans.
+    """Per span the first document and start (less its number) of each window among all spans.
 
     One anchor's spans that do not fit into an array, as a text can hold that stands on one
     anchor throughout, are looked up window by window.
@@ -102,7 +102,7 @@ def first_places(rows: list[tuple]) -> Iterator[tuple]:
     if len(rows) == 1:
         content, doc, start, _ = rows[0]
         n = len(content) - WINDOW + 1
-        yield content, [doc] * n, list(range(start, start + n))
+        yield content, [doc] * n, [start] * n
         return
     if sum(len(r[0]) + 1 for r in rows) + 3 >= 1 << BITS:
         seen: dict[bytes, tuple] = {}
@@ -112,7 +112,7 @@ def first_places(rows: list[tuple]) -> Iterator[tuple]:
                 seen[own] = min(seen.get(own, (doc, start + j)), (doc, start + j))
         for content, *_ in rows:
             found = [seen[content[j : j + WINDOW]] for j in range(len(content) - WINDOW + 1)]
-            yield content, [f[0] for f in found], [f[1] for f in found]
+            yield content, [f[0] for f in found], [f[1] - j for j, f in enumerate(found)]
         return
     sizes = np.fromiter((len(r[0]) + 1 for r in rows), np.int64, len(rows))
     data = np.frombuffer(b"\0".join(r[0] for r in rows) + b"\0", np.uint8)
@@ -138,7 +138,7 @@ def first_places(rows: list[tuple]) -> Iterator[tuple]:
     head[order] = heads[group]
     for (content, *_), at in zip(rows, base.tolist(), strict=True):
         own = head[at : at + len(content) - WINDOW + 1]
-        yield content, doc[own].tolist(), start[own].tolist()
+        yield content, doc[own].tolist(), (start[own] - np.arange(len(own))).tolist()
 
 
 def first_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,9 +149,7 @@ def first_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def resolve(rows: list[tuple]) -> None:
         for (_, doc, start, last), (content, docs, starts) in zip(rows, first_places(rows), strict=True):
             # what stands once, and first, is removed nowhere
-            if last != (doc, start) or any(
-                d != doc or s != start + j for j, (d, s) in enumerate(zip(docs, starts, strict=True))
-            ):
+            if last != (doc, start) or any(d != doc for d in docs) or any(s != start for s in starts):
                 out.append((hashlib.md5(content).digest(), docs, starts))
 
     for rows in shards(batches):
