@@ -26,8 +26,9 @@ ORDER = 5
 SAMPLE_DOCS = 1000
 #: One sampled document in so many is kept from the counts, to calibrate the rejection.
 CALIBRATION = 5
-#: Rejection: so many standard errors and such a share above a language's usual entropy.
-ERRORS, SHARE = 6.0, 1.25
+#: Rejection: this quantile of the calibration texts' length-scaled excess over the language's
+#: usual entropy, times the margin; texts longer than LONG characters spread no less.
+QUANTILE, MARGIN, LONG = 0.99, 1.5, 500
 #: Characters whose words are held at once.
 WORDS_CHARS = 1 << 20
 UNKNOWN = "und"
@@ -90,7 +91,15 @@ class Models:
     context_keys: list[np.ndarray]  # per order: sorted hashes of the contexts
     log_back: list[np.ndarray]  # per order: log of the weight of the next shorter context
     floor: np.ndarray  # log probability of a character that no language has
-    usual: np.ndarray | None = None  # per language: mean and deviation of the surprise of a character
+    #: per language: mean entropy, quantile of the scaled excess, entropy of other languages' texts
+    usual: np.ndarray | None = None
+
+    def bounds(self, best: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Entropy above which a text is rejected: what texts of the language and of that length
+        may have, or if that is more, half way to what texts of other languages have."""
+        mean, excess, other = self.usual[best].T
+        own = mean + MARGIN * np.maximum(excess, 0) * length_scale(np.maximum(chars, 1))
+        return np.maximum(own, (mean + other) / 2)
 
     def word_scores(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability per language and the number of predicted characters of each word."""
@@ -133,6 +142,11 @@ class Models:
         return total, chars
 
 
+def length_scale(chars):
+    """How the mean entropy of texts of a length spreads, up to a factor."""
+    return (1 / chars + 1 / LONG) ** 0.5
+
+
 def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     """Hash of the 1 to ORDER characters that end at each place."""
     own = codes.astype(np.uint64) + np.uint64(1)
@@ -234,29 +248,45 @@ def train(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Models | None:
         for batch in pieces(batches, "text"):
             batch = batch[batch["lang"].isin(place)]
             log_p, chars = ready.texts(batch["text"])
-            own = -log_p[np.arange(len(batch)), batch["lang"].map(place).to_numpy(np.int64)]
-            frame = pd.DataFrame({"lang": batch["lang"], "nats": own, "chars": chars})
+            rows, at = np.arange(len(batch)), batch["lang"].map(place).to_numpy(np.int64)
+            nats = -log_p[rows, at]
+            # the text as one of a language that was not learned
+            log_p[rows, at] = -np.inf
+            nearest = np.array(ready.languages, object)[log_p.argmax(axis=1)]
+            frame = pd.DataFrame(
+                {"lang": batch["lang"], "nats": nats, "chars": chars,
+                 "nearest": nearest, "other": -log_p.max(axis=1)}
+            )
             yield frame[frame["chars"] > 0]
 
-    fitted = (
+    fitted = materialize(
         drawn.where(F.pmod("draw", F.lit(CALIBRATION)) == 0)
         .select("lang", "text")
-        .mapInPandas(surprise, "lang string, nats double, chars long")
+        .mapInPandas(surprise, "lang string, nats double, chars long, nearest string, other double"),
+        "calibration",
     )
-    mean = F.sum("nats") / F.sum("chars")
-    usual = (
-        fitted.groupBy("lang")
-        .agg(
-            mean.alias("mean"),
-            # deviation of a character, from how the means of texts of known length spread
-            F.sqrt(F.avg(F.pow(F.col("nats") / F.col("chars"), 2) * F.col("chars"))
-                   - 2 * mean * F.avg("nats") + F.pow(mean, 2) * F.avg("chars")).alias("deviation"),
-        )
-        .toPandas()
-        .set_index("lang")
-        .reindex(models.languages)
-    )
-    models.usual = usual[["mean", "deviation"]].to_numpy(np.float64)
+    # a row per language
+    means = fitted.groupBy("lang").agg((F.sum("nats") / F.sum("chars")).alias("mean"))
+    excess = (F.col("nats") / F.col("chars") - F.col("mean")) / length_scale(F.col("chars"))
+    own = (
+        fitted.join(F.broadcast(means), "lang")
+        .groupBy("lang")
+        .agg(F.first("mean").alias("mean"), F.percentile_approx(excess, QUANTILE).alias("excess"))
+    )
+    other = (
+        fitted.where(F.col("other") < float("inf"))
+        .groupBy(F.col("nearest").alias("lang"))
+        .agg(F.percentile_approx(F.col("other") / F.col("chars"), 0.5).alias("other"))
+    )
+    usual = own.join(other, "lang", "full").toPandas().set_index("lang").reindex(models.languages)
+    # a language without calibration texts is taken as the average one
+    usual[["mean", "excess"]] = usual[["mean", "excess"]].fillna(usual[["mean", "excess"]].mean())
+    # where no other language is near, its texts count as letters in no order
+    letters = models.log_p[0].astype(np.float64)
+    usual["other"] = usual["other"].fillna(
+        pd.Series(-(np.exp(letters) * letters).sum(axis=0), index=models.languages)
+    )
+    models.usual = np.nan_to_num(usual[["mean", "excess", "other"]].to_numpy(np.float64), nan=np.inf)
     return models
 
 
@@ -267,8 +297,9 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     sees the whole text alone. ``score`` is the predicted language's share of the
     probabilities per character. A null text and one without a letter give ``und``, score 0
     and rejection, as does everything if no document is labelled. Rejected is also a text
-    whose entropy lies far above what its language has in texts of that length. Ties go to
-    the first language by name; an empty table gives no row; other columns are ignored.
+    whose entropy lies far above what calibration texts of its language have at that length,
+    as texts of languages do that were not learned. Ties go to the first language by name; an
+    empty table gives no row; other columns are ignored.
     """
     models = train(docs, per_language)
     rows = docs.select(
@@ -301,9 +332,7 @@ def _predicted(models: Models | None, batch: pd.DataFrame) -> pd.DataFrame:
         share = np.exp(entropy[:, None] - per_char)
         score = np.where(some, 1 / share.sum(axis=1), 0.0)
         lang = np.where(some, np.array(models.languages, object)[best], UNKNOWN)
-        mean, deviation = np.nan_to_num(models.usual, nan=np.inf)[best].T
-        bound = mean * (1 + SHARE) + ERRORS * deviation / np.sqrt(np.maximum(chars, 1))
-        rejected = ~some | (entropy > bound)
+        rejected = ~some | (entropy > models.bounds(best, chars))
         entropy = np.where(some, entropy, np.nan)
     return out.assign(
         lang_pred=lang,

@@ -464,6 +464,20 @@ def test_language_id(spark):
         assert 0 <= r["score"] <= 1
 
 
+@pytest.mark.parametrize("left_out", ["en", "fr"])
+def test_language_id_rejects_a_language_left_out_of_learning(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fewer = docs.withColumn("lang", F.when(F.col("lang") != left_out, F.col("lang")))
+    found = language_id.identify(fewer).join(docs.select("doc_id", "lang", "text"), "doc_id")
+    long = found.where(F.length("text") >= 200)
+    share = {
+        r["lang"] == left_out: r["share"]
+        for r in long.groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("share"))
+        .orderBy(F.col("lang") != left_out, "share").collect()
+    }
+    assert share[True] >= 0.95 and share[False] <= 0.02
+
+
 def test_language_id_on_awkward_rows(docs, rows, none):
     found = by_id(language_id.identify(docs))  # nothing is labelled
     assert {r["lang_pred"] for r in found.values()} == {"und"} and len(found) == len(rows)
