@@ -59,12 +59,17 @@ def windows_of(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, Dat
     return stored.drop("items"), stored.select("wid", F.explode("items").alias("item_id"))
 
 
+def digest(text: Column) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, a digest of the text, and the words: rows alike in both are one document."""
     text = F.col("text").cast("string")
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.xxhash64(text).alias("h"),
+        digest(text).alias("h"),
         words(text).alias("w"),
     )
 
@@ -195,6 +200,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty benchmark nothing is hit; without documents there is no row. Texts are indexed
     whole, and other columns are ignored.
     """
+    return judged(docs, benchmark).drop("h")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``contamination`` and the digest h of each document's text."""
     windows, items = windows_of(benchmark)
     pivots = materialize(rarest_terms(docs, windows), "pivots")
     index = build_index(docs, pivots)
@@ -215,6 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = F.coalesce("found", F.array().cast("array<string>"))
     return rows.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
+        "h",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(found).cast("long").alias("n_items"),
@@ -224,7 +235,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones, by doc_id."""
-    found = contamination(docs, benchmark).where("contaminated")
-    keys = found.select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    """``docs`` without the contaminated ones; of a doc_id, only texts that are contaminated go."""
+    found = judged(docs, benchmark).where("contaminated")
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    keys = found.select(id_of.alias("_id"), F.col("h").alias("_h"))
+    own = [
+        F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_id"),
+        digest(docs["text"]) == F.col("_h"),
+    ]
+    return docs.join(keys, own, "left_anti")

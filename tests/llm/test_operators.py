@@ -392,6 +392,19 @@ def test_decontamination(spark, docs, rows, none):
     assert nothing.first() == (0, len(rows))
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    passage, prose = " ".join(WORDS[:20]), " ".join(WORDS[100:160])
+    rows = [(None, passage), (None, prose), (None, None), (7, passage), (7, prose), (8, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(
+        map(str, [(None, prose), (None, None), (7, prose)])
+    )
+    assert decontaminate.contamination(docs, bench).count() == 6
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame(
         [(1, "alpha beta gamma delta"), (2, "alpha x beta gamma y delta"), (3, "delta alpha")],
