@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from moodmill.llm.common import discard, let_go, pieces, stored
 from moodmill.llm.signatures import (
     MAIL,
-    NO_ID,
     Sender,
     combine,
+    ids_repeat,
     key_of,
     mix,
     ranges_for,
+    rows_of,
     shared,
     sliding_min,
 )
@@ -39,16 +40,16 @@ FREQUENT = 5000
 HELD_CONTENTS = 100_000
 PLACE_BITS = np.uint64(28)
 
-#: Places of spans (doc_id, start, digest), and among them the contents a task has seen,
+#: Places of spans (doc_id, start, digest, row), and among them the contents a task has seen,
 #: with their first and last place in that task.
 SPANS = (
     "doc_id long, start long, digest binary, sig long, part long, content binary, "
-    "last_doc long, last_start long"
+    "last_doc long, last_start long, row long"
 )
 SHARD = (
     "sig long, part long, content binary, doc_id long, start long, last_doc long, last_start long"
 )
-NULLABLE = {c: "Int64" for c in ("sig", "part", "last_doc", "last_start")} | {"content": object}
+NULLABLE = {c: "Int64" for c in ("sig", "part", "last_doc", "last_start", "row")} | {"content": object}
 #: Per window of a span its first document and place there, less the window's number in the
 #: span, so that a run found in one place is one number.
 FIRSTS = "digest binary, first_doc array<long>, first_start array<long>"
@@ -111,6 +112,8 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
 class Repeats:
     """The search over one table of documents.
 
+    Anchors, spans and removals belong to a text of a doc_id, so that rows of one doc_id keep
+    theirs apart; the doc_id itself only tells which document comes first.
     ``symbols`` makes Symbols of texts, ``lookup`` maps the rows of a shard (SHARD, equal
     anchors together) to the first places of their windows (FIRSTS), and ``within`` tells
     whether a repeat inside a document counts.
@@ -125,7 +128,8 @@ class Repeats:
         gram: int,
         within: bool,
     ):
-        self.docs, self.symbols, self.lookup = docs, symbols, lookup
+        self.repeated = ids_repeat(docs)
+        self.docs, self.symbols, self.lookup = rows_of(docs, self.repeated), symbols, lookup
         self.window, self.gram, self.within = window, gram, within
         self.ranges = ranges_for(docs)
 
@@ -137,7 +141,7 @@ class Repeats:
             sender = Sender(ranges, per_doc=2 if within else 1)
             for batch in pieces(batches, "text"):
                 anchors = Anchors(symbols(batch["text"].tolist()), window, gram)
-                ids = batch["doc_id"].to_numpy(np.int64)
+                ids = batch["row"].to_numpy(np.int64)
                 yield from sender.add(anchors.hash, ids[anchors.row])
             yield sender.send()
 
@@ -147,7 +151,7 @@ class Repeats:
         ranges, symbols, window, gram = self.ranges, self.symbols, self.window, self.gram
         found = self._anchors()
         per_doc = stored(
-            found.groupBy("doc_id").agg(
+            found.groupBy(F.col("doc_id").alias("row")).agg(
                 F.collect_set("sig").alias("sigs"),
                 F.collect_set(F.when(F.col("df") >= FREQUENT, F.col("sig"))).alias("frequent"),
             ),
@@ -161,7 +165,7 @@ class Repeats:
 
             def contents() -> pd.DataFrame:
                 rows = [
-                    (*first, digest, sig, part, content, *last)
+                    (*first, digest, sig, part, content, *last, None)
                     for digest, (sig, part, content, first, last) in held.items()
                 ]
                 held.clear()
@@ -172,10 +176,13 @@ class Repeats:
                 anchors = Anchors(read, window, gram)
                 keys = key_of(anchors.hash, ranges).view(np.int64)
                 cuts = np.searchsorted(anchors.row, np.arange(len(batch) + 1))
-                docs, starts, digests = [], [], []
-                for i, (doc_id, sigs, frequent) in enumerate(
-                    zip(batch["doc_id"].tolist(), batch["sigs"], batch["frequent"], strict=True)
-                ):
+                docs, rows, starts, digests = [], [], [], []
+                for i, (doc_id, row, sigs, frequent) in enumerate(
+                    zip(
+                        batch["doc_id"].tolist(), batch["row"].tolist(),
+                        batch["sigs"], batch["frequent"], strict=True,
+                    )
+                ):
                     own = slice(cuts[i], cuts[i + 1])
                     chosen = np.flatnonzero(np.isin(keys[own], sigs)) + cuts[i]
                     single = set(frequent.tolist())
@@ -195,20 +202,23 @@ class Repeats:
                             else:
                                 seen[3], seen[4] = min(seen[3], place), max(seen[4], place)
                             docs.append(doc_id)
+                            rows.append(row)
                             starts.append(a - base)
                             digests.append(digest)
-                frame = pd.DataFrame({"doc_id": docs, "start": starts, "digest": digests})
+                frame = pd.DataFrame(
+                    {"doc_id": docs, "row": rows, "start": starts, "digest": digests}
+                )
                 yield frame.reindex(columns=names).astype(NULLABLE)
                 if len(held) >= HELD_CONTENTS:
                     yield contents()
             yield contents()
 
-        spans = stored(self.docs.join(per_doc, "doc_id").mapInPandas(cut, SPANS), "spans")
+        spans = stored(self.docs.join(per_doc, "row").mapInPandas(cut, SPANS), "spans")
         discard(per_doc)
         return spans
 
     def removals(self) -> DataFrame:
-        """Stored (doc_id, spans): start and per window whether it comes earlier elsewhere."""
+        """Stored (doc_id, row, spans): start and per window whether it comes earlier elsewhere."""
         spans = self._spans()
         shards = (
             spans.where(F.col("content").isNotNull())
@@ -223,15 +233,16 @@ class Repeats:
             + (" OR (d = doc_id AND first_start[i] < start)" if self.within else "")
             + ")"
         )
+        places = spans.where(F.col("content").isNull()).select("doc_id", "row", "start", "digest")
+        if self.repeated:
+            places = places.distinct()  # equal rows have equal places
         marked = (
-            spans.where(F.col("content").isNull())
-            .select("doc_id", "start", "digest")
-            .join(firsts, "digest")
-            .select("doc_id", "start", F.expr(earlier).alias("gone"))
+            places.join(firsts, "digest")
+            .select("doc_id", "row", "start", F.expr(earlier).alias("gone"))
             .where("exists(gone, g -> g)")
         )
         found = stored(
-            marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "gone")).alias("spans")),
+            marked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "gone")).alias("spans")),
             "removals",
         )
         discard(spans, firsts)
@@ -241,7 +252,7 @@ class Repeats:
         """``finish`` gets every document's doc_id and text, and its removals or null."""
         removals = self.removals()
         let_go(self.docs.sparkSession)
-        joined = self.docs.join(removals, "doc_id", "left")
+        joined = self.docs.join(removals, ["doc_id", "row"], "left")
         return joined.mapInPandas(finish, schema)
 
 
@@ -260,10 +271,3 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + window, -1)
     return np.cumsum(edge)[:n] > 0
-
-
-def rows_of(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodmill.llm.common import input_bytes, stored
@@ -129,6 +129,24 @@ def ranges_for(docs: DataFrame) -> int:
     return 1 << max(4, (input_bytes(docs) // RANGE_BYTES).bit_length())
 
 
+def long_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether two rows share a doc_id."""
+    per_id = docs.groupBy(long_id().alias("doc_id")).count()
+    return (per_id.agg(F.max("count")).first()[0] or 0) > 1
+
+
+def rows_of(docs: DataFrame, repeated: bool) -> DataFrame:
+    """doc_id, text, and ``row``: a hash of both if ids are repeated, else the doc_id, which
+    packs better."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.xxhash64(long_id(), text) if repeated else long_id()
+    return docs.select(long_id().alias("doc_id"), row.alias("row"), text.alias("text"))
+
+
 class Sender:
     """Collects a task's signatures and deals them out in blocks.
 

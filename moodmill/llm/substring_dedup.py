@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.anchors import Repeats, Symbols, covered, gone_windows, rows_of
+from moodmill.llm.anchors import Repeats, Symbols, covered, gone_windows
 from moodmill.llm.signatures import NO_ID, Words
 
 WINDOW, GRAM = 13, 5
@@ -167,6 +167,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows of one doc_id do not remove from each other. A null doc_id counts as the least;
     an empty table gives no row; other columns are ignored.
     """
-    found = Repeats(rows_of(docs), WordSymbols, first_documents, WINDOW, GRAM, within=False)
+    found = Repeats(docs, WordSymbols, first_documents, WINDOW, GRAM, within=False)
     kept = found.kept(kept_words, COLUMNS)
     return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

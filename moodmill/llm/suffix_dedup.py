@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.anchors import Repeats, Symbols, covered, gone_windows, rows_of
+from moodmill.llm.anchors import Repeats, Symbols, covered, gone_windows
 from moodmill.llm.signatures import NO_ID, mix
 from moodmill.llm.substring_dedup import shards
 
@@ -192,6 +192,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     Texts of one doc_id count as one document, each from its own start. A null doc_id
     counts as the least; an empty table gives no row; other columns are ignored.
     """
-    found = Repeats(rows_of(docs), ByteSymbols, first_strings, WINDOW, GRAM, within=True)
+    found = Repeats(docs, ByteSymbols, first_strings, WINDOW, GRAM, within=True)
     kept = found.kept(kept_bytes, COLUMNS)
     return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -326,6 +326,54 @@ def test_suffix_dedup(docs, rows, none, monkeypatch, frequent):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def shared_ids() -> list[tuple]:
+    rng = random.Random(9)
+
+    def prose(n: int) -> str:
+        return " ".join(rng.choice(WORDS) for _ in range(n))
+
+    passage, other = prose(40), prose(50)
+    texts = [prose(80) + " " + passage, passage, prose(5) + " " + other, None, other + " " + prose(90)]
+    texts += [passage + " " + other, prose(200) + " " + other, "short", passage]
+    return list(zip([None, None, None, None, None, 5, 5, 5, 5], texts, strict=True)) + [
+        (6, prose(30) + " " + other), (None, passage), (-3, passage + " " + prose(8)),
+    ]
+
+
+def kept_of_shared_ids(rows, size, split, joined):
+    """Per row id, symbols, removed ones and digest; a window goes if a lesser id has it, and
+    with bytes also if it starts earlier under the same id."""
+    order = [(-(2**63) if i is None else i, split(t or "")) for i, t in rows]
+    first = {}
+    for i, symbols in order:
+        for k in range(len(symbols) - size + 1):
+            own = (i, k if size == 100 else 0)
+            part = tuple(symbols[k : k + size])
+            first[part] = min(first.get(part, own), own)
+    out = []
+    for (i, symbols), (doc_id, _) in zip(order, rows, strict=True):
+        gone = set()
+        for k in range(len(symbols) - size + 1):
+            if first[tuple(symbols[k : k + size])] < (i, k if size == 100 else 0):
+                gone |= set(range(k, k + size))
+        kept = [x for k, x in enumerate(symbols) if k not in gone]
+        out.append((doc_id, len(symbols), len(gone), sha(joined(kept))))
+    return sorted(map(str, out))
+
+
+def test_dedup_of_null_and_repeated_ids(spark):
+    rows = shared_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    found = substring_dedup.dedup(docs).select(columns).collect()
+    want = kept_of_shared_ids(rows, 13, str.split, " ".join)
+    assert sorted(str(tuple(r)) for r in found) == want
+    columns[1] = "n_bytes"
+    found = suffix_dedup.dedup(docs).select(columns).collect()
+    want = kept_of_shared_ids(rows, 100, lambda t: list(t.encode()), bytes)
+    assert sorted(str(tuple(r)) for r in found) == want
+
+
 def test_suffix_array_of_small_alphabets():
     rng = random.Random(3)
     for _ in range(600):
