@@ -27,8 +27,11 @@ from moodmill.llm.signatures import (
     Sender,
     Words,
     combine,
+    ids_repeat,
+    long_id,
     mix,
     ranges_for,
+    rows_of,
     shared,
 )
 
@@ -39,8 +42,8 @@ PER_CENT = 75
 SINGLE_BELOW, BAND = 256, 8
 SKETCH_BITS = 2048
 
-NOTE = "doc_id long, n long, fp1 long, fp2 long"
-SETS = "doc_id long, n long, sketch array<long>, shingles binary"
+NOTE = "doc_id long, row long, n long, fp1 long, fp2 long"
+SETS = "row long, n long, sketch array<long>, shingles binary"
 
 
 class Sets:
@@ -157,31 +160,44 @@ def link_components(docs: DataFrame) -> DataFrame:
     linked. Rows may repeat; a null doc_id counts as the least one and is returned as null;
     an empty table gives no row; other columns are ignored.
 
-    Of equal sets only the least doc_id is compared. Documents meet first with the least
+    Different texts of one doc_id are documents of their own; a component is named by its
+    least doc_id.
+    """
+    return linked(docs, ids_repeat(docs)).select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.nullif("component_id", F.lit(NO_ID)).alias("component_id"),
+    )
+
+
+def linked(docs: DataFrame, repeated: bool) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row (see ``rows_of``), n, component_id, and
+    ``component``, the least row of the component, null without shingles.
+
+    Of equal sets only the least row is compared. Documents meet first with the least
     document of each shared cell; only documents that are then still in different
     components are paired with each other.
     """
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    rows = rows_of(docs, repeated)
     ranges = ranges_for(docs)
     notes = stored(rows.mapInPandas(_notes, NOTE), "notes")
     # a hot set leaves each task once
     classes = stored(
-        notes.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")), "classes"
-    )
+        notes.where("n > 0").groupBy("fp1", "fp2", "n")
+        .agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")),
+        "classes",
+    )
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sender = Sender(ranges)
         seen: set[int] = set()
         for batch in pieces(batches, "text"):
-            ids = batch["doc_id"].to_numpy(np.int64)
+            ids = batch["row"].to_numpy(np.int64)
             sets = Sets(batch["text"].tolist())
             keep = np.zeros(len(ids), bool)
             fp1, fp2 = sets.prints()
             for i, (a, b) in enumerate(zip(fp1.tolist(), fp2.tolist(), strict=True)):
-                # a copy in the same task sends nothing: the least doc_id stands for both
+                # a copy in the same task sends nothing: the least row stands for both
                 keep[i] = (a << 64 | b) not in seen
                 seen.add(a << 64 | b)
             for sigs, own in signatures(sets, keep):
@@ -191,9 +207,9 @@ def link_components(docs: DataFrame) -> DataFrame:
         yield sender.send()
 
     cells_shared = shared(rows.mapInPandas(send, MAIL), ranges)
-    # copies in other tasks sent the cells of their set again, under another doc_id
-    sizes = notes.select("doc_id", "n", "fp1", "fp2").distinct()
-    named = cells_shared.join(sizes, "doc_id").join(classes, ["fp1", "fp2", "n"])
+    # copies in other tasks sent the cells of their set again, under another row
+    sizes = notes.select("row", "n", "fp1", "fp2").distinct()
+    named = cells_shared.withColumnRenamed("doc_id", "row").join(sizes, "row").join(classes, ["fp1", "fp2", "n"])
     own = Window.partitionBy("rep", F.col("sig").bitwiseAND(1))
     ranked = (
         named.select("rep", "n", "sig", "df")
@@ -202,31 +218,31 @@ def link_components(docs: DataFrame) -> DataFrame:
         .withColumn("rank", F.row_number().over(own.orderBy("df", "sig")))
     )
     kept = ranked.where(F.col("rank") <= F.col("shared") - least_shared(F.col("n")) + 1)
-    kept = stored(kept.select("sig", F.col("rep").alias("doc_id"), "n"), "cells")
+    kept = stored(kept.select("sig", F.col("rep").alias("row"), "n"), "cells")
     discard(cells_shared)
 
     centres = stored(
-        kept.groupBy("sig").agg(F.min("doc_id").alias("centre"), F.count("*").alias("held"))
+        kept.groupBy("sig").agg(F.min("row").alias("centre"), F.count("*").alias("held"))
         .where("held > 1").drop("held"),
         "centres",
     )
     met = kept.join(centres, "sig")
-    wanted = stored(met.select("doc_id").distinct(), "wanted")
-    found = rows.join(placed(wanted, wanted.count()), "doc_id", "left_semi")
-    sets = stored(found.mapInPandas(_sets, SETS).dropDuplicates(["doc_id"]), "sets")
+    wanted = stored(met.select("row").distinct(), "wanted")
+    found = rows.join(placed(wanted, wanted.count()), "row", "left_semi")
+    sets = stored(found.mapInPandas(_sets, SETS).dropDuplicates(["row"]), "sets")
 
     first_pairs = stored(
-        met.where("doc_id <> centre")
-        .select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+        met.where("row <> centre")
+        .select(F.col("centre").alias("a"), F.col("row").alias("b"))
         .distinct(),
         "pairs",
     )
     links = verified(first_pairs, sets)
     placed_in = components(links)
     cells_left = (
-        met.select("sig", "doc_id", "n")
-        .join(placed_in.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
+        met.select("sig", "row", "n")
+        .join(placed_in.withColumnRenamed("node", "row"), "row", "left")
+        .withColumn("component", F.coalesce("component", "row"))
     )
     cells_left = stored(cells_left, "cells-left")
     open_cells = (
@@ -240,10 +256,10 @@ def link_components(docs: DataFrame) -> DataFrame:
     more_pairs = (
         a.join(b, F.col("a.sig") == F.col("b.sig"))
         .where(
-            "a.doc_id < b.doc_id AND a.component <> b.component "
+            "a.row < b.row AND a.component <> b.component "
             "AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)"
         )
-        .select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+        .select(F.col("a.row").alias("a"), F.col("b.row").alias("b"))
         .distinct()
         .join(first_pairs, ["a", "b"], "left_anti")
     )
@@ -253,14 +269,18 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     by_rep = classes.join(
         final.withColumnRenamed("node", "rep"), "rep", "left"
-    ).select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
+    ).select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"), "least")
     by_set = stored(by_rep, "components")
+    if repeated:
+        names = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
+        by_set = by_set.join(names, "component")
+    else:
+        by_set = by_set.withColumn("component_id", F.col("component"))
     discard(kept, centres, wanted, sets, first_pairs, cells_left, left)
     return notes.join(by_set, ["fp1", "fp2", "n"], "left").select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.nullif(F.coalesce("component", "doc_id"), F.lit(NO_ID)).alias("component_id"),
-    )
+        "doc_id", "row", "n", "component",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
 
 
 def _notes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,6 +290,7 @@ def _notes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "doc_id": batch["doc_id"].to_numpy(np.int64),
+                "row": batch["row"].to_numpy(np.int64),
                 "n": sets.sizes.astype(np.int64),
                 "fp1": fp1.view(np.int64),
                 "fp2": fp2.view(np.int64),
@@ -289,7 +310,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shingles.append(own.tobytes())
         yield pd.DataFrame(
             {
-                "doc_id": batch["doc_id"].to_numpy(np.int64),
+                "row": batch["row"].to_numpy(np.int64),
                 "n": sets.sizes.astype(np.int64),
                 "sketch": sketches,
                 "shingles": shingles,
@@ -299,7 +320,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked: sizes and parity bits first, then the sets."""
-    small = sets.select("doc_id", "n", "sketch")
+    small = sets.select("row", "n", "sketch")
     likely = (
         pairs.join(small.toDF("a", "na", "sa"), "a")
         .join(small.toDF("b", "nb", "sb"), "b")
@@ -311,7 +332,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     likely = stored(likely, "likely")
-    full = sets.select("doc_id", "shingles")
+    full = sets.select("row", "shingles")
     both = likely.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
     return stored(both.mapInPandas(_linked, "a long, b long"), "links")
 
@@ -327,8 +348,21 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are linked to a smaller doc_id: one stays per component."""
-    groups = link_components(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    keys = first.distinct().withColumnRenamed("doc_id", "_kept")
-    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one row of each component, of its least doc_id; rows without words stay.
+
+    Of rows alike in doc_id and text any one stays.
+    """
+    repeated = ids_repeat(docs)
+    groups = linked(docs, repeated)
+    if not repeated:
+        keys = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+        return docs.join(keys, long_id() == F.col("_kept"), "left_semi")
+    groups = stored(groups, "groups")
+    first = groups.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("k"))
+    key = ["_id", "_row"]
+    one = first.select(F.col("k.doc_id").alias("_id"), F.col("k.row").alias("_row"))
+    wordless = groups.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns({"_id": long_id(), "_row": F.xxhash64(long_id(), text)})
+    kept = keyed.join(one, key, "left_semi").dropDuplicates(key)
+    return kept.unionByName(keyed.join(wordless.distinct(), key, "left_semi")).drop(*key)

@@ -186,6 +186,42 @@ def test_jaccard_join(docs, rows, none):
     assert {r["doc_id"] for r in one.collect()} == set(want.values())
 
 
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+
+    def prose():
+        return [rng.choice(WORDS) for _ in range(120)]
+
+    def near(words):
+        return " ".join([*words[:60], "changed", *words[61:]])
+
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(None, " ".join(a)), (None, near(a)), (None, " ".join(b)), (4, near(b)), (9, " ".join(c))]
+    rows += [(9, " ".join(d)), (5, near(c)), (8, near(d)), (8, near(d)), (9, " ".join(c)), (None, None)]
+    rows += [(None, ""), (9, " ")]
+    texts = dict(enumerate(t for _, t in rows))
+    sets = {k: shingles(t) for k, t in texts.items()}
+    links = [
+        (x, y) for x in sets for y in sets if x < y and sets[x] and sets[y]
+        and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
+    ]
+    groups = smallest(links, sets)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[groups[k]] = min(least.get(groups[k], 99), -1 if i is None else i)
+    want = [
+        (i, len(sets[k]), None if least[groups[k]] < 0 else least[groups[k]])
+        for k, (i, _) in enumerate(rows)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = jaccard_join.link_components(docs).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+    kept = [tuple(r) for r in jaccard_join.one_of_each(docs).collect()]
+    assert Counter(smallest(links, sets)[rows.index(r)] for r in kept) == Counter(
+        set(groups.values())
+    )
+
+
 def test_jaccard_bounds_hold_for_every_size():
     """The cells a set sends leave a partner at least as many as the search relies on."""
     rng = np.random.default_rng(3)
