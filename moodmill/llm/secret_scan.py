@@ -1,7 +1,6 @@
 """Secret scans that read assignments.
 
-Three fixed patterns find the base spans. Beside them, lines of source and configuration
-text are read into pairs of a name and its literals; a name that was given literals passes
+Three fixed patterns find the base spans. Beside them, source and configuration text is read into pairs of a name and its literals; a name that was given literals passes
 them on when it is assigned to another name; a literal is reported when a name it reached
 is a sensitive one and the literal looks like a secret.
 """
@@ -42,10 +41,21 @@ LEAST_SCORE = 5.0
 LEAST_CHARS = 8
 
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+STRING = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
+#: Letters and signs that may stand before a string.
+PREFIX = r"(?:[fFbBrRuULcC]{1,2}8?|[@$]{1,2})"
+#: Brackets of a type, one inside another at most.
+BRACKETS = r"(?:\[[^\[\]\n=]*(?:\[[^\[\]\n=]*\][^\[\]\n=]*)*\]|<[^<>\n=]*(?:<[^<>\n=]*>[^<>\n=]*)*>)"
+TYPE = rf"[&*]?{NAME}{BRACKETS}?\??(?:[^\S\n]*+\|[^\S\n]*+{NAME}{BRACKETS}?)*"
+#: All stands on one line, but a string may begin, or be added, on a later one; a quoted key
+#: there is no value.
 PAIR = re.compile(
-    rf"(?<![A-Za-z0-9_.\-])(?P<quote>[\"']?)(?P<name>{NAME})(?P=quote)(?:\s*:\s*{NAME})?\s*(?::=|=>|=(?!=)|:(?![/:]))\s*"
-    rf"(?P<value>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s,;\"'#(){{}}\[\]]+)"
-    rf"(?P<more>(?:\s*[+.]\s*(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|{NAME}))*)"
+    rf"(?<![A-Za-z0-9_.\-])(?P<quote>[\"']?)(?P<name>{NAME})(?P=quote)(?:(?<=[\"'])[^\S\n]*+\])?"
+    rf"(?:[^\S\n]*+:[^\S\n]*+{TYPE})?[^\S\n]*+(?::=|=>|=(?!=)|:(?![/:]))[^\S\n]*+"
+    rf"(?:\\?[^\S\n]*+\n\s*+(?={PREFIX}?{STRING}(?!\s*+[:=\]])))?(?:{PREFIX}(?=[\"']))?"
+    rf"(?P<value>{STRING}|[^\s,;\"'#(){{}}\[\]]+)"
+    rf"(?P<more>(?:[^\S\n]*+[+.][^\S\n]*+(?:{PREFIX}?{STRING}|{NAME})"
+    rf"|\s*+\+\s*+{PREFIX}?{STRING}(?!\s*+[:=\]]))*)"
 )
 TERM = re.compile(rf"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|({NAME})")
 BARE = re.compile(r"[A-Za-z0-9+/_.=~!@$%^&*\-]+")
@@ -92,17 +102,13 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals that reached a sensitive name, as (start, kind, end)."""
     known: dict[str, list[tuple[int, int]]] = {}
     best: dict[tuple[int, int], int] = {}
-    start = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            for m in PAIR.finditer(line):
-                got = _literals(m, line, start, known)
-                if got:
-                    known[m["name"]] = got
-                    weight = name_weight(m["name"])
-                    for span in got:
-                        best[span] = max(best.get(span, 0), weight)
-        start += len(line) + 1
+    for m in PAIR.finditer(text):
+        got = _literals(m, text, known)
+        if got:
+            known[m["name"]] = got
+            weight = name_weight(m["name"])
+            for span in got:
+                best[span] = max(best.get(span, 0), weight)
     found = []
     for (a, b), weight in best.items():
         literal = text[a:b]
@@ -112,22 +118,22 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _literals(m: re.Match, line: str, start: int, known: dict) -> list[tuple[int, int]]:
+def _literals(m: re.Match, text: str, known: dict) -> list[tuple[int, int]]:
     """Spans of the literals on the right side, its names replaced by what they hold."""
     value, at = m["value"], m.start("value")
     got: list[tuple[int, int]] = []
     if value[0] in "\"'":
-        got.append((start + at + 1, start + at + len(value) - 1))
+        got.append((at + 1, at + len(value) - 1))
     elif value in known:
         got += known[value]
     elif BARE.fullmatch(value):
-        got.append((start + at, start + at + len(value)))
-    for term in TERM.finditer(line, m.start("more"), m.end("more")):
+        got.append((at, at + len(value)))
+    for term in TERM.finditer(text, m.start("more"), m.end("more")):
         if term[3] is not None:
             got += known.get(term[3], [])
         else:
             group = 1 if term[1] is not None else 2
-            got.append((start + term.start(group), start + term.end(group)))
+            got.append((term.start(group), term.end(group)))
     return [span for span in got if span[1] > span[0]]
 
 
@@ -145,7 +151,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: counts per base kind, digest of the base spans, all spans.
 
     Offsets count code points, ends are exclusive. A null or empty text has no span; texts
-    are read whole, line by line; repeated rows give equal rows; an empty table gives none;
+    are read whole; repeated rows give equal rows; an empty table gives none;
     other columns are ignored.
     """
 

@@ -309,6 +309,34 @@ def test_secret_scan(spark, none):
     assert secret_scan.scan(none).count() == 0
 
 
+SOURCE = [
+    'config["password"] = "hunter2Xy9Qz"',
+    "os.environ['API_TOKEN'] = 'hunter2Xy9Qz'",
+    "$config['db']['secret'] = 'hunter2Xy9Qz';",
+    'password = f"hunter2Xy9Qz"',
+    'db_pwd = b"hunter2Xy9Qz"',
+    "auth_key = rb'hunter2Xy9Qz'",
+    'password: Optional[str] = "hunter2Xy9Qz"',
+    'secret: Dict[str, List[str]] = "hunter2Xy9Qz"',
+    'let pwd: Option<String> = "hunter2Xy9Qz";',
+    'pwd: str | None = "hunter2Xy9Qz"',
+    'password =\n    "hunter2Xy9Qz"',
+    'password = \\\r\n    "hunter2Xy9Qz"',
+    'passphrase = "a" +\n    "hunter2Xy9Qz"',
+    'settings:\n  db_pwd: hunter2Xy9Qz',
+    'settings:\n  "db_pwd": "hunter2Xy9Qz"',
+]
+
+
+def test_secrets_in_source_syntax(spark):
+    table = spark.createDataFrame(list(enumerate(SOURCE)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(table).collect()}
+    assert [t for i, t in enumerate(SOURCE) if "hunter2Xy9Qz" in clean[i]] == []
+    assert clean[0] == 'config["password"] = "[secret]"' and clean[4] == 'db_pwd = b"[secret]"'
+    # long runs of white space are read once
+    assert secret_scan.scan_text("token:" + " " * 200_000 + "\n" * 200_000)[1] == []
+
+
 def removed_words(rows):
     seen, want = {}, {}
     for i, text, *_ in rows:
