@@ -3,8 +3,8 @@
 Signatures are 64-bit hashes. A map task deals those of a block of documents into ranges
 and sends one row per block and range, not one per signature; the task of a range sorts
 its numbers and keeps those of two documents or more. A signature that many documents of a
-block hold is sent once with its count, and its documents go to side groups, so no task
-gathers the documents of a frequent signature.
+block hold is sent once with its count, and its documents go to a side group per block, so
+no task gathers the documents of a frequent signature.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ BLOCK_SIGNATURES = 500_000
 RANGE_BYTES = 4 << 20
 #: Documents of a block from which a signature counts as frequent.
 FREQUENT = 8
-SIDE_GROUPS = 256
 
-MAIL = "range int, side int, sigs binary, counts binary, docs binary, per_doc binary"
+MAIL = "range int, side long, sigs binary, counts binary, docs binary, per_doc binary"
 FOUND = "sig long, doc_id long, df long"
 
 
@@ -159,7 +158,7 @@ class Sender:
         self.task = TaskContext.get().partitionId()
         self.sigs: list[np.ndarray] = []
         self.docs: list[np.ndarray] = []
-        self.held = 0
+        self.held = self.blocks = 0
 
     def add(self, sigs: np.ndarray, docs: np.ndarray) -> Iterator[pd.DataFrame]:
         """``docs`` has the document of each signature."""
@@ -183,6 +182,7 @@ class Sender:
             begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
             counts = np.diff(np.append(begin, len(sigs)))
             often = np.repeat(counts >= FREQUENT, counts)
+            self.blocks += 1
             rows += self._light(sigs[~often], docs[~often])
             rows += self._frequent(sigs[begin], counts, sigs[often], docs[often])
         return pd.DataFrame(rows, columns=[c.split()[0] for c in MAIL.split(", ")])
@@ -202,7 +202,8 @@ class Sender:
             )
 
     def _frequent(self, each, counts, sigs, docs) -> Iterator[tuple]:
-        """Counts to the range of the signature, its documents to a side group."""
+        """Counts to the range of the signature, its documents to a side group
+        of this block alone, which is only unpacked there."""
         each, counts = each[counts >= FREQUENT], counts[counts >= FREQUENT]
         parts = (each >> self.shift).astype(np.int64)
         for a, b in runs(parts):
@@ -212,7 +213,7 @@ class Sender:
             )
         if len(sigs):
             yield (
-                -1, self.task % SIDE_GROUPS, sigs.astype("<u8").tobytes(), None,
+                -1, self.task << 32 | self.blocks, sigs.astype("<u8").tobytes(), None,
                 docs.astype("<i8").tobytes(), None,
             )
 

@@ -254,6 +254,21 @@ def test_frequent_signatures_reach_the_same_result(docs, rows, monkeypatch):
     assert plain == by_id(jaccard_join.link_components(docs))
 
 
+def test_side_groups_hold_one_block(monkeypatch):
+    from moodmill.llm import signatures
+
+    sides = []
+    for task in (0, 256, 512):
+        context = type("Context", (), {"get": lambda t=task: type("T", (), {"partitionId": lambda: t})})
+        monkeypatch.setattr(signatures, "TaskContext", context)
+        sender = signatures.Sender(16)
+        for _ in range(2):
+            list(sender.add(np.full(20, 5, np.uint64), np.arange(20)))
+            mail = sender.send()
+            sides += mail["side"][mail["side"] >= 0].tolist()
+    assert len(sides) == len(set(sides)) == 6
+
+
 ASSIGN = re.compile(
     r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|"""
     r"""[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
