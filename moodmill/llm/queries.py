@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from moodmill.llm import (
     decontaminate,
+    divergence,
     fingerprints,
     jaccard_join,
     language_id,
@@ -99,6 +100,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the other sources and from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op6_decontamination"] = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(
@@ -188,3 +195,41 @@ SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM doc LEFT JOIN size USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
+
+ORACLES["op12_source_divergence"] = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r
+  FROM documents),
+word AS (SELECT r, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+seen AS (SELECT lang, source, term, count(*) AS c FROM word JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (
+  SELECT grp.lang, grp.source, term, coalesce(c, 0) AS c
+  FROM grp JOIN kept USING (lang) LEFT JOIN seen USING (lang, source, term)),
+p AS (
+  SELECT *, CAST(1 + (CAST(1000000000 AS HUGEINT) * (c + 1))
+      // (sum(c) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p
+  FROM cell),
+q AS (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (c + 1))
+      // (sum(c) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM cell GROUP BY lang, term)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS v
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value
+  FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
