@@ -13,7 +13,9 @@ from moodmill.llm import (
     fingerprints,
     jaccard_join,
     language_id,
+    lexical_search,
     packing,
+    quality,
     secret_scan,
     substring_dedup,
     suffix_dedup,
@@ -100,12 +102,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every source from the other sources and from its language."""
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLES["op6_decontamination"] = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(
@@ -233,3 +247,37 @@ ranked AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+ORACLES["op13_lexical_search"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+size AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM doc WHERE len(w) > 0),
+asked AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(w) AS term FROM item) GROUP BY ALL),
+post AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM doc)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+impact AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)) AS g
+  FROM post, size),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM post GROUP BY term), size),
+score AS (
+  SELECT i, r, doc_id, CAST(sum(times * w * g) AS BIGINT) AS score
+  FROM asked JOIN impact USING (term) JOIN weight USING (term) GROUP BY ALL),
+ranked AS (
+  SELECT i, doc_id, score,
+    CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN item USING (i) WHERE rank <= 20
+"""
