@@ -45,8 +45,13 @@ def tokenize(messages: DataFrame, mode: str | Tokenizer = "social") -> DataFrame
 
 
 def explode_tokens(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per token, ``pos`` from 0."""
-    return docs.select("doc_id", *keep, F.posexplode("toks").alias("pos", "tok"))
+    """One row per token, ``pos`` from 0.
+
+    The outer form: Spark pushes no test of the list's size, which would hold the tokenizer a
+    second time, below the rows.
+    """
+    rows = docs.select("doc_id", *keep, F.posexplode_outer("toks").alias("pos", "tok"))
+    return rows.where("tok IS NOT NULL")
 
 
 def tokenize_strip_mentions(messages: DataFrame, stops: Sequence[str] = P.HANDLE_STOPS):

@@ -386,8 +386,10 @@ def polarity_summary(docs: DataFrame, lexicon: DataFrame, names: Sequence[str])
         "n_in",
         T.count_where(F.arrays_zip("toks", "marked"), lambda p: p["toks"] != p["marked"]),
     ).withColumn("n_all", F.size("toks"))
+    # the outer form: Spark pushes no test of the list's size, which holds the tokenizer and the
+    # negation a second time, below the rows; a null token meets no entry
     toks = lists.select(
-        "doc_id", F.posexplode(F.arrays_zip("toks", "marked")).alias("pos", "t"), "n_all"
+        "doc_id", F.posexplode_outer(F.arrays_zip("toks", "marked")).alias("pos", "t"), "n_all"
     ).select(
         "doc_id",
         (F.col("t.toks") != F.col("t.marked")).alias("negated"),
@@ -426,26 +428,22 @@ def polarity_summary(docs: DataFrame, lexicon: DataFrame, names: Sequence[str])
         F.lit(None).cast("double").alias("last"),
     )
     # one row per message meets its matches; states and lexicons are filled in inside it
-    states = F.filter(
-        F.array(
-            F.struct(F.lit(False).alias("neg"), (F.col("n_all") - F.col("n_in")).alias("n")),
-            F.struct(F.lit(True).alias("neg"), F.col("n_in").alias("n")),
-        ),
-        lambda x: x["n"] > 0,
-    )
-    base = lists.select("doc_id", "n_all", last_in.alias("last_in"), states.alias("states"))
+    base = lists.select("doc_id", "n_all", "n_in", last_in.alias("last_in"))
     every = base.join(found, "doc_id", "left").withColumn("found", F.map_from_entries("found"))
-    every = every.withColumn("state", F.explode("states")).withColumn(
+    states = F.array(F.lit(False), F.lit(True))
+    every = every.withColumn("negated", F.explode(states)).withColumn(
         "lexicon", F.explode(F.array(*[F.lit(n) for n in names]))
     )
-    key = F.struct(F.col("lexicon"), F.col("state.neg").alias("negated"))
+    here = F.when(F.col("negated"), F.col("n_in")).otherwise(F.col("n_all") - F.col("n_in"))
+    every = every.where(here > 0)
+    key = F.struct("lexicon", "negated")
     rows = every.withColumn("s", F.coalesce(F.try_element_at("found", key), zero))
     zeros = F.col("s.hits") < F.col("n_all")
-    holds = F.col("state.neg") == F.col("last_in")
+    holds = F.col("negated") == F.col("last_in")
     return rows.select(
         "doc_id",
         "lexicon",
-        F.col("state.neg").alias("negated"),
+        "negated",
         "s.count",
         F.when(zeros, F.greatest("s.max", F.lit(0.0))).otherwise(F.col("s.max")).alias("max"),
         "s.sum",
@@ -459,7 +457,7 @@ def sequence_stats(docs: DataFrame, grams: Column, lexicon: DataFrame, prefix: s
     ``lexicon`` is term, value for the kind of gram in the list.
     """
     lists = docs.select("doc_id", grams.alias("g")).withColumn("n", F.size("g"))
-    rows = lists.select("doc_id", "n", F.posexplode("g").alias("pos", "term"))
+    rows = lists.select("doc_id", "n", F.posexplode_outer("g").alias("pos", "term"))
     table = runtime.small_side(lexicon.select("term", "value"))
     hits = rows.join(table, "term").select(
         "doc_id", "value", (F.col("pos") == F.col("n") - 1).alias("at_end")

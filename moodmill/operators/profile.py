@@ -23,8 +23,8 @@ def label_distribution(messages: DataFrame, label: str = "label") -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """Corpus frequency of every token; equal tokens are added up before they move."""
-    toks = docs.select(F.explode("toks").alias("tok"))
-    return toks.groupBy("tok").agg(F.count("*").alias("n"))
+    toks = docs.select(F.explode_outer("toks").alias("tok"))  # see explode_tokens
+    return toks.where("tok IS NOT NULL").groupBy("tok").agg(F.count("*").alias("n"))
 
 
 def bag_of_words(

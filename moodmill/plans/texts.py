@@ -396,7 +396,7 @@ def _gram_sql(n: int, joiner: str) -> str:
 
 
 def _gram_counts(docs):
-    grams = docs.select(F.explode("grams").alias("gram"))
+    grams = docs.select(F.explode_outer("grams").alias("gram")).where("gram IS NOT NULL")
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
