@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from importlib import import_module
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -23,9 +24,19 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import ElementwiseProduct, MaxAbsScaler, MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -134,11 +145,35 @@ class RidgeClassifier(Estimator):
         return RidgeModel(parts)
 
 
-class RidgeModel(Model):
+class _RidgeWriter(MLWriter):
+    def __init__(self, model: RidgeModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        PipelineModel(self.model.parts).write().save(f"{path}/parts")
+
+
+class _RidgeReader(MLReader):
+    def load(self, path: str) -> RidgeModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = RidgeModel(PipelineModel.load(f"{path}/parts").stages)
+        return model._resetUid(metadata["uid"])
+
+
+class RidgeModel(Model, MLWritable, MLReadable):
     def __init__(self, parts: Sequence):
         super().__init__()
         self.parts = list(parts)
 
+    def write(self) -> MLWriter:
+        return _RidgeWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _RidgeReader()
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         out = reduce(lambda d, m: m.transform(d), self.parts, dataset)
         answers = [
@@ -281,14 +316,32 @@ class HeadlineEvaluator(Evaluator):
         return True
 
 
-class FunctionTransformer(Transformer):
-    """A pipeline stage around a caller's DataFrame function."""
+class FunctionTransformer(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """A pipeline stage around a caller's DataFrame function.
+
+    A function of a module is saved by its name and found again by it; one that has no such
+    name (a lambda, a function inside another) runs, but cannot be saved.
+    """
 
-    def __init__(self, change: Callable[[DataFrame], DataFrame]):
+    function = Param(
+        Params._dummy(), "function", "module:name", typeConverter=TypeConverters.toString
+    )
+
+    def __init__(self, change: Callable[[DataFrame], DataFrame] | None = None):
         super().__init__()
         self.change = change
+        if change is not None and "<" not in change.__qualname__:
+            self._set(function=f"{change.__module__}:{change.__qualname__}")
+
+    def write(self):
+        if not self.isSet(self.function):
+            raise ValueError("only a function with a name in a module can be saved")
+        return super().write()
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        if self.change is None:
+            module, name = self.getOrDefault(self.function).split(":")
+            self.change = reduce(getattr, name.split("."), import_module(module))
         return self.change(dataset)
 
 

@@ -17,6 +17,7 @@ from moodmill.operators import corpus as C
 from moodmill.operators import evaluate as E
 from moodmill.operators import lexicon as L
 from moodmill.operators import models as M
+from moodmill.operators import pipeline as P
 from moodmill.operators import profile as R
 from moodmill.operators import select as S
 from moodmill.plans import common as K
@@ -100,13 +101,23 @@ def nearest(spark, sf):
     return M.knn_predict(rows, rows.drop("label"), k=3)
 
 
+def composed_stages(spark, train, model=FAST):
+    """Cleaning, the best counts by chi-square, lexicon statistics and a model."""
+    lexicons = P.LexiconStats(K.lexicon(spark), SPECS)
+    clean = CleanSpec(tokenizer="informal")
+    return P.text_pipeline(train.count(), clean, P.WordCounts(percent=5.0), lexicons, model)
+
+
 @query("ml_14_composed_pipeline")
 def composed(spark, sf):
-    """Counts next to lexicon statistics, assembled and fitted as one pipeline."""
+    """One pipeline over raw messages, fitted, saved, read back and used on unseen ones."""
     train, external = splits(spark, sf)
-    features = word_features(train, external).unionByName(lexicon_blocks(train, external))
-    both = M._tables(features.select("doc_id", "name", "value"), train, external)
-    return E.class_scores(M.predict(M.fit_model(both[0], FAST), both[1]), classes=M.LABELS)
+    path = sinks.save_model(
+        composed_stages(spark, train).fit(train), runtime.scratch_path(spark, "pipelines"), "composed", spark
+    )
+    found = P.predictions(PipelineModel.load(path), external.select("doc_id", "text"))
+    pairs = external.join(found, "doc_id").select(F.col("label").alias("gold"), "pred")
+    return E.class_scores(pairs, classes=M.LABELS)
 
 
 @query("snk_08_save_model")
@@ -236,20 +247,19 @@ def own_evaluator(spark, sf):
     return M.predict(search.fit(train).bestModel, external)
 
 
+def squeezed(messages):
+    """A caller's own step: entities resolved, runs of white space as one space."""
+    return C.squeeze_text(C.unescape_text(messages))
+
+
 @query("udf_05_own_transformer")
 def own_transformer(spark, sf):
-    """A caller's step inside a pipeline: cleaning, then counts over all words, then a model."""
+    """A caller's step inside a pipeline that is saved with it and read back."""
     train, external = splits(spark, sf)
-    step = M.FunctionTransformer(lambda df: C.clean(df, CleanSpec(tokenizer="informal")))
-    known = runtime.materialize(M.feature_index(R.bag_of_words(step.transform(train))), "vocabulary")
-
-    def vectors(df):
-        return M.vector_table(R.bag_of_words(df.select("doc_id", "toks")), df, known)
-
-    model = NaiveBayes(labelCol="target", modelType="multinomial")
-    stages = [step, M.FunctionTransformer(vectors), model]
-    fitted = Pipeline(stages=stages).fit(train)
-    return M.predict(fitted, external)
+    rest = composed_stages(spark, train).getStages()
+    fitted = Pipeline(stages=[M.FunctionTransformer(squeezed), *rest]).fit(train)
+    path = sinks.save_model(fitted, runtime.scratch_path(spark, "pipelines"), "own", spark)
+    return P.predictions(PipelineModel.load(path), external)
 
 
 @query("udf_06_own_models")
