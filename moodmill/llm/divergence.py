@@ -8,35 +8,36 @@ integers throughout.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import CHUNK_BYTES, input_bytes, pieces, stored
+from moodmill.llm.common import CHUNK_BYTES, input_bytes, stored
 
 #: Documents of a language that a kept term stands in at least.
 LEAST_DOCS = 3
 #: Rows of part ``term`` per group.
 TERMS = 200
 #: Cells of stripes that a mapper holds before it hands them on.
-HELD_CELLS = 400_000
+HELD_CELLS = 2_000_000
 #: Cells of merged stripes that are scored at once; sums of pairs that a task holds.
 BLOCK_CELLS, HELD_SUMS = 100_000, 2_000_000
 #: Stored bytes of merged stripes per scoring task.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 4 << 20
 SHARE = 1_000_000_000
-#: Place of the document count in a stripe, beside the sources.
-DOCS = None
 
 #: Letters of terms, A-Z as a-z; every other ASCII character parts terms.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)
 )
 STRIPES = "lang string, term string, docs long, sources array<string>, counts array<long>"
+NAMES = [part.split()[0] for part in STRIPES.split(", ")]
 PARTS = "lang string, source string, part string, item string, value long"
 
 
@@ -51,77 +52,122 @@ def terms_of(text: str, most: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
         start = end
 
 
-def fold(batches: Iterator[pd.DataFrame], held: int = HELD_CELLS) -> Iterator[pd.DataFrame]:
-    """Documents to stripes. The stripe of the empty term names the sources of a language."""
-    stripes: dict[str, dict[bytes, dict]] = {}
-    cells = 0
-    for batch in pieces(batches, "text"):
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
-            own = stripes.setdefault(lang, {})
-            counts: Counter[bytes] = Counter()
-            for terms in terms_of(text):
-                counts.update(terms)
-            counts[b""] = 0
-            for term, n in counts.items():
-                stripe = own.get(term)
-                if stripe is None:
-                    own[term] = {DOCS: 1, source: n}
-                    cells += 2
-                elif source in stripe:
-                    stripe[DOCS] += 1
-                    stripe[source] += n
-                else:
-                    stripe[DOCS] += 1
-                    stripe[source] = n
-                    cells += 1
-            if cells >= held:
-                yield from _emptied(stripes)
-                cells = 0
-    yield from _emptied(stripes)
-
-
-def _emptied(stripes: dict, most: int = 50_000) -> Iterator[pd.DataFrame]:
-    rows = []
-    for lang, own in stripes.items():
-        for term, stripe in own.items():
-            docs = stripe.pop(DOCS)
-            rows.append(
-                (lang, term.decode("utf-8", "replace"), docs, list(stripe), list(stripe.values()))
-            )
-            if len(rows) >= most:
-                yield _frame(rows)
-                rows = []
-    stripes.clear()
-    if rows:
-        yield _frame(rows)
+class Stripes:
+    """Hashed terms, and cells (term, group, count) of the documents read so far."""
+
+    def __init__(self):
+        self.terms: defaultdict[bytes, int] = defaultdict()
+        self.terms.default_factory = self.terms.__len__
+        self.none = self.terms[b""]
+        self.groups: dict[tuple[str, str], int] = {}
+        self.cells: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, lang: str, source: str, text: str) -> None:
+        """One cell per term of the document; the empty term, never counted, names its group."""
+        group = self.groups.setdefault((lang, source), len(self.groups))
+        code, n = np.array([self.none]), np.zeros(1, np.int64)
+        for terms in terms_of(text):
+            own = np.fromiter(map(self.terms.__getitem__, terms), np.int64, len(terms))
+            own, place = np.unique(np.append(own, code), return_inverse=True)
+            total = np.bincount(place[: len(terms)], minlength=len(own))
+            total[place[len(terms) :]] += n
+            code, n = own, total
+        self.cells.append(np.stack([code, np.full(len(code), group), n]))
+        self.held += len(code)
+
+    def rows(self) -> pa.RecordBatch:
+        langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in self.groups))}
+        lang_of = np.array([langs[lang] for lang, _ in self.groups])
+        code, group, n = np.concatenate(self.cells, axis=1)
+        stripe = lang_of[group] * len(self.terms) + code
+        order = np.argsort(stripe * len(self.groups) + group, kind="stable")
+        stripe, group, n = stripe[order], group[order], n[order]
+        first = np.flatnonzero(np.diff(stripe, prepend=-1))
+        docs = np.diff(np.append(first, len(stripe)))
+        cell = np.flatnonzero((np.diff(stripe, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+        which = stripe[first]
+        names = pa.array(list(self.terms), pa.binary()).cast(pa.string())
+        return _batch(
+            pa.array(list(langs)).take(pa.array(which // len(self.terms))),
+            names.take(pa.array(which % len(self.terms))),
+            docs,
+            np.searchsorted(cell, first),
+            pa.array([source for _, source in self.groups]).take(pa.array(group[cell])),
+            np.add.reduceat(n, cell),
+        )
+
+
+def _batch(lang, term, docs, begins, sources, counts) -> pa.RecordBatch:
+    """Rows of STRIPES; the cells of a stripe start at its place in ``begins``."""
+    offsets = pa.array(np.append(begins, len(counts)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [lang, term, pa.array(docs.astype(np.int64)), pa.ListArray.from_arrays(offsets, sources),
+         pa.ListArray.from_arrays(offsets, pa.array(counts))],
+        names=NAMES,
+    )
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["lang", "term", "docs", "sources", "counts"])
+def fold(batches: Iterator[pa.RecordBatch], held: int = HELD_CELLS) -> Iterator[pa.RecordBatch]:
+    """Documents (lang, source, text) to stripes, handed on when so many cells are held. The
+    stripe of the empty term names the sources of a language."""
+    stripes = Stripes()
+    for batch in batches:
+        for row in zip(*(batch.column(i) for i in range(3))):
+            stripes.add(*(cell.as_py() for cell in row))
+            if stripes.held >= held:
+                yield from sliced(stripes.rows())
+                stripes = Stripes()
+    if stripes.cells:
+        yield from sliced(stripes.rows())
 
 
-def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stripes sorted by language and term to one stripe each; terms of too few documents go."""
-    key, docs, cells, rows = None, 0, {}, []
+def sliced(rows: pa.RecordBatch, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    for start in range(0, rows.num_rows, most):
+        yield rows.slice(start, most)
 
-    def finished():
-        if key is not None and (docs >= LEAST_DOCS or not key[1]):
-            rows.append((*key, docs, list(cells), list(cells.values())))
 
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stripes sorted by language and term to one stripe each; terms of too few documents go."""
+    open_ = None  # the last stripe, which may go on in the next batch
     for batch in batches:
-        for lang, term, n, sources, counts in zip(*(batch[c] for c in batch.columns)):
-            if (lang, term) != key:
-                finished()
-                key, docs, cells = (lang, term), 0, {}
-            docs += n
-            for source, count in zip(sources, counts.tolist()):
-                cells[source] = cells.get(source, 0) + count
-        if rows:
-            yield _frame(rows)
-            rows = []
-    finished()
-    if rows:
-        yield _frame(rows)
+        table = pa.Table.from_batches([batch])
+        table = table if open_ is None else pa.concat_tables([open_, table])
+        merged = merged_stripes(table.combine_chunks().to_batches()[0])
+        yield kept(merged.slice(0, merged.num_rows - 1))
+        open_ = pa.Table.from_batches([merged.slice(merged.num_rows - 1)])
+    if open_ is not None:
+        yield kept(open_.combine_chunks().to_batches()[0])
+
+
+def merged_stripes(rows: pa.RecordBatch) -> pa.RecordBatch:
+    lang, term, docs, sources, counts = (rows.column(i) for i in range(5))
+    new = np.ones(rows.num_rows, bool)
+    for column in (lang, term):
+        same = pc.equal(column.slice(1), column.slice(0, rows.num_rows - 1))
+        changed = ~same.to_numpy(zero_copy_only=False)
+        new[1:] = changed if column is lang else changed | new[1:]
+    first = np.flatnonzero(new)
+    stripe = np.repeat(np.cumsum(new) - 1, pc.list_value_length(sources).to_numpy())
+    coded = sources.flatten().dictionary_encode()
+    source = coded.indices.to_numpy().astype(np.int64)
+    n = counts.flatten().to_numpy()
+    order = np.argsort(stripe * len(coded.dictionary) + source, kind="stable")
+    stripe, source, n = stripe[order], source[order], n[order]
+    cell = np.flatnonzero((np.diff(stripe, prepend=-1) != 0) | (np.diff(source, prepend=-1) != 0))
+    return _batch(
+        lang.take(pa.array(first)),
+        term.take(pa.array(first)),
+        np.add.reduceat(docs.to_numpy(), first),
+        np.searchsorted(stripe[cell], np.arange(len(first))),
+        coded.dictionary.take(pa.array(source[cell])),
+        np.add.reduceat(n, cell),
+    )
+
+
+def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
+    often = pc.greater_equal(rows.column(2), LEAST_DOCS)
+    return rows.filter(pc.or_(often, pc.equal(rows.column(1), "")))
 
 
 def build_stripes(docs: DataFrame) -> DataFrame:
@@ -129,11 +175,11 @@ def build_stripes(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text"))
     )
-    partial = rows.mapInPandas(fold, STRIPES)
+    partial = rows.mapInArrow(fold, STRIPES)
     merged = (
         partial.repartition("lang", "term")
         .sortWithinPartitions("lang", "term")
-        .mapInPandas(merge, STRIPES)
+        .mapInArrow(merge, STRIPES)
     )
     return stored(merged, "stripes")
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from moodmill.llm import divergence, lexical_search, quality
@@ -102,11 +103,12 @@ def test_stripes_spill_and_merge(rows, monkeypatch):
     monkeypatch.setattr(divergence, "HELD_SUMS", 5)
     frame = pd.DataFrame([(r[2] or "", r[3] or "", r[1] or "") for r in rows])
     frame.columns = ["lang", "source", "text"]
-    spilled = pd.concat(divergence.fold(iter([frame]), held=40))
-    assert len(spilled) > len(pd.concat(divergence.fold(iter([frame]))))
-    spilled = spilled.sort_values(["lang", "term"], key=lambda c: c.str.encode("utf-8"))
-    spilled["counts"] = spilled["counts"].map(np.array)
-    merged = pd.concat(divergence.merge(iter([spilled.iloc[:50], spilled.iloc[50:]])))
+    docs = pa.RecordBatch.from_pandas(frame)
+    spilled = pa.Table.from_batches(divergence.fold(iter([docs]), held=40))
+    assert len(spilled) > len(pa.Table.from_batches(divergence.fold(iter([docs]))))
+    spilled = spilled.sort_by([("lang", "ascending"), ("term", "ascending")]).combine_chunks()
+    merged = divergence.merge(iter(spilled.to_batches(max_chunksize=50)))
+    merged = pa.Table.from_batches(merged).to_pandas()
     parts = []
     for lang, own in merged.groupby("lang"):
         cells = Counter()
@@ -116,7 +118,6 @@ def test_stripes_spill_and_merge(rows, monkeypatch):
         head = {"bucket": 0, "buckets": 1, "lang": lang, "sources": sorted(cells),
                 "counts": np.array([cells[s] for s in sorted(cells)]), "v": int((own["term"] != "").sum())}
         body = own[own["term"] != ""].assign(bucket=0, buckets=1, v=0)
-        body["counts"] = body["counts"].map(np.array)
         parts.append(pd.concat([pd.DataFrame([head | {"term": ""}]), body]))
     got = pd.concat(divergence.score(iter([pd.concat(parts)])))
     got = got.groupby(["lang", "source", "part", "item"], as_index=False)["value"].sum()
