@@ -7,6 +7,13 @@ from dataclasses import dataclass, field, replace
 from moodmill.functions.patterns import SHORT_STOPS
 
 ALL_STATS = ("avg", "sum", "min", "max", "amounts", "final")
+#: What the lexicons of a kind can be asked for.
+FAMILY_STATS = {
+    "opinion": ALL_STATS,
+    "emotion": ("avg", "sum", "min", "max", "amounts"),
+    "tagged": ("avg", "sum", "min", "max", "amounts"),
+    "synset": ("sum", "avg", "thresh", "decision"),
+}
 
 
 @dataclass(frozen=True)
@@ -25,7 +32,30 @@ class LexiconSpec:
     dims: tuple[str, ...] = ()
     negated: bool = False
     keep_percent: float | None = None
+    #: key of a tagged lexicon: ``dot`` for ``term.n``, ``hash`` for ``term#NOUN``
     tag_scheme: str | None = None
+    #: a lexicon of senses: the ``first`` one of a word counts, or the ``mean`` of all
+    senses: str | None = None
+    #: objective score from which a sense is left out of the subjective averages
+    thresh: float = 0.75
+
+    @property
+    def family(self) -> str:
+        if self.senses:
+            return "synset"
+        if self.tag_scheme:
+            return "tagged"
+        return "opinion" if self.opinion else "emotion"
+
+    def wanted(self) -> tuple[str, ...]:
+        """The statistics it asks for; the default is all its family has."""
+        served = FAMILY_STATS[self.family]
+        if self.stats == ALL_STATS:
+            return served
+        unknown = [s for s in self.stats if s not in served]
+        if unknown:
+            raise ValueError(f"{self.name}: no statistic {', '.join(unknown)} for {self.family} lexicons")
+        return self.stats
 
     def forms(self) -> tuple[str, ...]:
         out = ["tok"]
@@ -41,11 +71,10 @@ class LexiconSpec:
 _EMO = ("avg", "sum", "min", "max", "amounts")
 
 # The lexicons in mask order, with the settings found best for each.
-# The synset lexicon (position 2) has statistics of its own; the category sheet is
-# the mask position after the last lexicon.
+# The category sheet is the mask position after the last lexicon.
 LEXICONS = (
     LexiconSpec("BING", negated=True),
-    LexiconSpec("SWN", stats=("sum", "avg", "thresh", "decision"), negated=True),
+    LexiconSpec("SWN", stats=("sum", "avg", "thresh", "decision"), negated=True, senses="first"),
     LexiconSpec(
         "MSOL", bigrams=True, trigrams=True, gapped=True, joiner="_", gap="-",
         terms=True, keep_percent=5,

@@ -165,6 +165,19 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("term").alias("gram")).agg(F.sum("n").alias("n"))
 
 
+def form_grams(toks: Column, form: str) -> Column:
+    """The grams of one form: ``tok``, ``bi`` or ``tri`` plus the joiner, ``gap`` plus the mark."""
+    if form == "tok":
+        return toks
+    if form.startswith("bi"):
+        return T.ngram_array(toks, 2, form[2:])
+    if form.startswith("tri"):
+        return T.ngram_array(toks, 3, form[3:])
+    if form.startswith("gap"):
+        return T.gapped_array(toks, form[3:])
+    raise ValueError(f"unknown gram form {form!r}")
+
+
 def gram_forms(docs: DataFrame, forms: Iterable[str], distinct: bool = False) -> DataFrame:
     """doc_id, form, gram over several gram forms in one scan of the messages.
 
@@ -173,16 +186,7 @@ def gram_forms(docs: DataFrame, forms: Iterable[str], distinct: bool = False) ->
     """
 
     def grams(form: str) -> Column:
-        toks = F.col("toks")
-        if form == "tok":
-            return toks
-        if form.startswith("bi"):
-            return T.ngram_array(toks, 2, form[2:])
-        if form.startswith("tri"):
-            return T.ngram_array(toks, 3, form[3:])
-        if form.startswith("gap"):
-            return T.gapped_array(toks, form[3:])
-        raise ValueError(f"unknown gram form {form!r}")
+        return form_grams(F.col("toks"), form)
 
     sets = [
         F.struct(

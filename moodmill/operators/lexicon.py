@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodmill import runtime
@@ -102,49 +102,75 @@ def _by_form(lexicon: DataFrame, specs: Sequence[LexiconSpec]) -> DataFrame:
     return table
 
 
-def match_tagged(tagged: DataFrame, lexicon: DataFrame, scheme: str) -> DataFrame:
-    """Lookup of ``token.letter`` (``dot``) or ``token#TAG`` (``hash``).
+def tag_key(tok: Column, tag: Column, scheme: str) -> Column:
+    """``token.letter`` (``dot``) or ``token#TAG`` (``hash``)."""
+    if scheme == "dot":
+        return F.concat_ws(".", tok, T.map_tag(tag, "synset"))
+    if scheme == "hash":
+        return F.concat_ws("#", tok, T.map_tag(tag, "word"))
+    raise ValueError(f"unknown key scheme {scheme!r}")
+
+
+def match_tagged(
+    tagged: DataFrame, lexicon: DataFrame, scheme: str, bigrams: bool = False, joiner: str = " "
+) -> DataFrame:
+    """Lookup of tagged tokens, and of pairs of neighbours by the tag of the pair.
 
-    In the hash form the entries of one token under several tags collapse to the
-    entry of its last matching occurrence.
+    ``bigram_tag`` is the tag of a token and the next one as one word. In the hash form the
+    entries of one gram under several tags collapse to the entry of its last matching
+    occurrence, pairs after tokens. A lexicon holds a term and dim once.
     """
-    if scheme == "dot":
-        key = F.concat_ws(".", "tok", T.map_tag(F.col("tag"), "synset"))
-    elif scheme == "hash":
-        key = F.concat_ws("#", "tok", T.map_tag(F.col("tag"), "word"))
-    else:
-        raise ValueError(f"unknown key scheme {scheme!r}")
-    keyed = tagged.select("doc_id", "pos", "tok", key.alias("gram"))
+    keyed = tagged.select(
+        "doc_id", F.struct(F.lit(0).alias("pair"), "pos").alias("place"), "tok", "tag"
+    )
+    if bigrams:
+        if "bigram_tag" not in tagged.columns:
+            raise ValueError("bigrams of a tagged lexicon need the column bigram_tag")
+        ahead = F.lead("tok").over(Window.partitionBy("doc_id").orderBy("pos"))
+        pairs = tagged.withColumn("next", ahead).where("next IS NOT NULL")
+        keyed = keyed.unionByName(
+            pairs.select(
+                "doc_id",
+                F.struct(F.lit(1).alias("pair"), "pos").alias("place"),
+                F.concat_ws(joiner, "tok", "next").alias("tok"),
+                F.col("bigram_tag").alias("tag"),
+            )
+        )
+    keyed = keyed.withColumn("gram", tag_key(F.col("tok"), F.col("tag"), scheme))
     keyed = keyed.withColumn("term", bare(F.col("gram")))
     if scheme == "dot":
         table = runtime.small_side(effective(lexicon))
         hits = keyed.join(table, "term").groupBy("doc_id", "lexicon", "gram", "dim")
         return hits.agg(F.first("value").alias("value"))
-    entries = effective(lexicon).groupBy("lexicon", "term").agg(
-        F.collect_list(F.struct("dim", "value")).alias("entry")
-    )
-    last = (
-        keyed.join(runtime.small_side(entries), "term")
-        .groupBy("doc_id", "lexicon", F.col("tok").alias("gram"))
-        .agg(F.max_by("entry", "pos").alias("entry"))
-    )
-    return last.select("doc_id", "lexicon", "gram", F.inline("entry"))
+    hits = keyed.join(runtime.small_side(effective(lexicon)), "term")
+    return _last_entries(hits.withColumn("gram", F.col("tok")))
 
 
-def match_synsets(tagged: DataFrame, senses: DataFrame, sense: str = "first") -> DataFrame:
-    """Scores of the first sense, or the mean over all senses, of each tagged token.
+def _last_entries(hits: DataFrame) -> DataFrame:
+    """Of the matches of a gram, the entry of its last place."""
+    entry = F.collect_list(F.struct("dim", "value")).alias("entry")
+    each = hits.groupBy("doc_id", "lexicon", "gram", "place").agg(entry)
+    last = each.groupBy("doc_id", "lexicon", "gram").agg(F.max_by("entry", "place").alias("entry"))
+    return last.select("doc_id", "lexicon", "gram", F.inline("entry"))
 
-    ``NEG_`` is stripped for the lookup and swaps positive and negative.
-    """
+
+def sense_scores(senses: DataFrame, sense: str) -> DataFrame:
+    """word, letter and the three scores of a word's first sense, or the mean of all."""
     if sense == "first":
         table = senses.where(F.col("sense") == 1).drop("sense")
     elif sense == "mean":
-        table = senses.groupBy("word", "tag").agg(
-            *[F.avg(c).alias(c) for c in ("pos_score", "neg_score", "obj_score")]
-        )
+        table = senses.groupBy("word", "tag").agg(*[F.avg(c).alias(c) for c in SENSE_DIMS])
     else:
         raise ValueError(f"sense must be 'first' or 'mean', not {sense!r}")
-    table = runtime.small_side(table.withColumnRenamed("tag", "letter"))
+    return table.withColumnRenamed("tag", "letter")
+
+
+def match_synsets(tagged: DataFrame, senses: DataFrame, sense: str = "first") -> DataFrame:
+    """Scores of the first sense, or the mean over all senses, of each tagged token.
+
+    ``NEG_`` is stripped for the lookup and swaps positive and negative.
+    """
+    table = runtime.small_side(sense_scores(senses, sense))
     keyed = tagged.select(
         "doc_id",
         "pos",
@@ -494,37 +520,197 @@ OPINION_STATS = {
 EMOTION_STATS = {"avg": "avg", "sum": "summ", "min": "minn", "max": "maxn", "amounts": "count"}
 
 
+SYNSET_STATS = {
+    "sum": {"pos_tot": "pos_tot", "neg_tot": "neg_tot", "obj_tot": "obj_tot"},
+    "avg": {"pos_avg": "pos_avg", "neg_avg": "neg_avg"},
+    "thresh": {"pos_avg_tre": "pos_avg_tre", "neg_avg_tre": "neg_avg_tre"},
+    "decision": {"decision": "DECISION"},
+}
+SENSE_DIMS = ("pos_score", "neg_score", "obj_score")
+SENSE_FORM = "sense"
+
+
+def with_tags(docs: DataFrame, tagged: DataFrame) -> DataFrame:
+    """``tags`` (and ``bigram_tags``) of the messages' tokens as lists, from one row per token."""
+    cols = [c for c in ("tag", "bigram_tag") if c in tagged.columns]
+    lists = tagged.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("t")
+    )
+    named = [F.coalesce(F.col(f"t.{c}"), F.array().cast("array<string>")).alias(f"{c}s") for c in cols]
+    return docs.join(lists, "doc_id", "left").select(*docs.columns, *named)
+
+
+def _look_ups(spec: LexiconSpec) -> tuple[str, ...]:
+    """Names of the kinds of keys that a spec looks at: its token list, then its form."""
+    lists = "negated" if spec.negated else "plain"
+    if spec.family == "synset":
+        if spec.bigrams or spec.trigrams or spec.gapped:
+            raise ValueError(f"{spec.name}: senses are looked up by token")
+        return (f"{lists}|{SENSE_FORM}",)
+    if spec.family == "tagged":
+        if spec.trigrams or spec.gapped:
+            raise ValueError(f"{spec.name}: a tagged lexicon has tokens and bigrams")
+        pairs = f"pairs{spec.joiner}" if spec.bigrams else "alone"
+        return (f"{lists}|{spec.tag_scheme}|{pairs}",)
+    return tuple(f"{lists}|{form}" for form in spec.forms())
+
+
+def _keys(look_up: str, docs: DataFrame) -> Column:
+    """Array of (gram, term, place) of one kind of key; the place counts only where tags do."""
+    lists, form, *rest = look_up.split("|")
+    toks = F.col("toks") if lists == "plain" else F.col("negated")
+
+    def key(gram: Column, term: Column, place: Column | int = -1) -> Column:
+        place = F.lit(place) if isinstance(place, int) else place
+        return F.struct(gram.alias("gram"), term.alias("term"), place.cast("int").alias("place"))
+
+    if not rest and form != SENSE_FORM:
+        return F.transform(F.array_distinct(C.form_grams(toks, form)), lambda g: key(g, bare(g)))
+    if "tags" not in docs.columns:
+        raise ValueError("lexicons keyed by tag or sense need the tags of the messages")
+    both = F.arrays_zip(toks.alias("tok"), F.col("tags").alias("tag"))
+    if form == SENSE_FORM:
+        letter = lambda t: T.map_tag(t["tag"], "synset")
+        return F.transform(
+            F.filter(
+                F.transform(
+                    both,
+                    lambda t, i: F.struct(t["tok"].alias("tok"), letter(t).alias("letter"), i.alias("i")),
+                ),
+                lambda t: t["letter"] != "",
+            ),
+            lambda t: key(t["tok"], F.concat_ws(".", bare(t["tok"]), t["letter"]), t["i"]),
+        )
+
+    def tagged_key(t: Column, i: Column) -> Column:
+        gram = tag_key(t["tok"], t["tag"], form)
+        return key(gram, bare(gram)) if form == "dot" else key(t["tok"], bare(gram), i)
+
+    keys = F.transform(both, tagged_key)
+    if rest[0] != "alone":
+        if "bigram_tags" not in docs.columns:
+            raise ValueError("bigrams of a tagged lexicon need the tags of the bigrams")
+        pairs = F.arrays_zip(
+            T.ngram_array(toks, 2, rest[0].removeprefix("pairs")).alias("tok"),
+            F.col("bigram_tags").alias("tag"),
+        )
+        pairs = F.filter(pairs, lambda t: t["tok"].isNotNull())
+        keys = F.concat(keys, F.transform(pairs, lambda t, i: tagged_key(t, F.size(toks) + i)))
+    return F.array_distinct(keys) if form == "dot" else keys
+
+
+def match_specs(
+    docs: DataFrame,
+    lexicon: DataFrame,
+    specs: Sequence[LexiconSpec],
+    senses: DataFrame | None = None,
+) -> DataFrame:
+    """doc_id, lexicon, gram, place, dim, value: stored matches of lexicons of all families.
+
+    One scan of ``docs`` (doc_id, toks, and tags where a family needs them) yields the keys of
+    every kind, and one join looks them up in all lexicons and in the table of senses.
+    """
+    spark = docs.sparkSession
+    look_ups = [(s.name, look_up) for s in specs for look_up in _look_ups(s)]
+    asked = F.broadcast(runtime.local_table(spark, look_ups, "lexicon string, look_up string"))
+    table = effective(lexicon).where(F.col("lexicon").isin([s.name for s in specs if not s.senses]))
+    for s in specs:
+        if s.dims:
+            table = table.where((F.col("lexicon") != s.name) | F.col("dim").isin(list(s.dims)))
+    table = table.select("lexicon", "term", "dim", "value")
+    for s in specs:
+        if s.senses:
+            if senses is None:
+                raise ValueError(f"{s.name} needs a table of senses")
+            cells = [F.struct(F.lit(c).alias("dim"), F.col(c).alias("value")) for c in SENSE_DIMS]
+            rows = sense_scores(senses, s.senses).select(
+                F.lit(s.name).alias("lexicon"),
+                F.concat_ws(".", "word", "letter").alias("term"),
+                F.inline(F.array(*cells)),
+            )
+            table = table.unionByName(rows)
+    table = runtime.small_side(table.join(asked, "lexicon"))
+    rows = docs.withColumn("negated", T.negate_tokens(F.col("toks"), "prefix"))
+    sets = [
+        F.struct(F.lit(look_up).alias("look_up"), _keys(look_up, docs).alias("keys"))
+        for look_up in sorted({look_up for _, look_up in look_ups})
+    ]
+    keys = rows.select("doc_id", F.explode(F.array(*sets)).alias("s")).select(
+        "doc_id", F.col("s.look_up").alias("look_up"), F.inline("s.keys")
+    )
+    turned = F.col("gram").contains(P.NEGATION_PREFIX)
+    other = F.when(F.col("dim") == "pos_score", "neg_score").when(F.col("dim") == "neg_score", "pos_score")
+    by_sense = F.col("look_up").endswith(SENSE_FORM)
+    hits = keys.join(table, ["look_up", "term"]).select(
+        "doc_id",
+        "lexicon",
+        "gram",
+        "place",
+        F.when(turned & by_sense, F.coalesce(other, "dim")).otherwise(F.col("dim")).alias("dim"),
+        F.when(turned & (F.col("dim") == POLARITY), -F.col("value")).otherwise(F.col("value")).alias("value"),
+    )
+    return runtime.materialize(hits, "matches")
+
+
 def lexicon_features(
     docs: DataFrame,
     lexicon: DataFrame,
     specs: Sequence[LexiconSpec],
     tagged: DataFrame | None = None,
+    senses: DataFrame | None = None,
 ) -> DataFrame:
     """Long features of many lexicons, one block each, as their specs ask.
 
-    Lexicons that respect negation are matched on the negated token lists, the others
-    on the plain ones; lexicons keyed by tag need ``tagged``.
+    The messages are read once, for the matches of all families: opinion and emotion lexicons
+    over grams, lexicons keyed by tag, and lexicons of senses. Tags come as the column
+    ``tags`` of ``docs`` (``bigram_tags`` for pairs) or as rows of ``tagged``. Lexicons that
+    respect negation see the negated tokens. What a family does not have is an error.
     """
-    plain_specs = [s for s in specs if not s.tag_scheme]
+    for spec in specs:
+        spec.wanted()
+    lists = docs.select("doc_id", *[c for c in ("toks", "tags", "bigram_tags") if c in docs.columns])
+    if tagged is not None and "tags" not in docs.columns:
+        lists = with_tags(lists, tagged)
+    matches = match_specs(lists, lexicon, specs, senses)
+
+    def of(own: Sequence[LexiconSpec]) -> DataFrame:
+        return matches.where(F.col("lexicon").isin([s.name for s in own]))
+
     parts = []
-    for negated in (False, True):
-        group = [s for s in plain_specs if s.negated == negated]
-        if not group:
-            continue
-        lists = C.mark_negation(docs, "prefix") if negated else docs
-        matches = match_terms(lists, lexicon, group)
-        parts += _stat_blocks(matches, docs, group)
-    for spec in (s for s in specs if s.tag_scheme):
-        if tagged is None:
-            raise ValueError(f"{spec.name} is keyed by tag and needs a tagged corpus")
-        table = lexicon.where(F.col("lexicon") == spec.name)
-        if spec.dims:
-            table = table.where(F.col("dim").isin(list(spec.dims)))
-        hits = match_tagged(tagged, table, spec.tag_scheme).withColumn("kind", F.lit("tok"))
-        parts += _stat_blocks(hits, docs, [spec], positive_only=True)
+    plain = [s for s in specs if s.family in ("opinion", "emotion")]
+    if plain:
+        hits = of(plain)
+        if any(len(s.forms()) > 1 for s in plain):  # a gram may stand in several forms
+            hits = hits.dropDuplicates(["doc_id", "lexicon", "gram", "dim"])
+        parts += _stat_blocks(hits, docs, plain)
+    for scheme in ("dot", "hash"):
+        own = [s for s in specs if s.family == "tagged" and s.tag_scheme == scheme]
+        if own:
+            hits = of(own) if scheme == "dot" else _last_entries(of(own))
+            parts += _stat_blocks(hits, docs, own, positive_only=True)
+    for spec in (s for s in specs if s.family == "synset"):
+        cells = [F.max(F.when(F.col("dim") == c, F.col("value"))).alias(c) for c in SENSE_DIMS]
+        tokens = of([spec]).groupBy("doc_id", F.col("place").alias("pos"), F.col("gram").alias("tok"))
+        scores = runtime.materialize(tokens.agg(*cells), "senses")
+        parts.append(_synset_block(scores, docs, spec))
+        if spec.terms:
+            rows = synset_terms(scores).withColumn("block", F.lit(spec.name))
+            parts.append(rows.select("doc_id", "block", "name", "value"))
     return union_all(parts)
 
 
+def _synset_block(scores: DataFrame, docs: DataFrame, spec: LexiconSpec) -> DataFrame:
+    stats = synset_features(scores, docs, spec.thresh).withColumn("lexicon", F.lit(spec.name))
+    cells = [
+        F.struct(
+            F.lit(f"{spec.name}_{name}").alias("name"), F.col(c).cast("double").alias("value")
+        )
+        for key in spec.wanted()
+        for c, name in SYNSET_STATS[key].items()
+    ]
+    return _named(stats, F.array(*cells))
+
+
 def _stat_blocks(
     matches: DataFrame, docs: DataFrame, specs: Sequence[LexiconSpec], positive_only: bool = False
 ) -> list[DataFrame]:
@@ -579,7 +765,7 @@ def _stat_blocks(
 def _asked(specs: Sequence[LexiconSpec], key: Column) -> Column:
     test = F.lit(False)
     for s in specs:
-        test = test | ((F.col("lexicon") == s.name) & key.isin(list(s.stats)))
+        test = test | ((F.col("lexicon") == s.name) & key.isin(list(s.wanted())))
     return test
 
 
