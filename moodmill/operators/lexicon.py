@@ -540,7 +540,7 @@ def with_tags(docs: DataFrame, tagged: DataFrame) -> DataFrame:
     return docs.join(lists, "doc_id", "left").select(*docs.columns, *named)
 
 
-def _look_ups(spec: LexiconSpec) -> tuple[str, ...]:
+def look_ups(spec: LexiconSpec) -> tuple[str, ...]:
     """Names of the kinds of keys that a spec looks at: its token list, then its form."""
     lists = "negated" if spec.negated else "plain"
     if spec.family == "synset":
@@ -599,6 +599,18 @@ def _keys(look_up: str, docs: DataFrame) -> Column:
     return F.array_distinct(keys) if form == "dot" else keys
 
 
+def look_up_keys(docs: DataFrame, kinds: Iterable[str], *keep: str) -> DataFrame:
+    """doc_id, look_up, gram, term, place of every kind of key, from one scan of the messages."""
+    rows = docs.withColumn("negated", T.negate_tokens(F.col("toks"), "prefix"))
+    sets = [
+        F.struct(F.lit(kind).alias("look_up"), _keys(kind, docs).alias("keys"))
+        for kind in sorted(set(kinds))
+    ]
+    return rows.select("doc_id", *keep, F.explode(F.array(*sets)).alias("s")).select(
+        "doc_id", *keep, F.col("s.look_up").alias("look_up"), F.inline("s.keys")
+    )
+
+
 def match_specs(
     docs: DataFrame,
     lexicon: DataFrame,
@@ -611,8 +623,8 @@ def match_specs(
     every kind, and one join looks them up in all lexicons and in the table of senses.
     """
     spark = docs.sparkSession
-    look_ups = [(s.name, look_up) for s in specs for look_up in _look_ups(s)]
-    asked = F.broadcast(runtime.local_table(spark, look_ups, "lexicon string, look_up string"))
+    asked_for = [(s.name, look_up) for s in specs for look_up in look_ups(s)]
+    asked = F.broadcast(runtime.local_table(spark, asked_for, "lexicon string, look_up string"))
     table = effective(lexicon).where(F.col("lexicon").isin([s.name for s in specs if not s.senses]))
     for s in specs:
         if s.dims:
@@ -630,14 +642,7 @@ def match_specs(
             )
             table = table.unionByName(rows)
     table = runtime.small_side(table.join(asked, "lexicon"))
-    rows = docs.withColumn("negated", T.negate_tokens(F.col("toks"), "prefix"))
-    sets = [
-        F.struct(F.lit(look_up).alias("look_up"), _keys(look_up, docs).alias("keys"))
-        for look_up in sorted({look_up for _, look_up in look_ups})
-    ]
-    keys = rows.select("doc_id", F.explode(F.array(*sets)).alias("s")).select(
-        "doc_id", F.col("s.look_up").alias("look_up"), F.inline("s.keys")
-    )
+    keys = look_up_keys(docs, {look_up for _, look_up in asked_for})
     turned = F.col("gram").contains(P.NEGATION_PREFIX)
     other = F.when(F.col("dim") == "pos_score", "neg_score").when(F.col("dim") == "neg_score", "pos_score")
     by_sense = F.col("look_up").endswith(SENSE_FORM)

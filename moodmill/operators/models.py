@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import ElementwiseProduct, MaxAbsScaler, MinMaxScaler
+from pyspark.ml.feature import ElementwiseProduct, MaxAbsScaler, MinMaxScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -37,13 +37,13 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from moodmill import runtime
 from moodmill.config import ModelSpec
-from moodmill.operators import align, evaluate, select
+from moodmill.operators import align, batch, evaluate, select
 from moodmill.operators.select import Scorer
 
 SEED = 9000
@@ -425,6 +425,15 @@ def _external(figures: Mapping[str, float]) -> dict[str, float]:
     return out
 
 
+def _fold_scores(
+    spec: ModelSpec, train: DataFrame, external: DataFrame, fold: int, name: str
+) -> list[tuple]:
+    model = fit_model(train.where(F.col("fold") != fold), spec)
+    held = _figures(predict(model, train.where(F.col("fold") == fold)))
+    values = {"cv_score": held["score"], **_external(_figures(predict(model, external)))}
+    return [(name, fold, metric, float(v)) for metric, v in values.items()]
+
+
 def cross_validate(
     spec: ModelSpec, train: DataFrame, external: DataFrame, folds: int = FOLDS,
     name: str | None = None, threads: int = 4,
@@ -434,16 +443,24 @@ def cross_validate(
     ``train`` is a stored vector table with ``fold``. Fits run on the executors; the
     driver only keeps a few submitted at a time.
     """
+    found = _queue({name or spec.name: spec}, train, external, folds, threads)
+    return found.select(F.col("key").alias("model"), "fold", "metric", "value")
+
+
+def _queue(
+    specs: Mapping[str, ModelSpec], train: DataFrame, external: DataFrame, folds: int, threads: int = 4
+) -> DataFrame:
+    """key, model, fold, metric, value of all fits of several models, a few in flight."""
 
-    def run(i: int) -> list[tuple]:
-        model = fit_model(train.where(F.col("fold") != i), spec)
-        held = _figures(predict(model, train.where(F.col("fold") == i)))
-        values = {"cv_score": held["score"], **_external(_figures(predict(model, external)))}
-        return [(name or spec.name, i, metric, float(v)) for metric, v in values.items()]
+    def run(at: tuple[str, int]) -> list[tuple]:
+        key, fold = at
+        return [(key, *r) for r in _fold_scores(specs[key], train, external, fold, specs[key].name)]
 
     with ThreadPool(threads) as pool:
-        rows = [r for part in pool.map(run, range(folds)) for r in part]
-    return _score_table(train.sparkSession, rows)
+        rows = [r for part in pool.map(run, list(product(specs, range(folds))), 1) for r in part]
+    return runtime.local_table(
+        train.sparkSession, rows, "key string, model string, fold int, metric string, value double"
+    )
 
 
 def repeat_fit(
@@ -471,11 +488,12 @@ def compare_models(
 
 
 def _tables(
-    features: DataFrame, train: DataFrame, external: DataFrame
+    features: DataFrame, train: DataFrame, external: DataFrame, vocabulary: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Vector tables of both splits over the names of the training split."""
     own = features.join(train.select("doc_id"), "doc_id", "left_semi")
-    vocabulary = runtime.materialize(feature_index(own), "vocabulary")
+    if vocabulary is None:
+        vocabulary = runtime.materialize(feature_index(own), "vocabulary")
     return (
         vector_table(own, train, vocabulary),
         vector_table(
@@ -484,20 +502,52 @@ def _tables(
     )
 
 
+def _size(table: DataFrame) -> int:
+    """Features of a vector table."""
+    first = table.select("features").first()
+    return first["features"].size if first else 1
+
+
+def _subsets(
+    features: DataFrame, train: DataFrame, external: DataFrame, subsets: Mapping[str, DataFrame],
+    models: Sequence[ModelSpec], folds: int,
+) -> DataFrame:
+    """key, model, fold, metric, value for several sets of names (key: names) of one table.
+
+    Linear models are fitted together over one vector table, a subset being a set of indices;
+    any other model gets a table of its own per subset.
+    """
+    parts = []
+    batched = [m for m in models if m.name in batch.SERVED]
+    if batched:
+        own = features.join(train.select("doc_id"), "doc_id", "left_semi")
+        vocabulary = runtime.materialize(feature_index(own), "vocabulary")
+        tables = _tables(features, train, external, vocabulary)
+        jobs = []
+        for key, names in subsets.items():
+            # no more indices than the coefficients that the driver holds
+            found = vocabulary.join(names.select("name"), "name", "left_semi").select("idx").toPandas()
+            chosen = batch.ranges(np.sort(found["idx"].to_numpy()))
+            jobs += [batch.Job(key, m.name, m.params, chosen) for m in batched]
+        parts.append(batch.cross_validate(jobs, *tables, _size(tables[0]), folds))
+    others = [m for m in models if m.name not in batch.SERVED]
+    if others:
+        for key, names in subsets.items():
+            tables = _tables(select.keep_selected(features, names), train, external)
+            scores = compare_models(*tables, others, folds)
+            parts.append(scores.select(F.lit(key).alias("key"), *scores.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def percentile_sweep(
     features: DataFrame, train: DataFrame, external: DataFrame, percents: Sequence[float],
     models: Sequence[ModelSpec], scorer: Scorer = select.score_chi2, folds: int = FOLDS,
 ) -> DataFrame:
     """Scores for every share of selected features; the selection sees training rows only."""
     scores = runtime.materialize(scorer(features, train), "scores")
-    parts = []
-    for percent in percents:
-        chosen = select.keep_selected(features, select.select_percentile(scores, percent))
-        tables = _tables(chosen, train, external)
-        parts.append(
-            compare_models(*tables, models, folds).withColumn("percent", F.lit(float(percent)))
-        )
-    return reduce(DataFrame.unionByName, parts)
+    chosen = {str(float(p)): select.select_percentile(scores, p) for p in percents}
+    found = _subsets(features, train, external, chosen, models, folds)
+    return found.withColumn("percent", F.col("key").cast("double")).drop("key")
 
 
 def ablate(
@@ -511,14 +561,16 @@ def ablate(
     """
     if by not in ("stat", "dim"):
         raise ValueError("ablate by 'stat' or 'dim'")
-    parts = []
-    for value in values:
-        chosen = features.where(F.col(by) == value).select("doc_id", "name", "value")
-        if base is not None:
-            chosen = chosen.unionByName(base.select("doc_id", "name", "value"))
-        scores = cross_validate(spec, *_tables(chosen, train, external), folds)
-        parts.append(scores.withColumn("kept", F.lit(value)))
-    return reduce(DataFrame.unionByName, parts)
+    every = features.select("doc_id", "name", "value")
+    kept = features.select("name", by).distinct()
+    kept = runtime.materialize(kept, "statistics")
+    subsets = {v: kept.where(F.col(by) == v).select("name") for v in values}
+    if base is not None:
+        every = every.unionByName(base.select("doc_id", "name", "value"))
+        names = runtime.materialize(base.select("name").distinct(), "base-names")
+        subsets = {v: own.unionByName(names) for v, own in subsets.items()}
+    found = _subsets(every, train, external, subsets, (spec,), folds)
+    return found.withColumnRenamed("key", "kept")
 
 
 def stat_and_dim(features: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
@@ -535,96 +587,209 @@ def stat_and_dim(features: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     )
 
 
-#: Statistics of emotion lexicons under the names that opinion lexicons give them.
-STAT_NAMES = {"summ": "sum", "minn": "min", "maxn": "max"}
+#: The statistic that a feature of any family belongs to, by the end of its name.
+STAT_NAMES = {
+    "summ": "sum", "minn": "min", "maxn": "max", "count": "amounts", "negamt": "amounts",
+    "posamt": "amounts", "fpol": "final", "tot": "sum", "tre": "thresh", "DECISION": "decision",
+}
+
+
+#: Masks that are decoded and fitted together.
+MASKS_AT_ONCE = 64
 
 
 def evaluate_masks(
     features: DataFrame, masks: DataFrame, train: DataFrame, external: DataFrame,
-    block_order: Sequence[str], memo: DataFrame | None = None, base: DataFrame | None = None,
+    block_order: Sequence[str], memo: str | None = None, base: DataFrame | None = None,
     models: Sequence[ModelSpec] = DEFAULT_MODELS, folds: int = FOLDS,
 ) -> DataFrame:
-    """The best model of every mask (mask, cv_score, external_score, model).
+    """The best model of every mask: mask, cv_score, external_score, model.
 
-    Masks in the memo are taken from it and not fitted again. A search holds a few
-    dozen masks at a time, each of which is a round of fits.
+    All blocks (and ``base``, which every mask has) become one vector table, in which a block
+    is a range of indices and a mask a set of ranges; the linear models of many masks are
+    fitted together. ``memo`` is the folder of a table of earlier results: masks in it are not
+    fitted again, and new ones are added to it.
     """
-    wanted = masks.select("mask").distinct()
-    todo = wanted if memo is None else wanted.join(memo, "mask", "left_anti")
-    decoded = evaluate.decode_masks(todo, block_order)
-    parts = []
-    for row in todo.orderBy("mask").toLocalIterator():
-        own = decoded.where(F.col("mask") == row["mask"])
-        chosen = align.select_blocks(features, own).drop("mask")
-        if base is not None:
-            chosen = chosen.unionByName(base)
-        scores = evaluate.summarize_scores(
-            compare_models(*_tables(chosen, train, external), models, folds)
-        )
-        wide = scores.groupBy("model").pivot("metric", ["cv_score", "external_score"]).agg(
-            F.first("mean")
-        )
-        parts.append(
-            wide.orderBy(F.desc("external_score"), "model")
-            .limit(1)
-            .select(F.lit(row["mask"]).alias("mask"), "cv_score", "external_score", "model")
-        )
-    if memo is not None:
-        known = memo.select("mask", "cv_score", "external_score", "model")
-        parts.append(known.join(wanted, "mask", "left_semi"))
+    spark = features.sparkSession
+    wanted = runtime.materialize(masks.select("mask").distinct(), "masks")
+    known = _memo(spark, memo)
+    todo = wanted if known is None else wanted.join(known, "mask", "left_anti")
+    parts = [] if known is None else [known.join(wanted, "mask", "left_semi")]
+    tables = None
+    for names in _chunks((r["mask"] for r in todo.orderBy("mask").toLocalIterator()), MASKS_AT_ONCE):
+        if tables is None:
+            tables, places = _block_tables(features, train, external, base)
+        jobs = {}
+        for mask in names:
+            bits = [bit.strip() == "1" for bit in mask.strip("[] ").split(",")]
+            on = [b for b, bit in zip(block_order, bits) if bit]
+            jobs[mask] = tuple(sorted(places[b] for b in (*on, BASE) if b in places))
+        found = runtime.materialize(_best_models(jobs, tables, models, folds), "mask-scores")
+        if memo is not None:
+            found.write.mode("append").parquet(memo)
+        parts.append(found)
+    if not parts:
+        return spark.createDataFrame([], MEMO)
     return reduce(DataFrame.unionByName, parts)
 
 
+BASE = "BASE"
+MEMO = "mask string, cv_score double, external_score double, model string"
+
+
+def _memo(spark, path: str | None) -> DataFrame | None:
+    if path is None:
+        return None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    # a search that ran twice may have left a mask twice
+    return spark.read.schema(MEMO).parquet(path).dropDuplicates(["mask"])
+
+
+def _chunks(items, size: int):
+    own = []
+    for item in items:
+        own.append(item)
+        if len(own) == size:
+            yield own
+            own = []
+    if own:
+        yield own
+
+
+def _block_tables(
+    features: DataFrame, train: DataFrame, external: DataFrame, base: DataFrame | None
+) -> tuple[tuple[DataFrame, DataFrame], dict[str, tuple[int, int]]]:
+    """Vector tables of all blocks side by side, and the range of indices of each."""
+    rows = features.select("doc_id", "block", "name", "value")
+    if base is not None:
+        rows = rows.unionByName(base.select("doc_id", F.lit(BASE).alias("block"), "name", "value"))
+    rows = align.concat_blocks(rows)  # names begin with their block, so a block's stand together
+    own = rows.join(train.select("doc_id"), "doc_id", "left_semi")
+    vocabulary = runtime.materialize(feature_index(own), "vocabulary")
+    ends = vocabulary.groupBy(F.substring_index("name", ":", 1).alias("block")).agg(
+        F.min("idx").alias("first"), F.max("idx").alias("last")
+    )
+    places = {r["block"]: (r["first"], r["last"] + 1) for r in ends.collect()}  # a row per block
+    return _tables(rows.select("doc_id", "name", "value"), train, external, vocabulary), places
+
+
+def slice_features(table: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """A vector table with the features of some ranges of indices only, moved together."""
+    chosen = [i for start, end in ranges for i in range(start, end)]
+    if not chosen:  # a vector has one feature at least
+        return table.withColumn("features", array_to_vector(F.array(F.lit(0.0))))
+    sliced = VectorSlicer(inputCol="features", outputCol="_own", indices=chosen).transform(table)
+    return sliced.drop("features").withColumnRenamed("_own", "features")
+
+
+def _best_models(
+    jobs: Mapping[str, tuple[tuple[int, int], ...]], tables: tuple[DataFrame, DataFrame],
+    models: Sequence[ModelSpec], folds: int,
+) -> DataFrame:
+    batched = [m for m in models if m.name in batch.SERVED]
+    parts = []
+    if batched:
+        each = [
+            batch.Job(key, m.name, m.params, ranges) for key, ranges in jobs.items() for m in batched
+        ]
+        parts.append(batch.cross_validate(each, *tables, _size(tables[0]), folds))
+    for spec in (m for m in models if m.name not in batch.SERVED):
+        for key, ranges in jobs.items():
+            own = [slice_features(t, ranges) for t in tables]
+            scores = cross_validate(spec, *own, folds)
+            parts.append(scores.select(F.lit(key).alias("key"), *scores.columns))
+    scores = reduce(DataFrame.unionByName, parts)
+    wide = scores.groupBy("key", "model").pivot("metric", ["cv_score", "external_score"]).agg(
+        F.avg("value")
+    )
+    order = Window.partitionBy("key").orderBy(F.desc("external_score"), "model")
+    best = wide.withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return best.select(F.col("key").alias("mask"), "cv_score", "external_score", "model")
+
+
 def grid_search(
     name: str, grid: Mapping[str, Sequence], train: DataFrame, external: DataFrame,
     folds: int = FOLDS,
 ) -> DataFrame:
-    """Scores of every parameter combination, summarized over the folds."""
+    """Scores of every parameter combination, summarized over the folds.
+
+    Linear models are fitted together, points that differ in ``max_iter`` in one run; of any
+    other model all fits of all points are in one queue.
+    """
     keys = sorted(grid)
-    parts = []
+    points = {}
     for values in product(*[grid[k] for k in keys]):
         params = dict(zip(keys, values))
-        label = ", ".join(f"{k}={v}" for k, v in params.items())
-        scores = cross_validate(ModelSpec(name, params), train, external, folds)
-        parts.append(evaluate.summarize_scores(scores).withColumn("params", F.lit(label)))
-    return reduce(DataFrame.unionByName, parts)
+        points[", ".join(f"{k}={v}" for k, v in params.items())] = params
+    if name in batch.SERVED:
+        jobs = [batch.Job(label, name, params) for label, params in points.items()]
+        scores = batch.cross_validate(jobs, train, external, _size(train), folds)
+    else:
+        specs = {label: ModelSpec(name, params) for label, params in points.items()}
+        scores = _queue(specs, train, external, folds)
+    summed = scores.groupBy("model", "metric", "key").agg(
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
+    )
+    return summed.withColumnRenamed("key", "params")
 
 
 def eliminate(
     features: DataFrame, train: DataFrame, external: DataFrame, drop_share: float = 0.5,
-    folds: int = FOLDS, spec: ModelSpec = ModelSpec("logistic"),
-) -> DataFrame:
-    """Recursive elimination down to one feature: fit, drop the share with the least
-    weights, score each step."""
+    folds: int = 2, spec: ModelSpec = ModelSpec("linear_svc"), fold: str = "fold",
+) -> tuple[DataFrame, DataFrame]:
+    """Recursive elimination: steps (features, cv_score, external_score, best) and the rank of
+    every feature (name, left, chosen).
+
+    Each of ``folds`` parts is left out in turn; the others are fitted, lose the share of
+    features with the least squared weights and are fitted again, down to one feature, and
+    every model is scored on the part that it has not seen. The size with the best mean score
+    (the smaller one of equals) is chosen, and the elimination over all training rows says
+    which features those are: ``left`` is the smallest set that a feature is in. All fits of a
+    step are one batch.
+    """
     spark = features.sparkSession
-    parts, step = [], 0
+    parts = train.withColumn("fold", F.col(fold) % folds)
+    own = features.join(train.select("doc_id"), "doc_id", "left_semi")
+    vocabulary = runtime.materialize(feature_index(own), "vocabulary")
+    tables = _tables(features, parts, external, vocabulary)
+    size = _size(tables[0])
+    rows = batch.sparse_rows(*tables)
+    sizes = batch.class_sizes(rows, folds)
+    held = [*range(folds), None]
+    alive = {i: np.arange(size) for i in held}
+    left = np.full(size, size)
+    steps = []
     while True:
-        own = features.join(train.select("doc_id"), "doc_id", "left_semi")
-        vocabulary = runtime.materialize(feature_index(own), "vocabulary")
-        size = vocabulary.count()
-        table = vector_table(own, train, vocabulary)
-        outer = vector_table(features, external, vocabulary)
-        scores = evaluate.summarize_scores(cross_validate(spec, table, outer, folds))
-        parts.append(scores.withColumns({"step": F.lit(step), "features": F.lit(size)}))
-        if size < 2:
+        jobs = [
+            (batch.Job("", spec.name, spec.params, batch.ranges(alive[i])).settings(), i) for i in held
+        ]
+        end = batch.Job("", spec.name, spec.params).iterations()
+        fitted = [x[end] for x in batch.fit(rows, size, jobs, [{end}] * len(jobs), sizes)]
+        cells = batch.confusions(rows, size, list(zip(fitted, held)))
+        scored = [batch.f_scores(c[0]) for c in cells[:-1]]
+        outer = batch.f_scores(cells[-1][1])
+        n = len(alive[None])
+        steps.append((n, float(np.mean([(f[0] + f[2]) / 2 for f in scored])), (outer[0] + outer[2]) / 2))
+        left[alive[None]] = n
+        if n < 2:
             break
-        model = fit_model(table, spec).stages[-1]
-        # one weight per feature: the model itself already lives on the driver
-        if hasattr(model, "models"):
-            weight = np.max([np.abs(m.coefficients.toArray()) for m in model.models], axis=0)
-        elif hasattr(model, "theta"):  # how far the classes' log probabilities are apart
-            weight = np.ptp(model.theta.toArray(), axis=0)
-        else:
-            weight = np.abs(model.coefficientMatrix.toArray()).max(axis=0)
-        weights = spark.createDataFrame(
-            pd.DataFrame({"idx": np.arange(size, dtype="int32"), "score": weight})
-        )
-        ranked = vocabulary.join(weights, "idx").select("name", "score")
-        share = min(1 - drop_share, (size - 1) / size)  # one goes at least
-        kept = select.select_percentile(ranked, max(100.0 * share, 100.0 / size))
-        features = runtime.materialize(select.keep_selected(features, kept), "kept")
-        step += 1
-    return reduce(DataFrame.unionByName, parts)
+        keep = max(1, min(n - 1, int(np.ceil(n * (1 - drop_share)))))
+        for i, x in zip(held, fitted):
+            weight = (x[:, :-1] ** 2).sum(axis=0)[alive[i]]
+            best = np.argsort(-weight, kind="stable")[:keep]
+            alive[i] = np.sort(alive[i][best])
+    best = max(steps, key=lambda s: (s[1], -s[0]))[0]
+    table = runtime.local_table(
+        spark, [(*s, s[0] == best) for s in steps],
+        "features int, cv_score double, external_score double, best boolean",
+    )
+    ranks = spark.createDataFrame(
+        pd.DataFrame({"idx": np.arange(size, dtype="int32"), "left": left.astype("int32")})
+    )
+    ranked = vocabulary.join(ranks, "idx").select("name", "left", (F.col("left") <= best).alias("chosen"))
+    return table, ranked
 
 
 def compare_tokenizers(

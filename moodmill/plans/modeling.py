@@ -6,13 +6,17 @@ folds of the training set.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodmill import runtime
-from moodmill.config import CleanSpec, ModelSpec
+from moodmill.config import LEXICONS, MASK_ORDER, CleanSpec, ModelSpec
+from moodmill.operators import batch
 from moodmill.operators import corpus as C
 from moodmill.operators import evaluate as E
 from moodmill.operators import lexicon as L
@@ -21,7 +25,9 @@ from moodmill.operators import pipeline as P
 from moodmill.operators import profile as R
 from moodmill.operators import select as S
 from moodmill.plans import common as K
+from moodmill.plans import lexicon_set
 from moodmill.plans.common import SPECS, query
+from moodmill.plans.scoring import block_order
 from moodmill.sources import sinks
 
 K_FOLDS = M.FOLDS
@@ -49,14 +55,6 @@ def word_features(train, external, percent=5.0):
     return runtime.materialize(S.keep_selected(bag, chosen), "base").withColumn("block", F.lit("BASE"))
 
 
-def lexicon_blocks(train, external):
-    both = train.unionByName(external)
-    docs = C.map_tokens(C.tokenize(both, "informal"), lambda t: F.transform(t, F.lower))
-    spark = both.sparkSession
-    rows = L.lexicon_features(docs.select("doc_id", "toks"), K.lexicon(spark), SPECS)
-    return runtime.materialize(rows, "lexicons")
-
-
 def tables(spark, sf):
     train, external = splits(spark, sf)
     return M._tables(word_features(train, external).drop("block"), train, external)
@@ -148,51 +146,101 @@ def compare_models(spark, sf):
     return E.summarize_scores(M.compare_models(*tables(spark, sf), models, K_FOLDS))
 
 
+@query("eval_14_compare_linear_models")
+def compare_linear_models(spark, sf):
+    """The default models of the comparison, all folds of all of them fitted together."""
+    train, external = tables(spark, sf)
+    jobs = [batch.Job(m.name, m.name, m.params) for m in M.DEFAULT_MODELS]
+    scores = batch.cross_validate(jobs, train, external, M._size(train), K_FOLDS)
+    return E.summarize_scores(scores.drop("key"))
+
+
+#: Shares of the features in per cent.
+PERCENTS = (1, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100)
+
+
 @query("eval_15_percentile_sweep")
 def percentile_sweep(spark, sf):
     train, external = splits(spark, sf)
-    features = words(train, external)
-    return M.percentile_sweep(features, train, external, (5, 30), (FAST,), folds=K_FOLDS)
+    bag = words(train, external)
+    features = S.keep_selected(bag, frequent(bag, train))
+    models = (ModelSpec("linear_svc"),)
+    return M.percentile_sweep(features, train, external, PERCENTS, models, folds=K_FOLDS)
+
+
+def frequent(bag, train, least=3):
+    """Names that stand in a few training messages at least."""
+    own = bag.join(train.select("doc_id"), "doc_id", "left_semi")
+    return own.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def descriptors(train, external):
+    """The blocks of all sixteen lexicons, learned from the training messages, with the
+    selection that their settings ask for, and the category sheet."""
+    rows = lexicon_set.message_rows(train.select("doc_id", "text").unionByName(external.select("doc_id", "text")))
+    own = rows.join(train.select("doc_id", "label"), "doc_id")
+    found = runtime.materialize(lexicon_set.features(rows, own), "descriptors")
+    labels = train.select("doc_id", "label")
+    training = runtime.materialize(found.join(labels, "doc_id"), "training-descriptors")
+    kept = []
+    for spec in (s for s in LEXICONS if s.keep_percent is not None):
+        block = training.where(F.col("block") == spec.name)
+        kept.append(S.select_percentile(S.score_mutual_info(block, labels), spec.keep_percent).select("name"))
+    selected = [s.name for s in LEXICONS if s.keep_percent is not None]
+    names = reduce(DataFrame.unionByName, kept)
+    whole = found.where(~F.col("block").isin(selected))
+    some = S.keep_selected(found.where(F.col("block").isin(selected)), names)
+    return runtime.materialize(whole.unionByName(some.select(*whole.columns)), "blocks")
 
 
 def _ablation(spark, sf, by, values):
-    """Lexicon features by statistic and dimension, next to the word counts."""
+    """One statistic or dimension of all lexicons at a time, next to the word counts."""
     train, external = splits(spark, sf)
-    rows = M.stat_and_dim(lexicon_blocks(train, external), ("joy", "sad", "anger"))
+    rows = M.stat_and_dim(descriptors(train, external), ABLATED_DIMS)
     base = word_features(train, external)
-    return M.ablate(rows, train, external, by, values, ModelSpec("tree"), K_FOLDS, base)
+    return M.ablate(rows, train, external, by, values, ModelSpec("linear_svc"), K_FOLDS, base)
+
+
+ABLATED_STATS = ("avg", "sum", "min", "max", "amounts", "final", "thresh", "decision")
+ABLATED_DIMS = (*lexicon_set.DIMS, *dict.fromkeys(d for s in LEXICONS for d in s.dims))
 
 
 @query("eval_16_ablate_stats")
 def ablate_stats(spark, sf):
-    return _ablation(spark, sf, "stat", ("sum", "max"))
+    return _ablation(spark, sf, "stat", ABLATED_STATS)
 
 
 @query("eval_16_ablate_dims")
 def ablate_dims(spark, sf):
-    return _ablation(spark, sf, "dim", ("joy", "sad", "anger"))
+    return _ablation(spark, sf, "dim", tuple(dict.fromkeys(ABLATED_DIMS)))
 
 
 @query("eval_17_evaluate_masks")
 def evaluate_masks(spark, sf):
-    """Two masks are fitted, the third one is known from an earlier search."""
+    """The masks that switch the seventeen blocks on one by one, next to the word counts."""
     train, external = splits(spark, sf)
-    blocks = tuple(s.name for s in SPECS)
-    masks = spark.createDataFrame([("[1, 0, 0]",), ("[1, 1, 0]",), ("[1, 1, 1]",)], "mask string")
-    memo = spark.createDataFrame(
-        [("[1, 1, 1]", 0.5, 0.4, "tree")],
-        "mask string, cv_score double, external_score double, model string",
-    )
+    masks = E.insertion_masks(spark, block_order(spark, sf), len(MASK_ORDER))
     return M.evaluate_masks(
-        lexicon_blocks(train, external), masks, train, external, blocks, memo,
-        models=(ModelSpec("tree"),), folds=K_FOLDS,
+        descriptors(train, external), masks, train, external, MASK_ORDER,
+        runtime.scratch_path(spark, "memo"), word_features(train, external).drop("block"),
+        models=(ModelSpec("linear_svc"), ModelSpec("hinge_sgd")), folds=K_FOLDS,
     )
 
 
+#: The grid of the logistic model's settings.
+LOGISTIC_GRID = {
+    "C": (0.3, 0.5, 1.0, 100, 1000),
+    "balanced": (False, True),
+    "fit_intercept": (True, False),
+    "max_iter": (50, 100, 200, 500),
+    "multi_class": ("ovr", "multinomial"),
+}
+
+
 @query("eval_20_grid_search")
 def grid_search(spark, sf):
-    grid = {"C": (0.3, 0.5, 1.0, 100, 1000), "balanced": (False, True)}
-    return M.grid_search("logistic", grid, *tables(spark, sf), K_FOLDS)
+    """All points over all folds, fitted together."""
+    return M.grid_search("logistic", LOGISTIC_GRID, *tables(spark, sf), K_FOLDS)
 
 
 @query("eval_21_compare_tokenizers")
@@ -224,11 +272,22 @@ def token_alignment(spark, sf):
     )
 
 
-@query("sel_07_eliminate")
-def eliminate(spark, sf):
+def _eliminated(spark, sf):
     train, external = splits(spark, sf)
     features = word_features(train, external).drop("block")
-    return M.eliminate(features, train, external, 0.5, K_FOLDS, FAST)
+    return M.eliminate(features, train, external, 0.5)
+
+
+@query("sel_07_eliminate")
+def eliminate(spark, sf):
+    """Score of every size of the feature set, and the best one."""
+    return _eliminated(spark, sf)[0]
+
+
+@query("sel_07_chosen")
+def eliminate_chosen(spark, sf):
+    """When every feature goes, and which are chosen."""
+    return _eliminated(spark, sf)[1]
 
 
 # ---------------------------------------------------------------- extension points

@@ -40,6 +40,18 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stored bytes per file of a table that iterations read again and again.
+FILE_BYTES = 32 << 20
+
+
+def compact(stored: DataFrame) -> DataFrame:
+    """A stored table in files of about FILE_BYTES: each job over it starts a task per file."""
+    files = max(1, -(-(leaf_bytes(stored) or 0) // FILE_BYTES))
+    if len(stored.inputFiles()) <= 2 * files:
+        return stored
+    return materialize(stored.coalesce(files), "compact")
+
+
 def leaf_bytes(df: DataFrame) -> int | None:
     """Bytes of the tables below ``df`` as the planner knows them; None if one is unknown."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
