@@ -164,7 +164,7 @@ def percentile_sweep(spark, sf):
     train, external = splits(spark, sf)
     bag = words(train, external)
     features = S.keep_selected(bag, frequent(bag, train))
-    models = (ModelSpec("linear_svc"),)
+    models = (ModelSpec("logistic"),)
     return M.percentile_sweep(features, train, external, PERCENTS, models, folds=K_FOLDS)
 
 
@@ -198,7 +198,7 @@ def _ablation(spark, sf, by, values):
     train, external = splits(spark, sf)
     rows = M.stat_and_dim(descriptors(train, external), ABLATED_DIMS)
     base = word_features(train, external)
-    return M.ablate(rows, train, external, by, values, ModelSpec("linear_svc"), K_FOLDS, base)
+    return M.ablate(rows, train, external, by, values, ModelSpec("logistic"), K_FOLDS, base)
 
 
 ABLATED_STATS = ("avg", "sum", "min", "max", "amounts", "final", "thresh", "decision")
@@ -223,7 +223,7 @@ def evaluate_masks(spark, sf):
     return M.evaluate_masks(
         descriptors(train, external), masks, train, external, MASK_ORDER,
         runtime.scratch_path(spark, "memo"), word_features(train, external).drop("block"),
-        models=(ModelSpec("linear_svc"), ModelSpec("hinge_sgd")), folds=K_FOLDS,
+        models=(ModelSpec("logistic"),), folds=K_FOLDS,
     )
 
 
@@ -275,7 +275,7 @@ def token_alignment(spark, sf):
 def _eliminated(spark, sf):
     train, external = splits(spark, sf)
     features = word_features(train, external).drop("block")
-    return M.eliminate(features, train, external, 0.5)
+    return M.eliminate(features, train, external, 0.5, spec=ModelSpec("linear_svc", {"max_iter": 200}))
 
 
 @query("sel_07_eliminate")
