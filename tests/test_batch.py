@@ -124,7 +124,7 @@ def test_what_is_not_served_is_an_error():
 def test_masks_and_their_memo(spark, tables, tmp_path):
     """Blocks in one table; masks known from the memo are not fitted again."""
     rng = random.Random(3)
-    rows = [(i, (-1, 0, 1)[i % 3], i % 3 if i < 60 else 9) for i in range(75)]
+    rows = [(i, (-1, 0, 1)[i % 3], i // 3 % 3 if i < 60 else 9) for i in range(75)]
     messages = spark.createDataFrame(rows, "doc_id long, label int, fold int")
     cells = []
     for i, label, _ in rows:
@@ -160,7 +160,7 @@ def test_elimination_against_a_plain_loop(spark):
         for _ in range(8):
             shift = label + 1 if rng.random() < 0.5 else rng.randrange(3)
             cells.append((i, f"f{shift * 4 + rng.randrange(4):02d}", 1.0))
-        rows.append((i, label, i % 2 if i < 70 else 9))
+        rows.append((i, label, i // 3 % 2 if i < 70 else 9))
     messages = spark.createDataFrame(rows, "doc_id long, label int, fold int")
     features = spark.createDataFrame(cells, "doc_id long, name string, value double")
     train, external = messages.where("fold < 9"), messages.where("fold = 9")
