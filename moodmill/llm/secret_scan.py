@@ -100,15 +100,23 @@ def name_weight(name: str) -> int:
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals that reached a sensitive name, as (start, kind, end)."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], int] = {}
+    known: dict[str, int] = {}  # the assignment that a name was last set by
+    held: list[tuple[list[tuple[int, int]], list[int]]] = []  # its literals, earlier assignments
+    weights: list[int] = []
     for m in PAIR.finditer(text):
-        got = _literals(m, text, known)
-        if got:
-            known[m["name"]] = got
-            weight = name_weight(m["name"])
-            for span in got:
-                best[span] = max(best.get(span, 0), weight)
+        got, earlier = _literals(m, text, known)
+        if got or earlier:
+            known[m["name"]] = len(held)
+            held.append((got, earlier))
+            weights.append(name_weight(m["name"]))
+    best: dict[tuple[int, int], int] = {}
+    # a name reaches what the names on its right side hold: each assignment is looked at once
+    for i in range(len(held) - 1, -1, -1):
+        got, earlier = held[i]
+        for span in got:
+            best[span] = max(best.get(span, 0), weights[i])
+        for j in earlier:
+            weights[j] = max(weights[j], weights[i])
     found = []
     for (a, b), weight in best.items():
         literal = text[a:b]
@@ -118,23 +126,24 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _literals(m: re.Match, text: str, known: dict) -> list[tuple[int, int]]:
-    """Spans of the literals on the right side, its names replaced by what they hold."""
+def _literals(m: re.Match, text: str, known: dict[str, int]) -> tuple[list, list[int]]:
+    """Spans of the literals on the right side, and the assignments of its known names."""
     value, at = m["value"], m.start("value")
     got: list[tuple[int, int]] = []
+    earlier: list[int] = []
     if value[0] in "\"'":
         got.append((at + 1, at + len(value) - 1))
     elif value in known:
-        got += known[value]
+        earlier.append(known[value])
     elif BARE.fullmatch(value):
         got.append((at, at + len(value)))
     for term in TERM.finditer(text, m.start("more"), m.end("more")):
         if term[3] is not None:
-            got += known.get(term[3], [])
+            earlier += [known[term[3]]] if term[3] in known else []
         else:
             group = 1 if term[1] is not None else 2
             got.append((term.start(group), term.end(group)))
-    return [span for span in got if span[1] > span[0]]
+    return [span for span in got if span[1] > span[0]], earlier
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

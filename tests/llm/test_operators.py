@@ -709,3 +709,18 @@ def test_warc_files(spark, tmp_path):
     with pytest.raises(Exception, match="ends inside a record"):
         broken = [("x", 0, __import__("gzip").compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))]
         warc.normalise(spark.createDataFrame(broken, warc.ARCHIVE)).count()
+
+
+def test_chains_of_assignments_are_linear():
+    """Each name is the sum of two earlier ones: the literals reach the last, each once."""
+    lines = ['first = "Zq8vT2mLw4Xy"', 'second = "Kp3nR7sBd9Hu"']
+    names = ["first", "second"] + [f"name{i}" for i in range(20_000)]
+    lines += [f"{names[i]} = {names[i - 1]} + {names[i - 2]}" for i in range(2, len(names))]
+    quiet = "\n".join(lines)
+    assert secret_scan.literal_spans(quiet) == []
+    text = quiet + f"\napi_secret = {names[-1]}\n"
+    spans = secret_scan.literal_spans(text)
+    assert [text[a:b] for a, _, b in spans] == ["Zq8vT2mLw4Xy", "Kp3nR7sBd9Hu"]
+    # a name set anew before its use takes its old literal out of reach
+    again = 'first = "Zq8vT2mLw4Xy"\nfirst = "Kp3nR7sBd9Hu"\npassword = first\n'
+    assert [again[a:b] for a, _, b in secret_scan.literal_spans(again)] == ["Kp3nR7sBd9Hu"]
