@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moodmill.llm.common import discard
 from moodmill.runtime import materialize
 
 
@@ -31,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        edges = materialize(large, "edges")
+        before_large, edges = edges, materialize(large, "edges")
+        discard(before_large)
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             edges.join(least, "u")
@@ -40,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        edges = materialize(small, "edges")
+        before_small, edges = edges, materialize(small, "edges")
+        discard(before_small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

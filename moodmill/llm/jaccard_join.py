@@ -2,11 +2,11 @@
 
 The shingles of a document are dealt by hash into the cells of its size band, and every
 cell holds the exclusive or of its shingles' hashes. Two sets that differ in d shingles
-differ in d cells at most, so cells that agree are the pigeonholes: a document sends as
-many of its filled cells, in one fixed order, as must hold some of those that a partner
-shares. Of the cells that other documents have too, those of the most frequent are dropped
-as far as the same bound allows. What is left joins documents, a folded sketch of single
-parity bits tests the pairs, and the sets themselves decide.
+differ in d cells at most, so cells that agree are the pigeonholes: a partner shares all
+filled cells of a set but d. Cells that no other set has are among the d, and of the others
+the most frequent are dropped as far as the same bound allows: a set that shares only a
+common passage with others keeps none. What is left joins documents, a folded sketch of
+single parity bits tests the pairs, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -38,11 +38,13 @@ from moodmill.llm.signatures import (
 SHINGLE = 5
 #: The link: PER_CENT of the union are common. Bounds below hold for 75.
 PER_CENT = 75
-#: Sizes below are one band in which every shingle is a cell; then a band per factor of 8.
-SINGLE_BELOW, BAND = 256, 8
+#: Sizes below are one band in which every shingle is a cell, then one in which three of four
+#: shingles are; then a band per factor of 8, of which four of five cells are looked at.
+ALL_BELOW, SINGLE_BELOW, BAND = 64, 256, 8
+FIRST_FOLDED = 2
 SKETCH_BITS = 2048
 
-NOTE = "doc_id long, row long, n long, fp1 long, fp2 long"
+NOTE = "doc_id long, row long, n long, fp1 long, fp2 long, key long, spare0 int, spare1 int"
 SETS = "row long, n long, sketch array<long>, shingles binary"
 
 
@@ -79,49 +81,48 @@ class Sets:
             out[1, full] = np.bitwise_xor.reduceat(mix(~self.hashes), self.begin[full])
         return out[0], out[1]
 
+    def keys(self) -> np.ndarray:
+        """One 64-bit hash of each set, under which its cells are sent."""
+        fp1, fp2 = self.prints()
+        return mix(fp1 + mix(fp2)).view(np.int64)
 
-def sent_cells(n: np.ndarray) -> np.ndarray:
-    """Cells that a set of ``n`` shingles sends: more than a partner can differ in, n / 3,
-    and an eighth on top, so that partners share several."""
-    return n // 3 + 1 + n // 8
 
+def most_missing(n: np.ndarray, band: int) -> np.ndarray:
+    """Cells of a set of ``n`` shingles that a partner lacks at most.
 
-def least_shared(n):
-    """Sent cells that any partner shares at least, as a column.
-
-    A partner has between 3/4 and 4/3 as many shingles, the two differ in a seventh of
-    their sum at most, and each sends ``sent_cells``; the extremes are at both ends. Two
-    less pay for rounding.
+    A partner has at least 3/4 of the set's shingles, and at most 4/3 as many; the two differ
+    in a seventh of their sum at most. A cell of several shingles may differ by those of
+    either side.
     """
-    small, large = F.floor(n * 3 / 4), F.floor(n * 4 / 3)
-
-    def sent(x):
-        return F.floor(x / 3) + 1 + F.floor(x / 8)
-
-    low = sent(small) - F.floor((n + small) / 7)
-    high = sent(n) - F.floor((n + large) / 7)
-    return F.greatest(F.least(low, high) - 2, F.lit(1))
+    return n // 4 if band < FIRST_FOLDED else (n + n * 4 // 3) // 7
 
 
 def cells(hashes: np.ndarray, rows: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signature and row of every filled cell in a band; the lowest bit tells its parity."""
+    """Signature and row of every filled cell that the band looks at; the lowest bit tells
+    its parity. All sets of a band look at the same cells."""
     salt = np.uint64((band + 1) * 0xD6E8FEB86659FD93 % 2**64)
     values = mix(hashes ^ salt)
-    if band:
-        n_cells = np.uint64(SINGLE_BELOW * BAND**band * 2 // 3)
-        cell = values % n_cells
-        order = np.lexsort((cell, rows))
-        values, cell, rows = mix(values[order] + salt), cell[order], rows[order]
-        begin = np.flatnonzero(
-            np.concatenate([[True], (cell[1:] != cell[:-1]) | (rows[1:] != rows[:-1])])
-        )
-        values = np.bitwise_xor.reduceat(values, begin)
-        values, rows = mix(values ^ mix(cell[begin] + salt)), rows[begin]
+    if band == 1:
+        seen = (values >> np.uint64(1)) & np.uint64(3) != 0
+        values, rows = values[seen], rows[seen]
+    elif band >= FIRST_FOLDED:
+        n_cells = SINGLE_BELOW * BAND ** (band - 1) * 2 // 3
+        cell = (values % np.uint64(n_cells)).astype(np.int64)
+        seen = cell < n_cells * 4 // 5
+        place = rows[seen] * n_cells + cell[seen]
+        order = np.argsort(place)
+        place, values = place[order], mix(values[seen][order] + salt)
+        begin = np.flatnonzero(np.diff(place, prepend=-1))
+        place = place[begin]
+        rows, cell = place // n_cells, (place % n_cells).astype(np.uint64)
+        if len(begin):
+            values = np.bitwise_xor.reduceat(values, begin)
+        values = mix(values ^ mix(cell + salt))
     return (values & ~np.uint64(1)) | np.uint64(band & 1), rows
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
-    bands = np.zeros(len(n), np.int64)
+    bands = (n >= ALL_BELOW).astype(np.int64)
     bound = SINGLE_BELOW
     while (above := n >= bound).any():
         bands += above
@@ -129,8 +130,9 @@ def band_of(n: np.ndarray) -> np.ndarray:
     return bands
 
 
-def signatures(sets: Sets, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The sent cells of the kept rows: own band, and the next one if a partner may be there."""
+def by_band(sets: Sets, keep: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Band, signatures and rows of the kept rows' cells, and per row how many of its cells
+    any partner shares beyond the first: own band, and the next one if a partner may be there."""
     n = sets.sizes
     own = band_of(n)
     reach = band_of(n * 4 // 3)
@@ -140,16 +142,18 @@ def signatures(sets: Sets, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         if not chosen.any():
             continue
         sigs, rows = cells(sets.hashes[chosen], sets.rows[chosen], int(band))
-        order = np.lexsort((sigs, rows))
-        sigs, rows = sigs[order], rows[order]
-        count = np.bincount(rows, minlength=len(n))
-        want = sent_cells(n)
-        if (count[here] < want[here]).any():
-            # would take a hash that fills half the cells it should
+        spare = np.bincount(rows, minlength=len(n)) - most_missing(n, int(band)) - 1
+        if (spare[here] < 0).any():
+            # eight standard deviations of the hash away
             raise ArithmeticError("a set fills too few cells of its band")
-        rank = np.arange(len(rows)) - (np.cumsum(count) - count)[rows]
-        first = rank < want[rows]
-        yield sigs[first], rows[first]
+        spare[~here] = -1
+        yield int(band), sigs, rows, spare
+
+
+def signatures(sets: Sets, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The cells of the kept rows."""
+    for _, sigs, rows, _ in by_band(sets, keep):
+        yield sigs, rows
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -174,17 +178,20 @@ def linked(docs: DataFrame, repeated: bool) -> DataFrame:
     """One row per row of ``docs``: doc_id, row (see ``rows_of``), n, component_id, and
     ``component``, the least row of the component, null without shingles.
 
-    Of equal sets only the least row is compared. Documents meet first with the least
-    document of each shared cell; only documents that are then still in different
-    components are paired with each other.
+    Of equal sets only the least row is compared. In rounds, documents meet one document of
+    each shared cell, the least one first; cells whose documents are then in one component
+    are done. What few pairs are left between components are compared one by one.
     """
     rows = rows_of(docs, repeated)
     ranges = ranges_for(docs)
     notes = stored(rows.mapInPandas(_notes, NOTE), "notes")
     # a hot set leaves each task once
     classes = stored(
-        notes.where("n > 0").groupBy("fp1", "fp2", "n")
-        .agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")),
+        notes.where("n > 0").groupBy("key", "fp1", "fp2", "n")
+        .agg(
+            F.min("row").alias("rep"), F.min("doc_id").alias("least"),
+            F.max("spare0").alias("spare0"), F.max("spare1").alias("spare1"),
+        ),
         "classes",
     )
 
@@ -192,32 +199,29 @@ def linked(docs: DataFrame, repeated: bool) -> DataFrame:
         sender = Sender(ranges)
         seen: set[int] = set()
         for batch in pieces(batches, "text"):
-            ids = batch["row"].to_numpy(np.int64)
             sets = Sets(batch["text"].tolist())
-            keep = np.zeros(len(ids), bool)
-            fp1, fp2 = sets.prints()
-            for i, (a, b) in enumerate(zip(fp1.tolist(), fp2.tolist(), strict=True)):
-                # a copy in the same task sends nothing: the least row stands for both
-                keep[i] = (a << 64 | b) not in seen
-                seen.add(a << 64 | b)
-            for sigs, own in signatures(sets, keep):
-                yield from sender.add(sigs, ids[own])
+            keys = sets.keys()
+            # a copy in the same task sends nothing; copies elsewhere send the same key
+            for sigs, own in signatures(sets, _first(keys, seen)):
+                yield from sender.add(sigs, keys[own])
             if len(seen) > 50_000:
                 seen.clear()
         yield sender.send()
 
-    cells_shared = shared(rows.mapInPandas(send, MAIL), ranges)
-    # copies in other tasks sent the cells of their set again, under another row
-    sizes = notes.select("row", "n", "fp1", "fp2").distinct()
-    named = cells_shared.withColumnRenamed("doc_id", "row").join(sizes, "row").join(classes, ["fp1", "fp2", "n"])
-    own = Window.partitionBy("rep", F.col("sig").bitwiseAND(1))
-    ranked = (
-        named.select("rep", "n", "sig", "df")
-        .distinct()
-        .withColumn("shared", F.count("*").over(own))
-        .withColumn("rank", F.row_number().over(own.orderBy("df", "sig")))
+    cells_shared = shared(rows.mapInPandas(send, MAIL), ranges, once=True)
+    # the cells of a set are together from here on
+    named = (
+        cells_shared.withColumnRenamed("doc_id", "key")
+        .join(classes.select("key", "rep", "n", "spare0", "spare1"), "key")
+        .withColumn("spare", F.expr("if(sig & 1 = 0, spare0, spare1)"))
+        .groupBy("key", "rep", "n", "spare", "sig")
+        .agg(F.min("df").alias("df"))
     )
-    kept = ranked.where(F.col("rank") <= F.col("shared") - least_shared(F.col("n")) + 1)
+    own = Window.partitionBy("key", "rep", "spare", F.col("sig").bitwiseAND(1))
+    ranked = named.withColumn("shared", F.count("*").over(own)).withColumn(
+        "rank", F.row_number().over(own.orderBy("df", "sig"))
+    )
+    kept = ranked.where("rank <= shared - spare")
     kept = stored(kept.select("sig", F.col("rep").alias("row"), "n"), "cells")
     discard(cells_shared)
 
@@ -226,34 +230,98 @@ def linked(docs: DataFrame, repeated: bool) -> DataFrame:
         .where("held > 1").drop("held"),
         "centres",
     )
-    met = kept.join(centres, "sig")
+    met = stored(kept.join(centres, "sig"), "met")
+    discard(kept, centres)
     wanted = stored(met.select("row").distinct(), "wanted")
     found = rows.join(placed(wanted, wanted.count()), "row", "left_semi")
     sets = stored(found.mapInPandas(_sets, SETS).dropDuplicates(["row"]), "sets")
 
-    first_pairs = stored(
+    pairs = stored(
         met.where("row <> centre")
         .select(F.col("centre").alias("a"), F.col("row").alias("b"))
         .distinct(),
         "pairs",
     )
-    links = verified(first_pairs, sets)
-    placed_in = components(links)
-    cells_left = (
-        met.select("sig", "row", "n")
-        .join(placed_in.withColumnRenamed("node", "row"), "row", "left")
-        .withColumn("component", F.coalesce("component", "row"))
+    tested, links = pairs, verified(pairs, sets)
+    left, round_, fresh = met, 0, True
+    while True:
+        final = components(links)
+        before, left = left, still_open(left, final)
+        discard(before)
+        n_rows, n_pairs = open_pairs(left)
+        if not n_rows:
+            break
+        last = not fresh or n_pairs <= n_rows
+        round_ += 1
+        apart = pairs_left(left) if last else pairs_with_centres(left, round_)
+        pairs = stored(apart.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = verified(pairs, sets)
+        tested, links = tested.unionByName(pairs), links.unionByName(more)
+        if last:
+            final = components(links)
+            break
+        fresh = not more.isEmpty()
+
+    by_rep = classes.join(
+        final.withColumnRenamed("node", "rep"), "rep", "left"
+    ).select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"), "least")
+    by_set = stored(by_rep, "components")
+    if repeated:
+        names = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
+        by_set = by_set.join(names, "component")
+    else:
+        by_set = by_set.withColumn("component_id", F.col("component"))
+    discard(wanted, sets, tested, left)
+    return notes.join(by_set, ["fp1", "fp2", "n"], "left").select(
+        "doc_id", "row", "n", "component",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
+
+
+def still_open(cells_left: DataFrame, parts: DataFrame) -> DataFrame:
+    """The cells (sig, row, n) whose rows are in several components, with the component."""
+    named = stored(
+        cells_left.select("sig", "row", "n")
+        .join(parts.withColumnRenamed("node", "row"), "row", "left")
+        .withColumn("component", F.coalesce("component", "row")),
+        "cells-left",
     )
-    cells_left = stored(cells_left, "cells-left")
-    open_cells = (
-        cells_left.groupBy("sig")
+    several = (
+        named.groupBy("sig")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
         .select("sig")
     )
-    left = stored(cells_left.join(open_cells, "sig"), "open-cells")
+    out = stored(named.join(several, "sig"), "open-cells")
+    discard(named)
+    return out
+
+
+def open_pairs(left: DataFrame) -> tuple[int, int]:
+    """Rows of open cells, and pairs of them in different components, cell by cell."""
+    per_part = left.groupBy("sig", "component").agg(F.count("*").alias("k"))
+    per_sig = per_part.groupBy("sig").agg(F.sum("k").alias("held"), F.sum(F.expr("k * k")).alias("own"))
+    got = per_sig.agg(F.sum("held"), F.sum(F.expr("(held * held - own) div 2"))).first()
+    return got[0] or 0, got[1] or 0
+
+
+def pairs_with_centres(left: DataFrame, round_: int) -> DataFrame:
+    """Pairs of each open cell's rows with one of them; one hash elects the centres of all
+    cells, so rows that share many cells meet the same few."""
+    elected = F.struct(F.xxhash64("row", F.lit(round_)), F.col("row"), "n", "component")
+    centres = left.groupBy("sig").agg(F.min(elected).alias("c"))
+    return (
+        left.join(centres, "sig")
+        .where("component <> c.component AND 4 * least(n, c.n) >= 3 * greatest(n, c.n)")
+        .select(F.expr("least(row, c.row)").alias("a"), F.expr("greatest(row, c.row)").alias("b"))
+        .distinct()
+    )
+
+
+def pairs_left(left: DataFrame) -> DataFrame:
+    """All pairs of a cell's rows that are in different components."""
     a, b = left.alias("a"), left.alias("b")
-    more_pairs = (
+    return (
         a.join(b, F.col("a.sig") == F.col("b.sig"))
         .where(
             "a.row < b.row AND a.component <> b.component "
@@ -261,32 +329,27 @@ def linked(docs: DataFrame, repeated: bool) -> DataFrame:
         )
         .select(F.col("a.row").alias("a"), F.col("b.row").alias("b"))
         .distinct()
-        .join(first_pairs, ["a", "b"], "left_anti")
     )
-    more = verified(stored(more_pairs, "pairs"), sets)
-    # components of components: the second links alone join them
-    final = components(links.unionByName(more))
 
-    by_rep = classes.join(
-        final.withColumnRenamed("node", "rep"), "rep", "left"
-    ).select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"), "least")
-    by_set = stored(by_rep, "components")
-    if repeated:
-        names = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
-        by_set = by_set.join(names, "component")
-    else:
-        by_set = by_set.withColumn("component_id", F.col("component"))
-    discard(kept, centres, wanted, sets, first_pairs, cells_left, left)
-    return notes.join(by_set, ["fp1", "fp2", "n"], "left").select(
-        "doc_id", "row", "n", "component",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-    )
+
+def _first(keys: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Marks the keys not yet in ``seen``, and puts them there."""
+    keep = np.zeros(len(keys), bool)
+    for i, key in enumerate(keys.tolist()):
+        keep[i] = key not in seen
+        seen.add(key)
+    return keep
 
 
 def _notes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in pieces(batches, "text"):
         sets = Sets(batch["text"].tolist())
         fp1, fp2 = sets.prints()
+        keys = sets.keys()
+        # the first copy tells the spare cells of all
+        spare = np.full((2, len(keys)), -1)
+        for band, _, _, own in by_band(sets, _first(keys, set())):
+            spare[band & 1] = np.maximum(spare[band & 1], own)
         yield pd.DataFrame(
             {
                 "doc_id": batch["doc_id"].to_numpy(np.int64),
@@ -294,6 +357,9 @@ def _notes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "n": sets.sizes.astype(np.int64),
                 "fp1": fp1.view(np.int64),
                 "fp2": fp2.view(np.int64),
+                "key": keys,
+                "spare0": spare[0].astype(np.int32),
+                "spare1": spare[1].astype(np.int32),
             }
         )
 

@@ -230,7 +230,7 @@ def _frame(sigs: np.ndarray, docs, df) -> pd.DataFrame:
     )
 
 
-def _reduce(ranges: int) -> Callable:
+def _reduce(ranges: int, once: bool) -> Callable:
     shift = np.uint64(64 - (ranges.bit_length() - 1))
 
     def reduce(key: tuple, mail: pd.DataFrame) -> pd.DataFrame:
@@ -250,8 +250,11 @@ def _reduce(ranges: int) -> Callable:
             ]
             or [np.zeros(0, np.int64)]
         )
-        order = np.argsort(sigs, kind="stable")
+        order = np.lexsort((docs, sigs)) if once else np.argsort(sigs, kind="stable")
         sigs, docs = sigs[order], docs[order]
+        if once and len(sigs):
+            fresh = np.append(True, (sigs[1:] != sigs[:-1]) | (docs[1:] != docs[:-1]))
+            sigs, docs = sigs[fresh], docs[fresh]
         if len(many):
             often = np.concatenate([from_numbers(s) for s in many["sigs"]])
             extra = np.concatenate([np.frombuffer(c, "<u4") for c in many["counts"]])
@@ -287,13 +290,15 @@ def key_of(sigs: np.ndarray, ranges: int) -> np.ndarray:
     return ((sigs >> shift) << shift) | (sigs & np.uint64(0xFFFFFFFFFFFF))
 
 
-def shared(mail: DataFrame, ranges: int) -> DataFrame:
+def shared(mail: DataFrame, ranges: int, once: bool = False) -> DataFrame:
     """Signatures in two documents or more: stored rows (sig, doc_id, df).
 
     ``df`` is the same in all rows of a signature. ``mail`` comes from ``Sender``; ``sig`` is
-    what ``key_of`` makes of a signature; a document counts once per block for a signature.
+    what ``key_of`` makes of a signature; a document counts once per block for a signature,
+    or, with ``once``, once in all unless it is in a block where the signature is frequent.
     """
-    raw = stored(mail.groupBy("range", "side").applyInPandas(_reduce(ranges), FOUND), "shared")
+    found = mail.groupBy("range", "side").applyInPandas(_reduce(ranges, once), FOUND)
+    raw = stored(found, "shared")
     light = raw.where(F.col("doc_id").isNotNull() & F.col("df").isNotNull())
     frequent = raw.where(F.col("df").isNull()).select("sig", "doc_id").distinct()
     counts = raw.where(F.col("doc_id").isNull()).select("sig", "df")
