@@ -180,7 +180,7 @@ def linked(docs: DataFrame, repeated: bool) -> DataFrame:
 
     Of equal sets only the least row is compared. In rounds, documents meet one document of
     each shared cell, the least one first; cells whose documents are then in one component
-    are done. What few pairs are left between components are compared one by one.
+    are done. When rounds join no more, the rows of the cells left are paired over components.
     """
     rows = rows_of(docs, repeated)
     ranges = ranges_for(docs)
@@ -243,7 +243,7 @@ def linked(docs: DataFrame, repeated: bool) -> DataFrame:
         "pairs",
     )
     tested, links = pairs, verified(pairs, sets)
-    left, round_, fresh = met, 0, True
+    left, round_, most = met, 0, None
     while True:
         final = components(links)
         before, left = left, still_open(left, final)
@@ -251,16 +251,16 @@ def linked(docs: DataFrame, repeated: bool) -> DataFrame:
         n_rows, n_pairs = open_pairs(left)
         if not n_rows:
             break
-        last = not fresh or n_pairs <= n_rows
-        round_ += 1
-        apart = pairs_left(left) if last else pairs_with_centres(left, round_)
+        # another round only as long as rounds join what is apart
+        last = n_pairs <= n_rows or (most is not None and n_pairs > most)
+        round_, most = round_ + 1, n_pairs * 9 // 10
+        apart = pairs_left(left, sets) if last else pairs_with_centres(left, round_)
         pairs = stored(apart.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = verified(pairs, sets)
         tested, links = tested.unionByName(pairs), links.unionByName(more)
         if last:
             final = components(links)
             break
-        fresh = not more.isEmpty()
 
     by_rep = classes.join(
         final.withColumnRenamed("node", "rep"), "rep", "left"
@@ -318,18 +318,20 @@ def pairs_with_centres(left: DataFrame, round_: int) -> DataFrame:
     )
 
 
-def pairs_left(left: DataFrame) -> DataFrame:
-    """All pairs of a cell's rows that are in different components."""
-    a, b = left.alias("a"), left.alias("b")
-    return (
-        a.join(b, F.col("a.sig") == F.col("b.sig"))
-        .where(
-            "a.row < b.row AND a.component <> b.component "
-            "AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)"
-        )
-        .select(F.col("a.row").alias("a"), F.col("b.row").alias("b"))
-        .distinct()
+def pairs_left(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of a cell's rows in different components that their parity bits allow; the
+    bits are compared inside the join, which puts out none of the others."""
+    words = range(SKETCH_BITS // 64)
+    bits = sets.select("row", *[F.col("sketch")[i].alias(f"s{i}") for i in words])
+    wide = left.join(bits, "row")
+    a, b = wide.alias("a"), wide.alias("b")
+    differ = " + ".join(f"bit_count(a.s{i} ^ b.s{i})" for i in words)
+    close = F.expr(
+        "a.sig = b.sig AND a.row < b.row AND a.component <> b.component "
+        "AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) "
+        f"AND {differ} <= (a.n + b.n) div 7"
     )
+    return a.join(b, close).select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
 
 
 def _first(keys: np.ndarray, seen: set[int]) -> np.ndarray:
