@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from moodmill.config import CleanSpec
+from moodmill.config import BlockSpec, CleanSpec
 from moodmill.functions import social
 from moodmill.functions import text as T
 from moodmill.operators import corpus as C
@@ -164,3 +164,16 @@ def test_errors(spark):
         C.tokenize(df, "other")
     with pytest.raises(ValueError):
         T.negate_tokens(F.col("toks"), "other")
+
+
+def test_surface_blocks_read_the_messages_once(spark):
+    rows = [(1, "@you NOT sooo good !!! :)"), (2, ""), (3, None)]
+    messages = spark.createDataFrame(rows, "doc_id long, text string")
+    spec = BlockSpec(ngrams=False, char_ngrams=False, clusters=False)
+    found = C.feature_blocks(messages, spec)
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    got = {(r["doc_id"], r["block"], r["name"]): r["value"] for r in found.collect()}
+    assert got[1, "SURFACE", "NR_MENTIONS"] == 1 and got[1, "ELONGATED", "FLG_ELONGATED"] == 1
+    assert got[1, "EMOTICON", "EMOT_POS"] == 1 and got[1, "EMOTICON", "EMOT_LAST"] == 1
+    # without a token there is no row of the blocks that need one
+    assert {b for d, b, _ in got if d != 1} == {"NEGATION", "SURFACE", "ELONGATED"}
