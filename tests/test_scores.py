@@ -287,3 +287,42 @@ def test_neighbours_leave_a_row_out_of_its_own_vote(spark):
     )
     found = {r["vec_id"]: r["pred"] for r in M.knn_predict(rows, rows.drop("label"), k=1).collect()}
     assert found == {1: 7, 2: 5, 3: 7, 4: 7}
+
+
+def test_tagged_lists_match_as_token_rows_do(spark):
+    rows = [
+        (1, ["run", "run", "far", "run"], ["NN", "VB", "RB", "NN"], ["NN", "VB", "JJ"]),
+        (2, ["far"], ["RB"], []),
+        (3, ["run", "far"], ["NN", "RB"], ["VB"]),
+        (3, ["run", "far"], ["NN", "RB"], ["VB"]),  # a message of two rows
+        (4, [], [], []),
+    ]
+    lists = spark.createDataFrame(
+        rows, "doc_id long, toks array<string>, tags array<string>, bigram_tags array<string>"
+    )
+    terms = [("run#NOUN", 1.0), ("run#VERB", 2.0), ("far#ADVERB", 3.0), ("run-far#ADJECTIVE", 4.0)]
+    terms += [("run-far#VERB", 5.0), ("run-run#NOUN", 6.0)]
+    lex = L.inline_lexicon(spark, [("K", t, d, v) for t, v in terms for d in ("joy", "calm")])
+    tokens = [
+        (r[0], i, t, r[2][i], r[3][i] if i < len(r[3]) else None) for r in rows for i, t in enumerate(r[1])
+    ]
+    tokens = spark.createDataFrame(tokens, "doc_id long, pos int, tok string, tag string, bigram_tag string")
+    for bigrams in (False, True):
+        by_list = L.match_tagged(lists, lex, "hash", bigrams, "-")
+        by_row = L.match_tagged(tokens, lex, "hash", bigrams, "-")
+        assert sorted(map(tuple, by_list.collect())) == sorted(map(tuple, by_row.collect()))
+    # messages of one row are shuffled once, by what was found
+    once = L.match_tagged(lists.where("doc_id <> 3"), lex, "hash", True, "-")
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_distinct_keys_move_only_repeated_messages(spark):
+    rows = [(1, ["a", "b", "a"]), (2, ["b", "c"]), (2, ["c", "b", "d"])]
+    messages = spark.createDataFrame(rows, "doc_id long, toks array<string>")
+    kinds = ["plain|tok", "plain|bi "]
+    own = L.look_up_keys(messages, kinds, distinct=True)
+    every = L.look_up_keys(messages, kinds).select("doc_id", "look_up", "term").distinct()
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, every.collect()))
+    single = L.look_up_keys(messages.limit(1), kinds, distinct=True)
+    assert "hashpartitioning" not in single._jdf.queryExecution().executedPlan().toString()
