@@ -198,3 +198,22 @@ def test_elimination_against_a_plain_loop(spark):
     assert len(got) == size and sum(r["chosen"] for r in got.values()) == best[0]
     ordered = [got[name]["left"] for name in sorted(got)]
     assert sum(a != want[i] for i, a in enumerate(ordered)) <= 2
+
+
+def test_bayes_of_all_folds_equals_sparks(spark, tables, monkeypatch):
+    spec = ModelSpec("multinomial_nb", {"alpha": 0.5})
+    whole = models.vector_table(
+        spark.createDataFrame(
+            [(i, n, float(v)) for i in range(60) for n, v in (("every", i % 3 + 2), (f"x{i % 7}", i % 4 + 1))],
+            "doc_id long, name string, value double",
+        ),
+        spark.createDataFrame([(i, i % 5 % 3 - 1, i % 4) for i in range(60)], "doc_id long, label int, fold int"),
+    )
+    for train, external in (tables, (whole, whole.where("fold = 0"))):
+        theirs = models._queue({"multinomial_nb": spec}, train, external, 4).drop("key")
+        with monkeypatch.context() as patch:
+            # no model, whose size is that of the vocabulary, comes to the driver
+            patch.setattr(models, "fit_model", None)
+            ours = models.cross_validate(spec, train, external, 4)
+        found = [{(r["model"], r["fold"], r["metric"]): r["value"] for r in x.collect()} for x in (ours, theirs)]
+        assert found[0] == pytest.approx(found[1])
