@@ -196,6 +196,12 @@ def test_nearest_neighbours_among_others(spark):
         assert got[i] == int(votes.argmax())
 
 
+def test_distances_held_at_once_are_bounded():
+    for labelled in (1, 2_000, M.LABELLED_ROWS, 10 * M.LABELLED_ROWS):
+        rows = M._at_once(labelled, 500)
+        assert 1 <= rows <= 500 and 8 * rows * labelled <= M.DISTANCE_BYTES
+
+
 def test_mask_order():
     assert len(LEXICONS) == 16 and len(MASK_ORDER) == 17 and MASK_ORDER[0] == "BING"
 
