@@ -317,7 +317,7 @@ def test_tagged_lists_match_as_token_rows_do(spark):
         by_list = L.match_tagged(lists, lex, "hash", bigrams, "-")
         by_row = L.match_tagged(tokens, lex, "hash", bigrams, "-")
         assert sorted(map(tuple, by_list.collect())) == sorted(map(tuple, by_row.collect()))
-    # messages of one row are shuffled once, by what was found
+    # messages of one row are shuffled once at most, by what was found
     once = L.match_tagged(lists.where("doc_id <> 3"), lex, "hash", True, "-")
     plan = once._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
