@@ -8,7 +8,7 @@ bound (``runtime.small_side``), and joined by a shuffle with skew handling above
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,9 +58,9 @@ def match_terms(
     they occur, and negation is not looked at.
     """
     if mode == "bag":
-        grams = C.gram_forms(docs, KINDS)
         kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
         table = runtime.small_side(effective(lexicon).withColumnRenamed("term", "gram"))
+        grams = C.gram_forms(docs, KINDS, begins=_begins(table, "gram", KINDS))
         hits = grams.join(table, "gram")
         return hits.select(
             "doc_id", "lexicon", kinds[F.col("form")].alias("kind"), "gram", "dim", "value"
@@ -74,7 +74,7 @@ def match_terms(
     forms = {f for s in specs for f in s.forms()}
     # repeats of a form go inside the row; those of another form are found among the matches
     several = any(len(s.forms()) > 1 for s in specs)
-    grams = C.gram_forms(docs, forms, distinct=True)
+    grams = C.gram_forms(docs, forms, distinct=True, begins=_begins(table, "term", forms, bare))
     grams = grams.withColumn("term", bare(F.col("gram")))
     turned = F.col("gram").contains(P.NEGATION_PREFIX) & (F.col("dim") == POLARITY)
     hits = grams.join(table, ["form", "term"]).select(
@@ -90,6 +90,60 @@ def match_terms(
     return hits
 
 
+#: Rows of a lexicon up to which grams are judged by their first words before they are built,
+#: and characters of the beginnings of its terms.
+LISTED_ROWS, LISTED_CHARS = 5000, 1 << 20
+
+
+def _begins(
+    table: DataFrame, key: str, forms: Iterable[str], change: Callable[[Column], Column] | None = None
+) -> dict[str, C.Begins]:
+    """Tests by form that the first words of every gram in column ``key`` of ``table`` pass.
+
+    A gram is words around joiners, so its first word is what a term has before one of its
+    joiners, or between a mark at its start and a later space. ``change`` is what is done to a
+    gram before it is looked up; it must not reach over a joiner, else the form has no test.
+    A longer lexicon has no tests: all grams are built and joined.
+    """
+    cols = [c for c in ("form", key) if c in table.columns]
+    rows = table.select(*cols).where(F.col(key).isNotNull()).limit(LISTED_ROWS + 1).collect()
+    if len(rows) > LISTED_ROWS:
+        return {}
+
+    def test(words: set[str]) -> Callable[[Column], Column]:
+        own = sorted(words)
+        return lambda w: (change(w) if change else w).isin(own)
+
+    out = {}
+    for form in forms:
+        terms = {r[key] for r in rows if "form" not in cols or r["form"] == form}
+        mark = form[2:] if form.startswith("bi") else form[3:]
+        joins = () if form == "tok" else (" ", mark) if form.startswith("gap") else (mark,)
+        if not all(joins) or (change and set("".join(joins)) & set(P.NEGATION_PREFIX)):
+            continue
+        first, second = terms, set()
+        if joins:
+            if sum(len(t) * t.count(j) for t in terms for j in joins) > LISTED_CHARS:
+                continue
+            first = _before(terms, joins)
+            if form.startswith("gap"):
+                second = _before({t[len(mark) :] for t in terms if t.startswith(mark)}, (" ",))
+        out[form] = test(first), test(second)
+    return out
+
+
+def _before(terms: Iterable[str], joins: Sequence[str]) -> set[str]:
+    """What terms have before each joiner in them."""
+    out = set()
+    for term in terms:
+        for join in joins:
+            at = term.find(join)
+            while at >= 0:
+                out.add(term[:at])
+                at = term.find(join, at + 1)
+    return out
+
+
 def _by_form(lexicon: DataFrame, specs: Sequence[LexiconSpec]) -> DataFrame:
     """The lexicon rows under each gram form their spec asks for, wanted dims only."""
     spark = lexicon.sparkSession

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from moodmill import runtime
 from moodmill.config import LEXICONS, MASK_ORDER, LexiconSpec
+from moodmill.operators import corpus as C
 from moodmill.operators import evaluate as E
 from moodmill.operators import lexicon as L
 from moodmill.operators import models as M
@@ -54,6 +55,34 @@ def test_large_lexicon_is_not_broadcast(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("mode", ["set", "bag"])
+def test_only_grams_that_may_match_are_built(spark, monkeypatch, mode):
+    rng = np.random.default_rng(3)
+    words = ["a", "b", "NEG_a", "c", "", "x---", "---b", ". .", "NEG_", "___", None]
+    lists = []
+    for size in [0, 1, 2, 3, 4] * 8 + [12] * 60:
+        some = rng.choice(len(words), 4)  # few words each, so that marks and nulls are not everywhere
+        lists.append([words[i] for i in rng.choice(some, size)])
+    rows = [(i, toks) for i, toks in enumerate([*lists, None])]
+    table = spark.createDataFrame(rows, "doc_id long, toks array<string>")
+    terms = ["a", "a b", " a", ". . b", "a---b", "a b---c", "---b c", "---a", "a b c", "a_a", "b---", "--- a", "c  a"]
+    lex = L.inline_lexicon(spark, [("LEX", t, "polarity", float(i + 1)) for i, t in enumerate(terms)])
+    specs = [
+        LexiconSpec("LEX", bigrams=True, trigrams=True, gapped=True),
+        LexiconSpec("LEX", bigrams=True, trigrams=True, joiner="_"),
+    ]
+    for spec in specs[: 1 if mode == "bag" else 2]:
+        some = sorted(map(str, L.match_terms(table, lex, [spec], mode).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(L, "LISTED_ROWS", -1)
+            every = sorted(map(str, L.match_terms(table, lex, [spec], mode).collect()))
+        assert some == every and len(some) > 50
+    many = docs(spark, " ".join("defghijk" * 20) + " a b c d")
+    begins = L._begins(L.effective(lex), "term", L.KINDS)
+    assert C.gram_forms(many, L.KINDS).count() > 1000
+    assert C.gram_forms(many, L.KINDS, begins=begins).count() < 30
+
+
 def test_emotion(spark):
     table = docs(spark, "happy sad", "none")
     hits = L.match_terms(
