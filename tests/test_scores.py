@@ -77,12 +77,26 @@ def test_only_grams_that_may_match_are_built(spark, monkeypatch, mode):
             m.setattr(L, "LISTED_ROWS", -1)
             every = sorted(map(str, L.match_terms(table, lex, [spec], mode).collect()))
         assert some == every and len(some) > 50
+    if mode == "set":
+        found = [L.match_specs(table, lex, [spec]).collect()]
+        with monkeypatch.context() as m:
+            m.setattr(L, "LISTED_ROWS", -1)
+            found.append(L.match_specs(table, lex, [spec]).collect())
+        assert sorted(map(str, found[0])) == sorted(map(str, found[1])) and len(found[0]) > 20
     many = docs(spark, " ".join("defghijk" * 20) + " a b c d")
     begins = L._begins(L.effective(lex), "term", L.KINDS)
     assert C.gram_forms(many, L.KINDS).count() > 1000
     assert C.gram_forms(many, L.KINDS, begins=begins).count() < 30
 
 
+def test_stored_text_is_dealt_over_the_cores(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    stored = runtime.materialize(runtime.dealt(rows.join(rows.select("doc_id"), "doc_id"), "doc_id"))
+    assert len(stored.inputFiles()) >= cores > 1
+    assert stored.count() == 400
+
+
 def test_emotion(spark):
     table = docs(spark, "happy sad", "none")
     hits = L.match_terms(
