@@ -177,3 +177,11 @@ def test_surface_blocks_read_the_messages_once(spark):
     assert got[1, "EMOTICON", "EMOT_POS"] == 1 and got[1, "EMOTICON", "EMOT_LAST"] == 1
     # without a token there is no row of the blocks that need one
     assert {b for d, b, _ in got if d != 1} == {"NEGATION", "SURFACE", "ELONGATED"}
+
+
+def test_gram_counts_make_grams_once_and_sort_no_message(spark):
+    rows = spark.createDataFrame([(1, "abcab"), (2, "ab"), (3, ""), (4, None), (4, "cab")], "doc_id long, text string")
+    counts = C.gram_counts(C.char_ngrams(rows, 2))
+    assert {r["gram"]: r["n"] for r in counts.collect()} == {"ab": 4, "bc": 1, "ca": 2}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan and plan.count("regexp_extract_all(") == 1
