@@ -728,13 +728,15 @@ def add_run_prediction(spark, sf):
 def append_run(spark, sf):
     from moodmill.operators import evaluate as E
 
-    pairs = scoring.pairs(spark, sf)
+    # read by the score, the figures and the counts
+    pairs = runtime.materialize(scoring.pairs(spark, sf), "pairs")
     docs = K.words(spark, sf)
     matches = L.match_terms(docs, K.lexicon(spark), mode="bag")
     score = E.headline_score(pairs).first()["score"]
     run = sinks.run_record(
         spark, score, E.class_scores(pairs), pairs, L.lexicon_usage(docs, matches), "lexicon_sign"
     )
+    run = runtime.materialize(run, "run")  # one row, or every append would make it anew
     path = runtime.scratch_path(spark, "runs")
     for run_id in ("first", "second", "first"):  # the first job runs again
         sinks.append_run(run, path, run_id)
