@@ -426,15 +426,18 @@ for _n, _joiner, _name in (
 def gapped(spark, sf):
     """Counted per message inside the row: the sevenfold list never leaves it."""
     docs = K.words(spark, sf)
-    grams = T.gapped_array(F.col("toks"))
-    chars = F.aggregate(grams, F.lit(0).cast("long"), lambda s, g: s + F.length(g))
-    return docs.where(F.size("toks") >= 3).select(
-        "doc_id",
-        F.size(grams).cast("long").alias("n"),
-        chars.alias("n_chars"),
-        F.array_min(grams).alias("least"),
-        F.array_max(grams).alias("greatest"),
-    )
+
+    def figures(grams):
+        chars = F.aggregate(grams, F.lit(0).cast("long"), lambda s, g: s + F.length(g))
+        return F.struct(
+            F.size(grams).cast("long").alias("n"),
+            chars.alias("n_chars"),
+            F.array_min(grams).alias("least"),
+            F.array_max(grams).alias("greatest"),
+        )
+
+    made_once = T.let(T.gapped_array(F.col("toks")), lambda grams: F.array(figures(grams)))
+    return docs.where(F.size("toks") >= 3).select("doc_id", F.inline(made_once))
 
 
 @query(
