@@ -515,7 +515,9 @@ _TAGGED = (K.INFORMAL_LOWER, K.TOKENS, K.TAGGED_SQL)
 
 
 def _tagged_sids(spark, sf):
-    return K.tagged(spark, sf).withColumnRenamed("doc_id", "sid")
+    """Messages as lists of token and tag."""
+    pair = lambda t: F.struct(t.alias("tok"), K.tag_of(t).alias("tag"))
+    return K.informal(spark, sf).select(F.col("doc_id").alias("sid"), F.transform("toks", pair).alias("pairs"))
 
 
 @query(
@@ -529,11 +531,17 @@ def _tagged_sids(spark, sf):
 def tagged_corpus(spark, sf):
     path = runtime.scratch_path(spark, "tagged")
     sinks.write_tagged(_tagged_sids(spark, sf), path)
-    rows = readers.read_tagged(spark, path)
+    once, again = runtime.split_repeated(readers.read_tagged_lists(spark, path), "sid")
+    pairs = F.transform("pairs", lambda p: F.concat_ws("/", p["tok"], p["tag"]))
+    joined = F.when(F.size("pairs") > 0, F.array_join(pairs, " "))
+    lists = runtime.one_or_none(once, joined, "toks").select("sid", "toks")
+    if again is None:
+        return lists
     in_order = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("/", "tok", "tag").alias("v"))))
-    return rows.groupBy("sid").agg(
+    rows = sinks.token_rows(again).groupBy("sid").agg(
         F.array_join(F.transform(in_order, lambda p: p["v"]), " ").alias("toks")
     )
+    return lists.unionByName(rows)
 
 
 @query(
