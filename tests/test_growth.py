@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import Vectors
+
 from moodmill import runtime
-from moodmill.plans import QUERIES
+from moodmill.config import ModelSpec
+from moodmill.operators import models as M
+from moodmill.plans import QUERIES, modeling
 from moodmill.plans import files as plans
 from moodmill.sources import readers, sinks
 
@@ -64,3 +68,27 @@ def test_run_record_is_made_once(spark, monkeypatch):
     assert len(runs) == 3
     for run in runs:  # a stored row, not the way to it
         assert "Join" not in plan(run) and run.count() == 1
+
+
+def test_classes_of_a_linear_model_are_fitted_together(spark):
+    for name in ("linear_svc", "elastic", "hinge_sgd"):
+        assert M._stages(name, {}, 10)[-1].getParallelism() == len(M.LABELS)
+    assert M._stages("boosted", {}, 10)[-1].getParallelism() == 1  # it holds dense rows
+
+
+def test_rows_of_a_tree_are_dealt_out(spark, monkeypatch):
+    rows = [(i, i % 3 - 1, float(i % 3), Vectors.sparse(2, {i % 2: 1.0 + i % 3})) for i in range(30)]
+    table = spark.createDataFrame(rows, ["doc_id", "label", "target", "features"]).coalesce(1)
+    whole = M.fit_model(table, ModelSpec("tree", {"depth": 4})).stages[-1].toDebugString
+    monkeypatch.setattr(M, "TREE_ROWS", 10)
+    assert M._dealt(table, 30).rdd.getNumPartitions() == 3
+    assert M._dealt(table, 10).rdd.getNumPartitions() == 1
+    parts = M.fit_model(table, ModelSpec("tree", {"depth": 4})).stages[-1].toDebugString
+    assert whole.splitlines()[1:] == parts.splitlines()[1:]
+
+
+def test_splits_are_dealt_over_the_cores(spark):
+    folder = documents(spark, [(i, f"text {i}") for i in range(200)])
+    train, external = modeling.splits(spark, folder)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(train.inputFiles()) >= cores and train.count() + external.count() == 200
