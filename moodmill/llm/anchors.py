@@ -17,12 +17,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodmill.llm.common import discard, let_go, pieces, stored
 from moodmill.llm.signatures import (
     MAIL,
+    POWERS,
     Sender,
     combine,
     ids_repeat,
@@ -38,10 +40,14 @@ from moodmill.llm.signatures import (
 FREQUENT = 5000
 #: Contents a task holds before it sends them.
 HELD_CONTENTS = 100_000
+#: Rows of contents that go to the JVM at once.
+SENT_ROWS = 10_000
 PLACE_BITS = np.uint64(28)
+#: Characters whose symbols are worked on at once, so that their numbers stay in a core's cache.
+PIECE = 1 << 18
 
 #: Places of spans (doc_id, start, digest, row), and among them the contents a task has seen,
-#: with their first and last place in that task.
+#: without a digest, with their first and last place in that task.
 SPANS = (
     "doc_id long, start long, digest binary, sig long, part long, content binary, "
     "last_doc long, last_start long, row long"
@@ -49,10 +55,12 @@ SPANS = (
 SHARD = (
     "sig long, part long, content binary, doc_id long, start long, last_doc long, last_start long"
 )
-NULLABLE = {c: "Int64" for c in ("sig", "part", "last_doc", "last_start", "row")} | {"content": object}
-#: Per window of a span its first document and place there, less the window's number in the
-#: span, so that a run found in one place is one number.
-FIRSTS = "digest binary, first_doc array<long>, first_start array<long>"
+SPANS_ARROW = pa.schema(
+    [(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in SPANS.split(", ")]
+)
+#: Per run of a span's windows, as far as ``ends``, their first document and place there, less
+#: the window's number in the span, so that a run is what is found in one place.
+FIRSTS = "digest binary, ends array<long>, first_doc array<long>, first_start array<long>"
 
 
 class Symbols:
@@ -94,19 +102,12 @@ class Anchors:
 
 
 def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each ``n`` hashes in a row, by doubling."""
+    """Hash of each ``n`` hashes in a row, from differences of running sums."""
     size = max(0, len(hashes) - n + 1)
-    out, done, at = np.zeros(size, np.uint64), 0, hashes
-    width = 1
-    while done < n:
-        if n & width:
-            out = mix(out ^ at[done : done + size]) + np.uint64(width)
-            done += width
-        half = len(at) - width
-        if half > 0:
-            at = mix(at[:half] * np.uint64(3) + at[width:])
-        width *= 2
-    return mix(out)
+    up, down = POWERS.upto(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[n : n + size] - sums[:size]) * down[:size])
 
 
 class Repeats:
@@ -139,7 +140,7 @@ class Repeats:
 
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sender = Sender(ranges, per_doc=2 if within else 1)
-            for batch in pieces(batches, "text"):
+            for batch in pieces(batches, "text", PIECE):
                 anchors = Anchors(symbols(batch["text"].tolist()), window, gram)
                 ids = batch["row"].to_numpy(np.int64)
                 yield from sender.add(anchors.hash, ids[anchors.row])
@@ -159,23 +160,35 @@ class Repeats:
         )
         discard(found)
 
-        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names = [c.split()[0] for c in SPANS.split(", ")]
+        def table(**columns) -> pa.RecordBatch:
+            n = len(columns["doc_id"])
+            arrays = [
+                pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type)
+                for f in SPANS_ARROW
+            ]
+            return pa.RecordBatch.from_arrays(arrays, schema=SPANS_ARROW)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[bytes, list] = {}
 
-            def contents() -> pd.DataFrame:
-                rows = [
-                    (*first, digest, sig, part, content, *last, None)
-                    for digest, (sig, part, content, first, last) in held.items()
-                ]
+            def contents() -> Iterator[pa.RecordBatch]:
+                sig, part, content, first, last = zip(*held.values()) if held else [()] * 5
+                doc_id, start = zip(*first) if held else [()] * 2
+                last_doc, last_start = zip(*last) if held else [()] * 2
+                found = table(
+                    doc_id=doc_id, start=start, sig=sig, part=part, content=content,
+                    last_doc=last_doc, last_start=last_start,
+                )
                 held.clear()
-                return pd.DataFrame(rows, columns=names)
+                for at in range(0, len(doc_id), SENT_ROWS):
+                    yield found.slice(at, SENT_ROWS)
 
-            for batch in pieces(batches, "text"):
+            for batch in pieces((b.to_pandas() for b in batches), "text", PIECE):
                 read = symbols(batch["text"].tolist())
                 anchors = Anchors(read, window, gram)
-                keys = key_of(anchors.hash, ranges).view(np.int64)
-                cuts = np.searchsorted(anchors.row, np.arange(len(batch) + 1))
+                keys = key_of(anchors.hash, ranges).view(np.int64).tolist()
+                at, sizes = anchors.window.tolist(), anchors.windows.tolist()
+                cuts = np.searchsorted(anchors.row, np.arange(len(batch) + 1)).tolist()
                 docs, rows, starts, digests = [], [], [], []
                 for i, (doc_id, row, sigs, frequent) in enumerate(
                     zip(
@@ -183,42 +196,43 @@ class Repeats:
                         batch["sigs"], batch["frequent"], strict=True,
                     )
                 ):
-                    own = slice(cuts[i], cuts[i + 1])
-                    chosen = np.flatnonzero(np.isin(keys[own], sigs)) + cuts[i]
-                    single = set(frequent.tolist())
-                    base = int(read.first[i])
-                    for k in chosen.tolist():
-                        sig, at, n = int(keys[k]), int(anchors.window[k]), int(anchors.windows[k])
-                        runs = [(a, 1) for a in range(at, at + n)] if sig in single else [(at, n)]
+                    known, single = set(sigs.tolist()), set(frequent.tolist())
+                    base, before = int(read.first[i]), len(digests)
+                    for k in range(cuts[i], cuts[i + 1]):
+                        sig = keys[k]
+                        if sig not in known:
+                            continue
+                        a, n = at[k], sizes[k]
+                        runs = [(j, 1) for j in range(a, a + n)] if sig in single else [(a, n)]
                         for a, size in runs:
                             content = read.content(a, a + size + window - 1)
                             digest = hashlib.md5(content).digest()
                             place = (doc_id, a - base)
                             seen = held.get(digest)
                             if seen is None:
-                                part = int.from_bytes(digest[:8], "little", signed=True)
-                                part = part if sig in single else 0
+                                part = 0
+                                if sig in single:
+                                    part = int.from_bytes(digest[:8], "little", signed=True)
                                 held[digest] = [sig, part, content, place, place]
-                            else:
-                                seen[3], seen[4] = min(seen[3], place), max(seen[4], place)
-                            docs.append(doc_id)
-                            rows.append(row)
+                            elif place < seen[3]:
+                                seen[3] = place
+                            elif place > seen[4]:
+                                seen[4] = place
                             starts.append(a - base)
                             digests.append(digest)
-                frame = pd.DataFrame(
-                    {"doc_id": docs, "row": rows, "start": starts, "digest": digests}
-                )
-                yield frame.reindex(columns=names).astype(NULLABLE)
+                    docs += [doc_id] * (len(digests) - before)
+                    rows += [row] * (len(digests) - before)
+                yield table(doc_id=docs, row=rows, start=starts, digest=digests)
                 if len(held) >= HELD_CONTENTS:
-                    yield contents()
-            yield contents()
+                    yield from contents()
+            yield from contents()
 
-        spans = stored(self.docs.join(per_doc, "row").mapInPandas(cut, SPANS), "spans")
+        spans = stored(self.docs.join(per_doc, "row").mapInArrow(cut, SPANS), "spans")
         discard(per_doc)
         return spans
 
     def removals(self) -> DataFrame:
-        """Stored (doc_id, row, spans): start and per window whether it comes earlier elsewhere."""
+        """Stored (doc_id, row, begins, ends): runs of windows that come earlier elsewhere."""
         spans = self._spans()
         shards = (
             spans.where(F.col("content").isNotNull())
@@ -228,21 +242,26 @@ class Repeats:
         )
         firsts = stored(shards.mapInPandas(self.lookup, FIRSTS), "firsts")
         del shards  # or its shuffle stays
-        earlier = (
-            "transform(first_doc, (d, i) -> d < doc_id"
-            + (" OR (d = doc_id AND first_start[i] < start)" if self.within else "")
-            + ")"
+        earlier = "first_doc[i] < doc_id"
+        if self.within:
+            earlier += " OR (first_doc[i] = doc_id AND first_start[i] < start)"
+        gone = (
+            f"transform(filter(sequence(0, size(ends) - 1), i -> {earlier}), i -> "
+            "struct(start + IF(i = 0, 0L, ends[i - 1]) AS begin, start + ends[i] AS end))"
         )
         places = spans.where(F.col("content").isNull()).select("doc_id", "row", "start", "digest")
         if self.repeated:
             places = places.distinct()  # equal rows have equal places
         marked = (
             places.join(firsts, "digest")
-            .select("doc_id", "row", "start", F.expr(earlier).alias("gone"))
-            .where("exists(gone, g -> g)")
+            .select("doc_id", "row", F.expr(gone).alias("gone"))
+            .where("size(gone) > 0")
         )
+        per_doc = marked.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
         found = stored(
-            marked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "gone")).alias("spans")),
+            per_doc.select(
+                "doc_id", "row", F.col("gone.begin").alias("begins"), F.col("gone.end").alias("ends")
+            ),
             "removals",
         )
         discard(spans, firsts)
@@ -256,18 +275,7 @@ class Repeats:
         return joined.mapInPandas(finish, schema)
 
 
-def gone_windows(spans) -> np.ndarray:
-    """Starts of the removed windows of a document."""
-    if spans is None or len(spans) == 0:
-        return np.zeros(0, np.int64)
-    return np.concatenate(
-        [span["start"] + np.flatnonzero(np.asarray(span["gone"], bool)) for span in spans]
-    )
-
-
-def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of ``n`` symbols stand in a window of ``starts``."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+def covered(n: int, begins: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Which of ``n`` symbols stand in a window from ``begins`` on and before ``ends``."""
+    edge = np.bincount(begins, minlength=n + 1) - np.bincount(ends + (window - 1), minlength=n + 1)
     return np.cumsum(edge)[:n] > 0

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.anchors import Repeats, Symbols, covered, gone_windows
+from moodmill.llm.anchors import FIRSTS, Repeats, Symbols, covered
 from moodmill.llm.signatures import NO_ID, Words
 
 WINDOW, GRAM = 13, 5
@@ -111,21 +111,22 @@ def shards(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
     """
     key, spans = None, {}
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            if (row.sig, row.part) != key:
+        columns = [batch[c].tolist() for c in ("sig", "part", "content")]
+        firsts = zip(batch["doc_id"].tolist(), batch["start"].tolist())
+        lasts = zip(batch["last_doc"].tolist(), batch["last_start"].tolist())
+        for sig, part, content, first, last in zip(*columns, firsts, lasts, strict=True):
+            if (sig, part) != key:
                 if spans:
                     yield [(c, *first, last) for c, (first, last) in spans.items()]
-                key, spans = (row.sig, row.part), {}
-            first, last = (row.doc_id, row.start), (row.last_doc, row.last_start)
-            content = bytes(row.content)
-            seen = spans.get(content, (first, last))
-            spans[content] = (min(seen[0], first), max(seen[1], last))
+                key, spans = (sig, part), {}
+            seen = spans.get(content)
+            spans[content] = (min(seen[0], first), max(seen[1], last)) if seen else (first, last)
     if spans:
         yield [(c, *first, last) for c, (first, last) in spans.items()]
 
 
 def first_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out = []
+    out, names = [], [c.split()[0] for c in FIRSTS.split(", ")]
     for rows in shards(batches):
         spans = [(content.split(b" "), doc) for content, doc, _, _ in rows]
         automaton = None
@@ -139,21 +140,23 @@ def first_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # alone in its shard, a span comes first where its first copy stands
             least = automaton.least_docs(words, WINDOW) if automaton else [doc] * n
             if doc < last[0] or min(least) < doc:  # else no document has it later than another
-                out.append((hashlib.md5(content).digest(), least, None))
+                ends = [i for i in range(1, n) if least[i] != least[i - 1]] + [n]
+                out.append((hashlib.md5(content).digest(), ends, [least[i - 1] for i in ends], None))
         if len(out) >= 5000:
-            yield pd.DataFrame(out, columns=["digest", "first_doc", "first_start"])
+            yield pd.DataFrame(out, columns=names)
             out = []
-    yield pd.DataFrame(out, columns=["digest", "first_doc", "first_start"])
+    yield pd.DataFrame(out, columns=names)
 
 
 def kept_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+        columns = [batch[c] for c in ("doc_id", "text", "begins", "ends")]
+        for doc_id, text, begins, ends in zip(*columns, strict=True):
             words = text.encode("utf-8", "surrogatepass").split()
-            n, starts = len(words), gone_windows(spans)
-            if len(starts):
-                gone = covered(n, starts, WINDOW)
+            n = len(words)
+            if begins is not None:
+                gone = covered(n, begins, ends, WINDOW)
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             out.append((doc_id, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")])

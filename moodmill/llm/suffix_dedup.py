@@ -17,13 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.anchors import Repeats, Symbols, covered, gone_windows
+from moodmill.llm.anchors import FIRSTS, Repeats, Symbols, covered
 from moodmill.llm.signatures import NO_ID, mix
 from moodmill.llm.substring_dedup import shards
 
 WINDOW, GRAM = 100, 32
-#: Bytes of spans that a suffix array is built over; more only for one anchor's spans.
-ARRAY_BYTES = 1 << 20
+#: Bytes of spans that a suffix array is built over, so that its numbers stay in a core's
+#: cache; more only for one anchor's spans.
+ARRAY_BYTES = 1 << 17
 COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -94,16 +95,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def first_places(rows: list[tuple]) -> Iterator[tuple]:
-    """Per span the first document and start (less its number) of each window among all spans.
+    """Per span the runs of its windows with one first document and start (less the window's
+    number) among all spans: (end of the run, first document, first start) as three lists.
 
     One anchor's spans that do not fit into an array, as a text can hold that stands on one
     anchor throughout, are looked up window by window.
     """
-    if len(rows) == 1:
-        content, doc, start, _ = rows[0]
-        n = len(content) - WINDOW + 1
-        yield content, [doc] * n, [start] * n
-        return
     if sum(len(r[0]) + 1 for r in rows) + 3 >= 1 << BITS:
         seen: dict[bytes, tuple] = {}
         for content, doc, start, _ in rows:
@@ -111,8 +108,15 @@ def first_places(rows: list[tuple]) -> Iterator[tuple]:
                 own = content[j : j + WINDOW]
                 seen[own] = min(seen.get(own, (doc, start + j)), (doc, start + j))
         for content, *_ in rows:
-            found = [seen[content[j : j + WINDOW]] for j in range(len(content) - WINDOW + 1)]
-            yield content, [f[0] for f in found], [f[1] - j for j, f in enumerate(found)]
+            ends, found = [], []
+            for j in range(len(content) - WINDOW + 1):
+                first_doc, first_start = seen[content[j : j + WINDOW]]
+                if found and found[-1] == (first_doc, first_start - j):
+                    ends[-1] = j + 1
+                else:
+                    ends.append(j + 1)
+                    found.append((first_doc, first_start - j))
+            yield ends, [f[0] for f in found], [f[1] for f in found]
         return
     sizes = np.fromiter((len(r[0]) + 1 for r in rows), np.int64, len(rows))
     data = np.frombuffer(b"\0".join(r[0] for r in rows) + b"\0", np.uint8)
@@ -136,27 +140,39 @@ def first_places(rows: list[tuple]) -> Iterator[tuple]:
     heads = order[earliest[np.flatnonzero(new)]]
     head = np.empty(len(text), np.int64)
     head[order] = heads[group]
-    for (content, *_), at in zip(rows, base.tolist(), strict=True):
-        own = head[at : at + len(content) - WINDOW + 1]
-        yield content, doc[own].tolist(), (start[own] - np.arange(len(own))).tolist()
+
+    at = np.flatnonzero(full)
+    offset, head = offset[at], head[at]
+    first_doc, first_start = doc[head], start[head] - offset
+    begin = offset == 0
+    begin[1:] |= (first_doc[1:] != first_doc[:-1]) | (first_start[1:] != first_start[:-1])
+    run = np.flatnonzero(begin)
+    ends = offset[np.append(run[1:], len(at)) - 1] + 1
+    cuts = np.append(np.flatnonzero(offset[run] == 0), len(run)).tolist()
+    ends, first_doc, first_start = ends.tolist(), first_doc[run].tolist(), first_start[run].tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        yield ends[a:b], first_doc[a:b], first_start[a:b]
 
 
 def first_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Arrays over the spans of several anchors; one anchor's spans stay together."""
-    names = ["digest", "first_doc", "first_start"]
+    names = [c.split()[0] for c in FIRSTS.split(", ")]
     out, held, size = [], [], 0
 
     def resolve(rows: list[tuple]) -> None:
-        for (_, doc, start, last), (content, docs, starts) in zip(rows, first_places(rows), strict=True):
+        for (content, doc, start, last), found in zip(rows, first_places(rows), strict=True):
             # what stands once, and first, is removed nowhere
-            if last != (doc, start) or any(d != doc for d in docs) or any(s != start for s in starts):
-                out.append((hashlib.md5(content).digest(), docs, starts))
+            if last != (doc, start) or found[1] != [doc] or found[2] != [start]:
+                out.append((hashlib.md5(content).digest(), *found))
 
     for rows in shards(batches):
-        own = sum(len(r[0]) + 1 for r in rows)
-        if len(rows) == 1:
-            resolve(rows)
+        if len(rows) == 1:  # alone, a span comes first where its first copy stands
+            content, doc, start, last = rows[0]
+            if last != (doc, start):
+                own = [len(content) - WINDOW + 1], [doc], [start]
+                out.append((hashlib.md5(content).digest(), *own))
         else:
+            own = sum(len(r[0]) + 1 for r in rows)
             if size + own > ARRAY_BYTES and held:
                 resolve(held)
                 held, size = [], 0
@@ -173,11 +189,12 @@ def first_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def kept_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+        columns = [batch[c] for c in ("doc_id", "text", "begins", "ends")]
+        for doc_id, text, begins, ends in zip(*columns, strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            n, starts, runs, kept = len(data), gone_windows(spans), 0, data
-            if len(starts):
-                gone = covered(n, starts, WINDOW)
+            n, runs, kept = len(data), 0, data
+            if begins is not None:
+                gone = covered(n, begins, ends, WINDOW)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 runs = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
             out.append((doc_id, n, n - len(kept), runs, hashlib.sha256(kept).hexdigest()))
