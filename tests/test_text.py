@@ -185,3 +185,16 @@ def test_gram_counts_make_grams_once_and_sort_no_message(spark):
     assert {r["gram"]: r["n"] for r in counts.collect()} == {"ab": 4, "bc": 1, "ca": 2}
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array" not in plan and plan.count("regexp_extract_all(") == 1
+
+
+def test_ended_words_are_cut_without_the_large_pattern(spark, protected):
+    """Words of letters and end marks, and of signs that nothing protected is made of."""
+    never = f"(?:{protected})(?!)"  # a pattern that protects nothing
+    text = "word. Été, yes?! END!!… no|way 9% an$$$ *** && on"
+    expected = ["word", ".", "Été", ",", "yes", "?!", "END", "!!…", "no|way", "9%", "an$$$", "***", "&&", "on"]
+    assert one(spark, text, lambda c: T.tokens_social(c, never)) == expected
+    assert one(spark, text, lambda c: T.tokens_social(c, protected)) == expected
+    # abbreviations and the head of a link keep their dot
+    kept = "Mr. www. Rep. a.b. st, www, Mr? x."
+    tokens = ["Mr.", "www.", "Rep.", "a.b.", "st", ",", "www", ",", "Mr", "?", "x", "."]
+    assert one(spark, kept, lambda c: T.tokens_social(c, protected)) == tokens
